@@ -8,7 +8,6 @@ bitmap filters leave candidates whose similarity is then computed from the lines
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import keyed_texts, stored
+from tickloom.llm.shared import keyed_texts, mixed, stored
 
 #: Counters of the rarity sketch; its size does not depend on the input.
 BUCKETS = 1 << 18
+#: Tokens that are worked on at a time; line numbers within such a step fit in 20 bits.
+STEP = 500_000
 #: Postings of a token that are kept together; two such groups meet at a time.
 GROUP = 256
 #: Rows up to which the smaller side of a join is broadcast; a larger one is shuffled.
@@ -30,86 +31,73 @@ def tokens_of(line: str) -> set[str]:
     return set(line.lower().split())
 
 
-def _hash(word: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+SEED = 42
 
 
 class _Hashes(dict):
-    """word -> its hash, for at most `limit` words at a time."""
+    """word -> its XXH64 (the seed is that of Spark's function), for at most `limit` words at a time."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = _hash(word)
+        value = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
         return value
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of tokens in all texts, summed by the low bits of their hash: BUCKETS counts, an upper bound for each token."""
-
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        sums, words = np.zeros(BUCKETS, np.int64), Counter()
-
-        def add() -> None:
-            at = np.fromiter((_hash(w) & (BUCKETS - 1) for w in words), np.int64, len(words))
-            np.add.at(sums, at, np.fromiter(words.values(), np.int64, len(words)))
-            words.clear()
-
-        for batch in batches:
-            for text in batch.column(0):
-                words.update(text.as_py().lower().split())
-                if len(words) > 200_000:
-                    add()
-        add()
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    """Class of each of BUCKETS hash buckets by the occurrences of its tokens in all texts: 8 classes for each doubling, so of two
+    tokens the one of the lower class is the rarer as far as the sketch can tell. Words are summed by bucket before they are sent."""
+    word = F.explode(F.split(F.lower("text"), r"\s+")).alias("w")
+    rows = docs.select(word).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def prefix_length(n: int, tenths: int) -> int:
-    """Tokens of an n-token set of which any set at least tenths/10 similar has one among its own prefix."""
-    return n - (-(-n * tenths // 10)) + 1
+    return np.minimum(np.log2(out + 1) * 8, 511).astype(np.uint64)
 
 
 def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFrame:
     """One row for each line with min_tokens distinct tokens or more: id, line, cls (hash of its token set), n, bits (a 64-bit map
-    of its tokens) and prefix (hashes, rarest first)."""
+    of its tokens) and prefix (codes, rarest first): as many of its n tokens that any set tenths/10 similar has one of them in its own prefix."""
     schema = "id long, line int, cls long, n int, bits long, prefix array<long>"
 
-    def read(batches) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    def encode(keys: list, numbers: list[int], sizes: list[int], words: list[str], seen: _Hashes, of: np.ndarray) -> pa.RecordBatch:
+        n = np.array(sizes)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
+        cls = np.add.reduceat(mixed(h), starts)
+        # a token's code is its rarity class and 35 bits of its hash: one sort by line and code puts each line's tokens in order
+        code = (of[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(35)) | (h >> np.uint64(18) & np.uint64(2**35 - 1))
+        code = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44)) | code) & np.uint64(2**44 - 1)
+        size = n - (-(-n * tenths // 10)) + 1
+        ends = np.cumsum(size)
+        prefix = code[np.repeat(starts - (ends - size), size) + np.arange(ends[-1])]
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(prefix.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(cls.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), lists], ["id", "line", "cls", "n", "bits", "prefix"])
 
+    def read(batches) -> Iterator[pa.RecordBatch]:
         seen, of = _Hashes(), counts.value
         for batch in batches:
-            rows = []
+            keys, numbers, sizes, words = [], [], [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 key = key.as_py()
                 for i, line in enumerate(text.as_py().split("\n")):
-                    words = tokens_of(line)
-                    if len(words) < min_tokens:
-                        continue
-                    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-                    h.sort()
-                    often = of[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    first = np.argsort(often, kind="stable")[: prefix_length(len(h), tenths)]
-                    bits = int(np.bitwise_or.reduce(np.uint64(1) << (h >> np.uint64(58))))
-                    rows.append((key, i, xxh64_intdigest(h.tobytes()), len(h), bits, h[first].view(np.int64)))
-            if rows:
-                key, line, cls, n, bits, prefix = zip(*rows, strict=True)
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line, pa.int32()), signed(cls), pa.array(n, pa.int32()), signed(bits), tokens], ["id", "line", "cls", "n", "bits", "prefix"])
+                    own = tokens_of(line)
+                    if len(own) >= min_tokens:
+                        keys.append(key)
+                        numbers.append(i)
+                        sizes.append(len(own))
+                        words += own
+                        if len(words) >= STEP or len(keys) >= STEP:
+                            yield encode(keys, numbers, sizes, words, seen, of)
+                            keys, numbers, sizes, words = [], [], [], []
+            if keys:
+                yield encode(keys, numbers, sizes, words, seen, of)
 
     return docs.mapInArrow(read, schema)
 
@@ -204,14 +192,15 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     lines = stored(line_rows(docs, counts, tenths, min_tokens), "lines")
     payload = F.struct("id", "line", "n", "bits", "prefix")
     reps = lines.groupBy("cls").agg(F.min(payload).alias("r")).select("cls", "r.*")
-    spots = reps.select("cls", "id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).withColumn("bucket", F.col("token").bitwiseAND(BUCKETS - 1))
+    spots = reps.select("cls", "id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
     # a token with many postings has them dealt into groups, which meet two at a time; BUCKETS counters say into how many
     subs = spots.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("subs"))
     spots = spots.join(F.broadcast(subs), "bucket")
-    spots = spots.withColumn("own", F.pmod("cls", "subs").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("other"))
+    spots = spots.withColumn("own", F.pmod("cls", "subs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    group = F.when(F.col("subs") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    spots = spots.select(group.alias("group"), "id", "line", "cls", "n", "bits", "pos").repartition("group")  # no partial lists before the exchange
     member = F.struct("id", "line", "cls", "n", "bits", "pos", F.lit(True).alias("open"))
-    groups = spots.groupBy("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
-    groups = stored(groups, "groups")
+    groups = stored(spots.groupBy("group").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1), "groups")
     first = groups.select("members").mapInArrow(_pairs(tenths, False), PAIR_SCHEMA)
     earliest = F.min(F.struct("to_id", "to_line", "to")).alias("t")
     first = stored(first.groupBy("cls", "id", "line").agg(earliest).select("cls", "id", "line", F.col("t.to").alias("to"), F.col("t.to_id").alias("to_id"), F.col("t.to_line").alias("to_line")), "first")
@@ -220,9 +209,9 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     left = stored(first.join(good.select("cls"), "cls", "left_anti").select("cls"), "left")
     matched = good.select("id", "line")
     if not left.isEmpty():
-        members = groups.select("token", "lo", "hi", F.explode("members").alias("m")).select("token", "lo", "hi", "m.*").drop("open")
+        members = groups.select("group", F.explode("members").alias("m")).select("group", "m.*").drop("open")
         flagged = members.join(limited(left.withColumn("open", F.lit(True))), "cls", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        again = flagged.groupBy("token", "lo", "hi").agg(F.collect_list(F.struct("id", "line", "cls", "n", "bits", "pos", "open")).alias("members"), F.max("open").alias("any")).where("any")
+        again = flagged.groupBy("group").agg(F.collect_list(F.struct("id", "line", "cls", "n", "bits", "pos", "open")).alias("members"), F.max("open").alias("any")).where("any")
         rest = again.select("members").mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
         rest = stored(rest.join(first.select("cls", "to"), ["cls", "to"], "left_anti").select("cls", "id", "line", "to", "to_id", "to_line"), "rest")
         matched = matched.unionByName(verified(rest, docs, tenths).select("id", "line"))
