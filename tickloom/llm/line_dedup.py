@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import keyed_texts, mixed, stored
+from tickloom.llm.shared import hashed_words, keyed_texts, mixed, stored
 
 #: Counters of the rarity sketch; its size does not depend on the input.
 BUCKETS = 1 << 18
-#: Tokens that are worked on at a time; line numbers within such a step fit in 20 bits.
-STEP = 500_000
+#: Characters that are worked on at a time.
+STEP = 400_000
+LINE_COLUMNS = ["id", "line", "cls", "n", "bits", "prefix"]
 #: Postings of a token that are kept together; two such groups meet at a time.
 GROUP = 256
 #: Rows up to which the smaller side of a join is broadcast; a larger one is shuffled.
@@ -31,30 +32,34 @@ def tokens_of(line: str) -> set[str]:
     return set(line.lower().split())
 
 
-SEED = 42
-
-
-class _Hashes(dict):
-    """word -> its XXH64 (the seed is that of Spark's function), for at most `limit` words at a time."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
-        return value
+def _steps(batches, key: bool) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of about STEP characters at a time; a longer text comes alone."""
+    for batch in batches:
+        keys, texts, held = [], [], 0
+        for i, text in enumerate(batch.column("text")):
+            keys.append(batch.column("id")[i].as_py() if key else None)
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held >= STEP:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+        if texts:
+            yield keys, texts
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Class of each of BUCKETS hash buckets by the occurrences of its tokens in all texts: 8 classes for each doubling, so of two
-    tokens the one of the lower class is the rarer as far as the sketch can tell. Words are summed by bucket before they are sent."""
-    word = F.explode(F.split(F.lower("text"), r"\s+")).alias("w")
-    rows = docs.select(word).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toPandas()
+    tokens the one of the lower class is the rarer as far as the sketch can tell."""
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for _, texts in _steps(batches, False):
+            h, _, _ = hashed_words("\n".join(texts).lower())
+            sums += np.bincount((h >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(np.log2(out + 1) * 8, 511).astype(np.uint64)
@@ -62,44 +67,59 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFrame:
     """One row for each line with min_tokens distinct tokens or more: id, line, cls (hash of its token set), n, bits (a 64-bit map
-    of its tokens) and prefix (codes, rarest first): as many of its n tokens that any set tenths/10 similar has one of them in its own prefix."""
-    schema = "id long, line int, cls long, n int, bits long, prefix array<long>"
-
-    def encode(keys: list, numbers: list[int], sizes: list[int], words: list[str], seen: _Hashes, of: np.ndarray) -> pa.RecordBatch:
-        n = np.array(sizes)
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
-        cls = np.add.reduceat(mixed(h), starts)
-        # a token's code is its rarity class and 35 bits of its hash: one sort by line and code puts each line's tokens in order
-        code = (of[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(35)) | (h >> np.uint64(18) & np.uint64(2**35 - 1))
-        code = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44)) | code) & np.uint64(2**44 - 1)
+    of its tokens) and prefix (codes, rarest first): as many of its n tokens that any set tenths/10 similar has one of them in its own prefix.
+
+    A token is 44 bits of its hash. Its code is its rarity class and 35 of those bits, so sorting line and code in one integer puts
+    each line's tokens in order.
+    """
+    low44 = np.uint64(2**44 - 1)
+
+    def encode(keys: list, texts: list[str], of: np.ndarray) -> pa.RecordBatch | None:
+        h, start, data = hashed_words("\n".join(texts).lower())
+        breaks = np.flatnonzero(data == 10)
+        line = np.searchsorted(breaks, start)
+        shift = np.uint64(44)
+        token = np.unique((line.astype(np.uint64) << shift) | (h >> np.uint64(20)))  # distinct tokens of each line
+        line, token = (token >> shift).astype(np.int64), token & low44
+        n = np.bincount(line, minlength=len(breaks) + 1)
+        keep = n >= min_tokens
+        inside = keep[line]
+        line, token, n = line[inside], token[inside], n[keep]
+        if not len(n):
+            return None
+        starts = np.cumsum(n) - n
+        cls = np.add.reduceat(mixed(token), starts)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (token >> np.uint64(38)), starts)
+        code = (of[(token & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(35)) | (token & np.uint64(2**35 - 1))
+        code = np.sort((line.astype(np.uint64) << shift) | code) & low44
         size = n - (-(-n * tenths // 10)) + 1
         ends = np.cumsum(size)
         prefix = code[np.repeat(starts - (ends - size), size) + np.arange(ends[-1])]
         lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(prefix.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(cls.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), lists], ["id", "line", "cls", "n", "bits", "prefix"])
+        lines = np.array([t.count("\n") + 1 for t in texts])
+        doc = np.repeat(np.arange(len(texts)), lines)[keep]
+        number = np.flatnonzero(keep) - (np.cumsum(lines) - lines)[doc]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), lists], LINE_COLUMNS)
+
+    def parts(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str], int]]:
+        """Pieces of fewer than 2**20 lines, with the number of the first line."""
+        if sum(t.count("\n") + 1 for t in texts) < 2**20:
+            yield keys, texts, 0
+            return
+        for key, text in zip(keys, texts, strict=True):
+            own = text.split("\n")
+            for at in range(0, len(own), 2**19):
+                yield [key], ["\n".join(own[at : at + 2**19])], at
 
     def read(batches) -> Iterator[pa.RecordBatch]:
-        seen, of = _Hashes(), counts.value
-        for batch in batches:
-            keys, numbers, sizes, words = [], [], [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                key = key.as_py()
-                for i, line in enumerate(text.as_py().split("\n")):
-                    own = tokens_of(line)
-                    if len(own) >= min_tokens:
-                        keys.append(key)
-                        numbers.append(i)
-                        sizes.append(len(own))
-                        words += own
-                        if len(words) >= STEP or len(keys) >= STEP:
-                            yield encode(keys, numbers, sizes, words, seen, of)
-                            keys, numbers, sizes, words = [], [], [], []
-            if keys:
-                yield encode(keys, numbers, sizes, words, seen, of)
-
-    return docs.mapInArrow(read, schema)
+        of = counts.value
+        for keys, texts in _steps(batches, True):
+            for some, own, at in parts(keys, texts):
+                rows = encode(some, own, of)
+                if rows is not None:
+                    yield rows.set_column(1, "line", pa.array(rows.column(1).to_numpy() + np.int32(at))) if at else rows
+
+    return docs.mapInArrow(read, "id long, line int, cls long, n int, bits long, prefix array<long>")
 
 
 def _pairs(tenths: int, every: bool):
@@ -110,13 +130,14 @@ def _pairs(tenths: int, every: bool):
             lists = batch.column(0)
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            col = {c: flat.field(c) for c in ("id", "line", "cls", "n", "bits", "pos", "open")}
+            col = {c: flat.field(c) for c in ("id", "line", "bits", "sizes", "open")}
             ids = col["id"]
             null = ids.is_null().to_numpy(zero_copy_only=False)
             key, line = ids.fill_null(0).to_numpy(), col["line"].to_numpy()
             order = np.lexsort((line, key, ~null, np.repeat(np.arange(len(sizes)), sizes)))
             key, line, null = key[order], line[order], null[order]
-            cls, n, pos = (col[c].to_numpy()[order].astype(np.int64) for c in ("cls", "n", "pos"))
+            packed = col["sizes"].to_numpy()[order]
+            n, pos = packed >> 32, packed & 0xFFFFFFFF
             bits, opened = col["bits"].to_numpy()[order].view(np.uint64), col["open"].to_numpy(zero_copy_only=False)[order]
             ends = np.cumsum(sizes)
             out = []
@@ -130,19 +151,19 @@ def _pairs(tenths: int, every: bool):
                     need = -(-(na + nb) * tenths // (10 + tenths))  # least overlap at which the similarity is reached
                     ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb))
                     ok &= np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) <= na + nb - 2 * need
-                    ok &= np.triu(np.ones((g, g), bool), 1)[None] & opened[b] & (cls[a] != cls[b])
+                    ok &= np.triu(np.ones((g, g), bool), 1)[None] & opened[b] & ((key[a] != key[b]) | (line[a] != line[b]) | (null[a] != null[b]))
                     if not every:
                         ok &= np.cumsum(ok, axis=1) == 1
                     i, x, y = np.nonzero(ok)
                     out.append(np.stack([rows[i, x], rows[i, y]]))
             x, y = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[y]), pa.array(key[y], mask=null[y]), pa.array(line[y]), pa.array(cls[x]), pa.array(key[x], mask=null[x]), pa.array(line[x])], ["cls", "id", "line", "to", "to_id", "to_line"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[y], mask=null[y]), pa.array(line[y]), pa.array(key[x], mask=null[x]), pa.array(line[x])], PAIR_COLUMNS)
 
     return find
 
 
-PAIR_SCHEMA = "cls long, id long, line int, to long, to_id long, to_line int"
+PAIR_SCHEMA, PAIR_COLUMNS = "id long, line int, to_id long, to_line int", ["id", "line", "to_id", "to_line"]
 
 
 def limited(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -180,9 +201,9 @@ def verified(pairs: DataFrame, docs: DataFrame, tenths: int) -> DataFrame:
                 a, b = tokens_of(x.as_py()), tokens_of(y.as_py())
                 both = len(a & b)
                 keep.append(10 * both >= tenths * (len(a) + len(b) - both))
-            yield batch.select(["cls", "id", "line", "to", "to_id", "to_line"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("cls", "id", "line", "to", "to_id", "to_line", "text", "to_text").mapInArrow(check, PAIR_SCHEMA)
+    return met.select(*PAIR_COLUMNS, "text", "to_text").mapInArrow(check, PAIR_SCHEMA)
 
 
 def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> DataFrame:
@@ -190,33 +211,38 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(rarity(docs))  # BUCKETS counters
     lines = stored(line_rows(docs, counts, tenths, min_tokens), "lines")
-    payload = F.struct("id", "line", "n", "bits", "prefix")
-    reps = lines.groupBy("cls").agg(F.min(payload).alias("r")).select("cls", "r.*")
-    spots = reps.select("cls", "id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+    firsts = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("f"))
+    place = F.struct("id", "line")
+    copies = stored(lines.select("cls", "id", "line").join(firsts, "cls").where(~place.eqNullSafe(F.col("f"))).select("id", "line").distinct(), "copies")
+    reps = lines.join(limited(copies.select(F.col("id").alias("k"), F.col("line").alias("l"))), F.col("id").eqNullSafe(F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
+    sizes = lambda pos: (F.shiftleft(F.col("n").cast("long"), 32) + pos).alias("sizes")
+    spots = reps.select("id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select("id", "line", "bits", sizes(F.col("pos")), "token", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     # a token with many postings has them dealt into groups, which meet two at a time; BUCKETS counters say into how many
     subs = spots.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("subs"))
     spots = spots.join(F.broadcast(subs), "bucket")
-    spots = spots.withColumn("own", F.pmod("cls", "subs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    group = F.when(F.col("subs") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-    spots = spots.select(group.alias("group"), "id", "line", "cls", "n", "bits", "pos").repartition("group")  # no partial lists before the exchange
-    member = F.struct("id", "line", "cls", "n", "bits", "pos", F.lit(True).alias("open"))
-    groups = stored(spots.groupBy("group").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1), "groups")
-    first = groups.select("members").mapInArrow(_pairs(tenths, False), PAIR_SCHEMA)
-    earliest = F.min(F.struct("to_id", "to_line", "to")).alias("t")
-    first = stored(first.groupBy("cls", "id", "line").agg(earliest).select("cls", "id", "line", F.col("t.to").alias("to"), F.col("t.to_id").alias("to_id"), F.col("t.to_line").alias("to_line")), "first")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "line"), "subs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        group = F.when(F.col("subs") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+        rows = rows.select(group.alias("group"), "id", "line", "bits", "sizes", "open").repartition("group")  # no partial lists before the exchange
+        members = F.collect_list(F.struct("id", "line", "bits", "sizes", "open")).alias("members")
+        return rows.groupBy("group").agg(members, F.bool_or("open").alias("any")).where((F.size("members") > 1) & F.col("any")).select("members")
+
+    first = grouped(spots.withColumn("open", F.lit(True))).mapInArrow(_pairs(tenths, False), PAIR_SCHEMA)
+    first = stored(first.groupBy("id", "line").agg(F.min(F.struct("to_id", "to_line")).alias("t")).select("id", "line", "t.*"), "first")
     good = stored(verified(first, docs, tenths), "good")
-    # classes whose earliest candidate is no match try all their candidates
-    left = stored(first.join(good.select("cls"), "cls", "left_anti").select("cls"), "left")
     matched = good.select("id", "line")
+    # lines whose earliest candidate is no match try all their candidates: the postings of their tokens meet once more
+    same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("line") == F.col(b))
+    named = lambda df: df.select(F.col("id").alias("k"), F.col("line").alias("l"))
+    left = stored(first.join(limited(named(good)), same("k", "l"), "left_anti").select("id", "line"), "left")
     if not left.isEmpty():
-        members = groups.select("group", F.explode("members").alias("m")).select("group", "m.*").drop("open")
-        flagged = members.join(limited(left.withColumn("open", F.lit(True))), "cls", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        again = flagged.groupBy("group").agg(F.collect_list(F.struct("id", "line", "cls", "n", "bits", "pos", "open")).alias("members"), F.max("open").alias("any")).where("any")
-        rest = again.select("members").mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
-        rest = stored(rest.join(first.select("cls", "to"), ["cls", "to"], "left_anti").select("cls", "id", "line", "to", "to_id", "to_line"), "rest")
-        matched = matched.unionByName(verified(rest, docs, tenths).select("id", "line"))
-    firsts = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("f"))
-    copies = lines.select("cls", "id", "line").join(firsts, "cls").where(~F.struct("id", "line").eqNullSafe(F.col("f"))).select("id", "line")
+        tokens = stored(reps.join(limited(named(left)), same("k", "l"), "left_semi").select(F.explode("prefix").alias("token")).distinct(), "tokens")
+        again = spots.join(limited(tokens), "token", "left_semi").join(limited(named(left).withColumn("open", F.lit(True))), same("k", "l"), "left")
+        rest = grouped(again.select("id", "line", "bits", "sizes", "token", "subs", F.coalesce("open", F.lit(False)).alias("open"))).mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
+        tried = first.select(*[F.col(c).alias(f"t_{c}") for c in PAIR_COLUMNS])
+        rest = rest.join(tried, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("line") == F.col("t_line")) & F.col("to_id").eqNullSafe(F.col("t_to_id")) & (F.col("to_line") == F.col("t_to_line")), "left_anti")
+        matched = matched.unionByName(verified(stored(rest, "rest"), docs, tenths).select("id", "line"))
     return copies.unionByName(matched).distinct()
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: White space of more than one byte, as str.split() has it; the table has that of one byte.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64, 2**bits of them."""
+    out = [np.full(1 << bits, x, np.uint64) for x in (BASE, INVERSE)]
+    for x in out:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return out[0], out[1]
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, byte at which it starts) of each word of a lower-cased text, and the bytes: words are what str.split() gives.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums over the whole text, mixed with its length.
+    """
+    if not text.isascii() and WIDE_SPACE.search(text):
+        text = WIDE_SPACE.sub(" ", text)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _powers(max(20, (len(data) + 1).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start, data
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node of its component.
 
