@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import hashed_words, keyed_texts, mixed, stored
+from tickloom.llm.shared import hashed_words, keyed_texts, mixed, plain_bytes, stored
 
 #: Counters of the rarity sketch; its size does not depend on the input.
 BUCKETS = 1 << 18
@@ -54,7 +54,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for _, texts in _steps(batches, False):
-            h, _, _ = hashed_words("\n".join(texts).lower())
+            h, _, _ = hashed_words(plain_bytes("\n".join(texts)))
             sums += np.bincount((h >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["bucket", "n"])
@@ -75,7 +75,7 @@ def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFram
     low44 = np.uint64(2**44 - 1)
 
     def encode(keys: list, texts: list[str], of: np.ndarray) -> pa.RecordBatch | None:
-        h, start, data = hashed_words("\n".join(texts).lower())
+        h, start, data = hashed_words(plain_bytes("\n".join(texts)))
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(breaks, start)
         shift = np.uint64(44)

@@ -58,14 +58,20 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, byte at which it starts) of each word of a lower-cased text, and the bytes: words are what str.split() gives.
+def plain_bytes(text: str) -> bytes:
+    """A text lower-cased, white space of several bytes made spaces, in UTF-8."""
+    text = text.lower()
+    if not text.isascii() and WIDE_SPACE.search(text):
+        text = WIDE_SPACE.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass")
+
+
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, byte at which it starts) of each word of plain_bytes, and the bytes as an array: words are what str.split() gives.
 
     A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums over the whole text, mixed with its length.
     """
-    if not text.isascii() and WIDE_SPACE.search(text):
-        text = WIDE_SPACE.sub(" ", text)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer(text, np.uint8)
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
