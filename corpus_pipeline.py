@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tickloom.llm import decontaminate, language, line_dedup, packing, simhash
 from tickloom.llm.shared import shared_folder, stored
 
-#: A document stays if its best language has at least this posterior.
-MIN_SCORE = 0.5
+#: A document stays if its best language has at least this posterior; a short text that two languages share stays.
+MIN_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
