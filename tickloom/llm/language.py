@@ -17,55 +17,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
+#: Words that are summed at a time.
+STEP = 4096
 #: A word: a run of letters, with marks and apostrophes inside.
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: The same for Spark's patterns.
 WORD_JVM = r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*"
 
 
+class _Rows(dict):
+    """word -> row of a table of scores: the model's words first, then unseen words as they come, `cache` of them at most."""
+
+    def __init__(self, model: LanguageModel, cache: int):
+        super().__init__((w, i) for i, w in enumerate(model.words))
+        self.model, self.known = model, len(self)
+        self.table = np.zeros((self.known + cache, len(model.langs)))
+        self.table[: self.known] = np.array(list(model.words.values())).reshape(self.known, -1)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.table[row] = self.model.backoff(word)
+        return row
+
+
 class LanguageModel:
-    """Languages in order, and word and n-gram tables: text -> row of log frequencies, one for each language."""
+    """Languages in order, and word and n-gram tables: text -> log frequencies, one for each language."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], max_n: int, cache: int = 200_000):
-        self.langs, self.words, self.grams, self.max_n, self.cache = langs, words, grams, max_n, cache
-        self.seen: dict[str, np.ndarray] = {}
-        self.unknown = np.zeros(len(langs))
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], max_n: int, cache: int = 300_000):
+        self.langs, self.words, self.max_n, self.cache = langs, words, max_n, cache
+        self.grams = {g: i for i, g in enumerate(grams)}
+        self.gram_table = np.array(list(grams.values())).reshape(len(grams), len(langs))
+        self.rows: _Rows | None = None
 
-    def score(self, word: str) -> np.ndarray:
-        """Log frequency of a word in each language, by the word table or by backoff."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.seen.get(word)
-        if found is None:
-            found = self.backoff(word)
-            if len(self.seen) >= self.cache:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
 
     def backoff(self, word: str) -> np.ndarray:
-        marked, total, parts, at = f"^{word}$", self.unknown.copy(), 0, 0
+        """Mean log frequency of the longest known n-grams that the word is made of, from its start; 0 for each language if none is known."""
+        marked, found, at, get = f"^{word}$", [], 0, self.grams.get
         while at < len(marked):
             for n in range(min(self.max_n, len(marked) - at), 0, -1):
-                row = self.grams.get(marked[at : at + n])
-                if row is not None:
-                    total += row
-                    parts += 1
+                gram = get(marked[at : at + n])
+                if gram is not None:
+                    found.append(gram)
                     at += n
                     break
             else:
                 at += 1
-        return total / max(parts, 1)
+        return self.gram_table[found].mean(axis=0) if found else np.zeros(len(self.langs))
+
+    def score(self, word: str) -> np.ndarray:
+        """Log frequency of a word in each language, by the word table or by backoff."""
+        if self.rows is None:
+            self.rows = _Rows(self, self.cache)
+        return self.rows.table[self.rows[word]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior from 0 to 1); (und, 0) without a letter. Ties go to the first language."""
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UND, 0.0
+        if self.rows is None:
+            self.rows = _Rows(self, self.cache)
         total = np.zeros(len(self.langs))
-        known, score = self.words.get, self.score
-        for at in range(0, len(words), 4096):
-            total += np.sum([row if (row := known(w)) is not None else score(w) for w in words[at : at + 4096]], axis=0)
+        for at in range(0, len(words), STEP):
+            some = words[at : at + STEP]
+            if len(self.rows) + len(some) > len(self.rows.table):  # no row may be given away while it is summed
+                self.rows = _Rows(self, self.cache)
+            total += self.rows.table[np.fromiter(map(self.rows.__getitem__, some), np.int64, len(some))].sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
