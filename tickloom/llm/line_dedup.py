@@ -21,7 +21,9 @@ from tickloom.llm.shared import hashed_words, keyed_texts, mixed, plain_bytes, s
 BUCKETS = 1 << 18
 #: Characters that are worked on at a time.
 STEP = 400_000
-LINE_COLUMNS = ["id", "line", "cls", "n", "bits", "prefix"]
+LINE_COLUMNS = ["id", "line", "cls", "n", "bits", "more", "prefix"]
+#: Tokens above which a line's map has two words instead of one.
+WIDE = 70
 #: Postings of a token that are kept together; two such groups meet at a time.
 GROUP = 256
 #: Rows up to which the smaller side of a join is broadcast; a larger one is shuffled.
@@ -66,8 +68,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFrame:
-    """One row for each line with min_tokens distinct tokens or more: id, line, cls (hash of its token set), n, bits (a 64-bit map
-    of its tokens) and prefix (codes, rarest first): as many of its n tokens that any set tenths/10 similar has one of them in its own prefix.
+    """One row for each line with min_tokens distinct tokens or more: id, line, cls (hash of its token set), n, bits and more (a map
+    of its tokens in 64 bits, or in 128 for more than WIDE tokens) and prefix (codes, rarest first): as many of its n tokens that any set tenths/10 similar has one of them in its own prefix.
 
     A token is 44 bits of its hash. Its code is its rarity class and 35 of those bits, so sorting line and code in one integer puts
     each line's tokens in order.
@@ -89,7 +91,8 @@ def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFram
             return None
         starts = np.cumsum(n) - n
         cls = np.add.reduceat(mixed(token), starts)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (token >> np.uint64(38)), starts)
+        spot, half = np.uint64(1) << (token >> np.uint64(38)), (token >> np.uint64(37) & np.uint64(1)).astype(bool) & np.repeat(n > WIDE, n)
+        bits, more = (np.bitwise_or.reduceat(np.where(x, spot, np.uint64(0)), starts) for x in (~half, half))
         code = (of[(token & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(35)) | (token & np.uint64(2**35 - 1))
         code = np.sort((line.astype(np.uint64) << shift) | code) & low44
         size = n - (-(-n * tenths // 10)) + 1
@@ -99,7 +102,7 @@ def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFram
         lines = np.array([t.count("\n") + 1 for t in texts])
         doc = np.repeat(np.arange(len(texts)), lines)[keep]
         number = np.flatnonzero(keep) - (np.cumsum(lines) - lines)[doc]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), lists], LINE_COLUMNS)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(more.view(np.int64)), lists], LINE_COLUMNS)
 
     def parts(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str], int]]:
         """Pieces of fewer than 2**20 lines, with the number of the first line."""
@@ -119,7 +122,7 @@ def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFram
                 if rows is not None:
                     yield rows.set_column(1, "line", pa.array(rows.column(1).to_numpy() + np.int32(at))) if at else rows
 
-    return docs.mapInArrow(read, "id long, line int, cls long, n int, bits long, prefix array<long>")
+    return docs.mapInArrow(read, "id long, line int, cls long, n int, bits long, more long, prefix array<long>")
 
 
 def _pairs(tenths: int, every: bool):
@@ -130,7 +133,7 @@ def _pairs(tenths: int, every: bool):
             lists = batch.column(0)
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            col = {c: flat.field(c) for c in ("id", "line", "bits", "sizes", "open")}
+            col = {c: flat.field(c) for c in ("id", "line", "bits", "more", "sizes", "open")}
             ids = col["id"]
             null = ids.is_null().to_numpy(zero_copy_only=False)
             key, line = ids.fill_null(0).to_numpy(), col["line"].to_numpy()
@@ -138,7 +141,8 @@ def _pairs(tenths: int, every: bool):
             key, line, null = key[order], line[order], null[order]
             packed = col["sizes"].to_numpy()[order]
             n, pos = packed >> 32, packed & 0xFFFFFFFF
-            bits, opened = col["bits"].to_numpy()[order].view(np.uint64), col["open"].to_numpy(zero_copy_only=False)[order]
+            bits, more = (col[c].to_numpy()[order].view(np.uint64) for c in ("bits", "more"))
+            both, opened = bits | more, col["open"].to_numpy(zero_copy_only=False)[order]
             ends = np.cumsum(sizes)
             out = []
             for g in np.unique(sizes[sizes > 1]).tolist():
@@ -150,7 +154,9 @@ def _pairs(tenths: int, every: bool):
                     na, nb = n[a], n[b]
                     need = -(-(na + nb) * tenths // (10 + tenths))  # least overlap at which the similarity is reached
                     ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb))
-                    ok &= np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) <= na + nb - 2 * need
+                    most = na + nb - 2 * need  # tokens of either line that the other may lack, and so differing bits of their maps
+                    ok &= np.bitwise_count(both[a] ^ both[b]) <= most
+                    ok &= (np.minimum(na, nb) <= WIDE) | (np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= most)
                     ok &= np.triu(np.ones((g, g), bool), 1)[None] & opened[b] & ((key[a] != key[b]) | (line[a] != line[b]) | (null[a] != null[b]))
                     if not every:
                         ok &= np.cumsum(ok, axis=1) == 1
@@ -216,7 +222,7 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     copies = stored(lines.select("cls", "id", "line").join(firsts, "cls").where(~place.eqNullSafe(F.col("f"))).select("id", "line").distinct(), "copies")
     reps = lines.join(limited(copies.select(F.col("id").alias("k"), F.col("line").alias("l"))), F.col("id").eqNullSafe(F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
     sizes = lambda pos: (F.shiftleft(F.col("n").cast("long"), 32) + pos).alias("sizes")
-    spots = reps.select("id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select("id", "line", "bits", sizes(F.col("pos")), "token", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    spots = reps.select("id", "line", "n", "bits", "more", F.posexplode("prefix").alias("pos", "token")).select("id", "line", "bits", "more", sizes(F.col("pos")), "token", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     # a token with many postings has them dealt into groups, which meet two at a time; BUCKETS counters say into how many
     subs = spots.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("subs"))
     spots = spots.join(F.broadcast(subs), "bucket")
@@ -224,8 +230,8 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     def grouped(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "line"), "subs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         group = F.when(F.col("subs") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-        rows = rows.select(group.alias("group"), "id", "line", "bits", "sizes", "open").repartition("group")  # no partial lists before the exchange
-        members = F.collect_list(F.struct("id", "line", "bits", "sizes", "open")).alias("members")
+        rows = rows.select(group.alias("group"), "id", "line", "bits", "more", "sizes", "open").repartition("group")  # no partial lists before the exchange
+        members = F.collect_list(F.struct("id", "line", "bits", "more", "sizes", "open")).alias("members")
         return rows.groupBy("group").agg(members, F.bool_or("open").alias("any")).where((F.size("members") > 1) & F.col("any")).select("members")
 
     first = grouped(spots.withColumn("open", F.lit(True))).mapInArrow(_pairs(tenths, False), PAIR_SCHEMA)
@@ -239,7 +245,7 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
     if not left.isEmpty():
         tokens = stored(reps.join(limited(named(left)), same("k", "l"), "left_semi").select(F.explode("prefix").alias("token")).distinct(), "tokens")
         again = spots.join(limited(tokens), "token", "left_semi").join(limited(named(left).withColumn("open", F.lit(True))), same("k", "l"), "left")
-        rest = grouped(again.select("id", "line", "bits", "sizes", "token", "subs", F.coalesce("open", F.lit(False)).alias("open"))).mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
+        rest = grouped(again.select("id", "line", "bits", "more", "sizes", "token", "subs", F.coalesce("open", F.lit(False)).alias("open"))).mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
         tried = first.select(*[F.col(c).alias(f"t_{c}") for c in PAIR_COLUMNS])
         rest = rest.join(tried, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("line") == F.col("t_line")) & F.col("to_id").eqNullSafe(F.col("t_to_id")) & (F.col("to_line") == F.col("t_to_line")), "left_anti")
         matched = matched.unionByName(verified(stored(rest, "rest"), docs, tenths).select("id", "line"))
