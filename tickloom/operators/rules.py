@@ -83,3 +83,7 @@ def forbidden_fields(documents: DataFrame, text: str, names: list[str]) -> DataF
 def fingerprint(*columns: str) -> Column:
     """SHA-256 of the columns as JSON, in name order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+#: Allowed ranges of the test tables' parameters.
+RULE_LIMITS = {"p_size": (5, 45)}

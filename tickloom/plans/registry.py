@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tickloom.plans import bar_queries, evidence_queries, report_queries, stream_queries, trade_queries  # noqa: F401
+    from tickloom.plans import bar_queries, evidence_queries, extra_queries, report_queries, stream_queries, trade_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
