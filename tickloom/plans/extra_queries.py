@@ -66,7 +66,7 @@ def l3_survivor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l9_spread_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = t.read(spark, sf_dir, "part").select(F.col("p_brand").alias("hypothesis_id"), F.col("p_partkey").alias("variant_rank"), F.col("p_size").cast("double").alias("a"), "p_retailprice")
+    parts = t.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("hypothesis_id"), F.col("p_partkey").alias("variant_rank"), F.col("p_size").cast("double").alias("a"), "p_retailprice")
     return gates.farthest_points(parts, 8)
 
 
@@ -85,10 +85,10 @@ def s10_provider_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("a IS NOT NULL AND b IS NOT NULL").select("hour", F.round((F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 10000, 4).alias("difference_bps"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, scenario, round(l_extendedprice * (1 + bps / 10000), 4) AS paid FROM lineitem, (VALUES ('optimistic', 1.0::DOUBLE), ('base', 3.0::DOUBLE), ('stress', 7.0::DOUBLE)) c(scenario, bps) WHERE l_returnflag = 'A'""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, scenario, round(l_extendedprice * (1 + bps / 10000), 6) AS paid FROM lineitem, (VALUES ('optimistic', 1.0::DOUBLE), ('base', 3.0::DOUBLE), ('stress', 7.0::DOUBLE)) c(scenario, bps) WHERE l_returnflag = 'A'""")
 def f4_market_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trades.with_scenarios(t.read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "scenario", F.round(trades.market_price(F.col("l_extendedprice"), F.lit("buy"), F.col("impact_bps")), 4).alias("paid"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "scenario", F.round(trades.market_price(F.col("l_extendedprice"), F.lit("buy"), F.col("impact_bps")), 6).alias("paid"))
 
 
 @query("""SELECT o_orderkey, "check" FROM (SELECT o_orderkey, unnest([CASE WHEN NOT coalesce(n <= 7, false) THEN 'few_lines' END, CASE WHEN NOT coalesce(lowest > 0, false) THEN 'positive_price' END]) AS "check"
