@@ -39,13 +39,13 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for b in range(bits - 1, -1, -1):
-            bit = (ids >> b & 1).astype(bool)
+            bit = (ids & ids.dtype.type(1 << b)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
             ranks.append(cls.directory(packed))
-            low = ids[~bit]
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = np.concatenate([ids[low], ids[np.flatnonzero(bit)]])
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
@@ -127,8 +127,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             here = np.empty_like(lower)
-            here[~bit] = lower[: self.zeros[level]]
-            here[bit] = lower[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            here[np.flatnonzero(~bit)] = lower[: self.zeros[level]]
+            here[np.flatnonzero(bit)] = lower[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
             lower = here
         return lower
 
