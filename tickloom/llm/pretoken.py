@@ -94,7 +94,7 @@ class Chunks(Pieces):
 class Cutter:
     """Cuts texts into pre-tokens and encodes or counts them, as the tokenizer in `path` does without added special tokens."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
