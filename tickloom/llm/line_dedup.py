@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,10 +264,23 @@ def dedup_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5, id_col: s
     gone = removed_lines(keyed_texts(docs, id_col, text_col), tenths, min_tokens)
     gone = stored(gone.groupBy("id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("id", "__id"), "gone")
     kept = docs.drop("n_lines", "n_removed")
-    own = F.split(F.col(text_col), "\n", -1)
     rows = kept.join(limited(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    left = F.filter(own, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(own)).cast("long")
-    n_removed = F.when(F.col(text_col).isNull() | F.col("__gone").isNull(), 0).otherwise(F.size(own) - F.size(left)).cast("long")
+
+    @F.pandas_udf("text string, n long")
+    def cut(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, away in zip(texts, lines, strict=True):
+            if text is None or away is None:
+                out.append((None, 0))
+                continue
+            away, own = set(away), text.split("\n")
+            left = [x for i, x in enumerate(own) if i not in away]
+            out.append(("\n".join(left), len(own) - len(left)))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    # only the texts that change go to Python
+    rows = rows.withColumn("__cut", cut(F.when(F.col("__gone").isNotNull(), F.col(text_col)), F.col("__gone")))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.col("__cut.text"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1))).cast("long")
+    n_removed = F.coalesce(F.col("__cut.n"), F.lit(0)).cast("long")
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
