@@ -60,6 +60,12 @@ def test_best_container_without_article():
     assert html_text.main_text(page) == f"{long.strip()}\n{(long * 2).strip()}\ntail"
 
 
+def test_wrappers_and_comments():
+    text = "Some article text, with commas, that is long enough to be found as the main text of the page."
+    page = f'<div class="page has-sidebar"><div class="sidebar"><p>{text} No.</p></div><article class="post"><p>{text}</p></article><section class="comments"><article><p>{text} {text}</p></article></section></div>'
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<p>a < b & c</p>", "a < b & c"), ("<script>x</script>", ""), ("<p>unclosed <i>it", "unclosed it"), ("</div></p><p>x</div>", "x"), ("<nav>only</nav>", "")])
 def test_odd_pages(page, want):
     assert html_text.main_text(page) == want

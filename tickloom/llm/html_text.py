@@ -23,11 +23,9 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h2 h3 h4 h5 h6 figcaption".split())
 CLOSED_BY = {"p": BLOCKS - frozenset(("html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "summary", "figcaption")), "li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")), "option": frozenset(("option",))}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead"
-    " comment comments reply replies disqus respond cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe subscription"
-    " signup login search pagination pager widget widgets toolbar tags copyright disclaimer skip paywall".split()
-)
+# Names of kinds of content that is never main text, and of page layout: a wrapper may be named for its layout ("with-sidebar") and still hold the article.
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus respond cookie cookies consent gdpr notice notices related recommended newsletter subscribe subscription widget widgets disclaimer paywall".split())
+LAYOUT = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead popup modal overlay share sharing social signup login search pagination pager toolbar tags copyright skip".split())
 WORDY = re.compile(r"[a-z]+|[A-Z][a-z]*")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -38,25 +36,29 @@ class Node:
 
     __slots__ = ("name", "parent", "children", "score", "noise")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool = False):
+    def __init__(self, name: str, parent: Node | None, noise: int = 0):
         self.name, self.parent, self.children, self.score, self.noise = name, parent, [], 0.0, noise
 
 
-def noisy(name: str, attributes: str) -> bool:
-    """Whether an element is of a kind that holds no main text."""
+def noisy(name: str, attributes: str) -> int:
+    """2 for an element of a kind that holds no main text, 1 for one that is only named like page layout, else 0."""
     if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if not attributes or name in ("html", "body"):
+        return 0
+    layout = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id") and not NOISE.isdisjoint(w.lower() for w in WORDY.findall(html.unescape(value))):
-            return True
+            return 2
+        if key in ("class", "id"):
+            words = {w.lower() for w in WORDY.findall(html.unescape(value))}
+            if not NOISE.isdisjoint(words):
+                return 2
+            layout = layout or int(name not in ("article", "main") and not LAYOUT.isdisjoint(words))
         if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return 2
+    return layout
 
 
 def parse(page: str) -> Node:
@@ -97,6 +99,10 @@ def parse(page: str) -> Node:
                 node = up.parent
         child = Node(name, node, noisy(name, attributes))
         node.children.append(child)
+        if name in ("article", "main") and not child.noise:  # what holds the article is more than layout
+            up = node
+            while up is not None and up.noise < 2:
+                up.noise, up = 0, up.parent
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = close.end()
