@@ -2,7 +2,7 @@
 
 A model holds, for each language, log frequencies of its known words, and of the character n-grams of words (with marks for the
 word's ends). A known word adds its log frequency in each language. An unseen word is read left to right: at each place the
-longest known n-gram counts, from `max_n` characters down to one, each step down at a cost that is the same for all languages.
+longest known n-gram counts, from `max_n` characters down to one; the word adds the mean of its n-grams' log frequencies.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 UND = "und"
 #: Words that are summed at a time.
 STEP = 4096
-#: A word: a run of letters, with marks and apostrophes inside.
+#: A word: a run of letters and of numbers that are no digits, with apostrophes inside.
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: The same for Spark's patterns.
-WORD_JVM = r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*"
+WORD_JVM = r"[\p{L}\p{Nl}\p{No}]+(?:['’][\p{L}\p{Nl}\p{No}]+)*"
 
 
 class _Rows(dict):
@@ -75,7 +75,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior from 0 to 1); (und, 0) without a letter. Ties go to the first language."""
         words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UND, 0.0
         if self.rows is None:
             self.rows = _Rows(self, self.cache)
@@ -93,7 +93,7 @@ def _sample(docs: DataFrame, max_docs: int) -> DataFrame:
     """At most about max_docs labelled documents of each language, by a hash of the id: (id, text, lang)."""
     counts = docs.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count")))
     spread = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(counts.select("lang", "share").limit(1000)), "lang").where(spread < F.col("share")).select("id", "text", "lang")
+    return docs.join(counts.select("lang", "share"), "lang").where(spread < F.col("share")).select("id", "text", "lang")
 
 
 def fit(docs: DataFrame, max_docs: int = 2000, max_words: int = 30_000, max_grams: int = 30_000, max_n: int = 5, max_languages: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
