@@ -244,12 +244,12 @@ def test_decontamination_edges(spark):
     rng = np.random.default_rng(4)
     words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
     item = words(30)
-    edited = [w for i, w in enumerate(item) if i % 9] + ["new"]
-    texts = [(1, " ".join(words(50) + item + words(50))), (2, " ".join(words(10) + edited)), (3, " ".join(words(100))), (4, None), (None, " ".join(item)), (5, ""), (5, " ".join(item).upper()), (6, " ".join(words(60_000) + item)), (7, " ".join(item[:9] + words(30)))]
+    edited, other = [w for i, w in enumerate(item) if i % 9] + ["new"], words(12)
+    texts = [(1, " ".join(words(50) + item + words(50))), (2, " ".join(words(10) + edited)), (3, " ".join(words(100))), (4, None), (None, " ".join(item)), (5, ""), (5, " ".join(item).upper()), (6, " ".join(words(60_000) + item)), (7, " ".join(item[:9] + words(30))), (8, " ".join(other))]
     docs = spark.createDataFrame([("e", k, t, 0, 0) for k, t in texts], SCHEMA)
-    items = spark.createDataFrame([(1, " ".join(item), "x"), (2, None, "x"), (3, "one word", "x"), (None, "", "x")], "item_id long, text string, doc_id string")
+    items = spark.createDataFrame([(1, " ".join(item), "x"), (2, None, "x"), (3, "one word", "x"), (None, "", "x"), (None, " ".join(other), "x")], "item_id long, text string, doc_id string")
     out = decontaminate.leaks(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (2, 1), (None, 1), (5, 1), (6, 1)}
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (2, 1), (None, 1), (5, 1), (6, 1), (8, None)}
     assert sorted((r.doc_id, (r.text or "")[:3]) for r in decontaminate.decontaminated(docs, items).collect()) == sorted((k, (t or "")[:3]) for k, t in texts if k in (3, 4, 7))
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.leaks(docs.limit(0), items).count() == 0

@@ -73,8 +73,8 @@ def passages(docs: DataFrame, seeds: DataFrame, n: int, margin: float = 1.5) ->
 
     if seeds.count() <= MAX_SENT:
         table: dict[tuple, list] = {}
-        for item, seed, size in seeds.toPandas().itertuples(index=False, name=None):
-            table.setdefault(tuple(seed.split(" ")), []).append((item, int(size)))
+        for item, seed, size in seeds.collect():
+            table.setdefault(tuple(seed.split(" ")), []).append((item, size))
         sent = spark.sparkContext.broadcast(table)
 
         def scan(batches) -> Iterator[pa.RecordBatch]:
@@ -164,33 +164,64 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.75, le
 
     A copy is a passage whose best local alignment with the item (match 2, mismatch -1, gap -1) scores `least` of the item's own score or
     more. An item's seeds are the `share` of its n-grams that are rarest in the documents; seeds as frequent as the last of them
-    count too. Null and empty texts and items hold nothing; a null id stays null; rows with equal ids are one document; the best passage is
+    count too; how often one occurs is counted over the passages around its item's seeds. Null and empty texts and items hold nothing; a null id stays null; rows with equal ids are one document; the best passage is
     given, the first of equals; items of fewer than min_words words are no evidence and are not sought; empty tables give no rows; other columns are not read.
     """
     texts = keyed_texts(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     seeds = stored(seeds_of(tests, n).where(F.col("size") >= min_words), "seeds")
     found = stored(passages(texts, seeds, n), "passages")
-    often = found.select("id", "first", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    counted = seeds.join(often, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    often = found.select(F.col("item").alias("of"), F.explode("seeds").alias("s")).groupBy("of", "s").agg(F.count("*").alias("n"))
+    counted = seeds.join(often, F.col("item").eqNullSafe(F.col("of")) & (F.col("seed") == F.col("s")), "left").select("item", "seed", F.coalesce("n", F.lit(0)).alias("df"))
     limit = counted.groupBy(F.col("item").alias("of")).agg(F.percentile("df", F.lit(share)).alias("most"))
-    rare = counted.join(limit, F.col("item").eqNullSafe(F.col("of"))).where("df <= most").select("of", "seed")
-    pairs = found.select("*", F.explode("seeds").alias("seed")).join(rare, "seed").where(F.col("item").eqNullSafe(F.col("of")))
-    pairs = pairs.select("id", "item", "first", "words").distinct()
-    whole = tests.select(F.col("id").alias("of"), F.col("text").alias("item_text")).distinct()
-    pairs = pairs.join(whole, F.col("item").eqNullSafe(F.col("of"))).select("id", "item", "first", "words", "item_text")
+    rare = counted.join(limit, F.col("item").eqNullSafe(F.col("of"))).where("df <= most").select("item", "seed")
+    whole = tests.join(seeds.select(F.col("item").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select(F.col("id").alias("item"), "text").distinct()
+    schema = "id long, item long, score double, start long, end long"
+
+    def aligned(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (id, item, first, passage words, item words)."""
+        best, ends = align([r[4] for r in rows], [r[3] for r in rows])
+        scores = best / np.array([MATCH * len(r[4]) for r in rows])
+        out = [(r[0], r[1], s, r[2], r[2] + e) for r, s, e in zip(rows, scores.tolist(), ends.tolist(), strict=True) if s >= least]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64() if i == 2 else pa.int64()) for i in range(5)], ["id", "item", "score", "start", "end"])
+
+    if seeds.count() <= MAX_SENT:  # as many seeds may be sent, and the items that they are from
+        wanted: dict = {}
+        for item, seed in rare.collect():
+            wanted.setdefault(item, set()).add(seed)
+        own: dict = {}
+        for item, text in whole.collect():
+            if len(words_of(text)) >= min_words:
+                own.setdefault(item, []).append(words_of(text))
+        sent = texts.sparkSession.sparkContext.broadcast((wanted, own))
+
+        def score(batches) -> Iterator[pa.RecordBatch]:
+            wanted, own = sent.value
+            for batch in batches:
+                rows = []
+                for key, item, first, words, held in zip(*(batch.column(c) for c in ("id", "item", "first", "words", "seeds")), strict=True):
+                    item = item.as_py()
+                    if not wanted.get(item, set()).isdisjoint(held.as_py()):
+                        rows += [(key.as_py(), item, first.as_py(), words.as_py(), x) for x in own[item]]
+                if rows:
+                    yield aligned(rows)
 
-    def score(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [words_of(x.as_py()) for x in batch.column("item_text")]
-            there = [x.as_py() for x in batch.column("words")]
-            best, ends = align(own, there)
-            share = best / np.array([MATCH * max(len(x), 1) for x in own])
-            first = batch.column("first").to_numpy()
-            rows = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("item"), pa.array(share), pa.array(first), pa.array(first + ends)], ["id", "item", "score", "start", "end"])
-            yield rows.filter(pa.array(share >= least))
-
-    scored = pairs.mapInArrow(score, "id long, item long, score double, start long, end long")
+        scored = found.select("id", "item", "first", "words", "seeds").mapInArrow(score, schema)
+    else:
+        spots = found.select("id", "item", "first", F.explode("seeds").alias("s"))
+        rare = rare.withColumnRenamed("item", "of")
+        spots = spots.join(rare, F.col("item").eqNullSafe(F.col("of")) & (F.col("seed") == F.col("s"))).select(F.struct("id", "item", "first").alias("k")).distinct()
+        kept = found.join(spots, F.struct("id", "item", "first").eqNullSafe(F.col("k")), "left_semi")
+        kept = kept.join(whole.select(F.col("item").alias("of"), F.col("text").alias("item_text")), F.col("item").eqNullSafe(F.col("of")))
+
+        def score(batches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(key.as_py(), item.as_py(), first.as_py(), words.as_py(), words_of(text.as_py())) for key, item, first, words, text in zip(*(batch.column(i) for i in range(5)), strict=True)]
+                rows = [r for r in rows if len(r[4]) >= min_words]
+                if rows:
+                    yield aligned(rows)
+
+        scored = kept.select("id", "item", "first", "words", "item_text").mapInArrow(score, schema)
     best = scored.groupBy("id", "item").agg(F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.score", "b.start", "b.end")
 
