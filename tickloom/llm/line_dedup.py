@@ -27,6 +27,8 @@ LINE_COLUMNS = ["id", "line", "cls", "n", "bits", "more", "prefix"]
 WIDE = 70
 #: Postings of a token that are kept together; two such groups meet at a time.
 GROUP = 256
+#: Candidates that a line takes from a group in the first pass; those of lines with more come in another pass.
+FIRST = 4
 #: Rows up to which the smaller side of a join is broadcast; a larger one is shuffled.
 SMALL = 1_000_000
 
@@ -126,8 +128,9 @@ def line_rows(docs: DataFrame, counts, tenths: int, min_tokens: int) -> DataFram
     return docs.mapInArrow(read, "id long, line int, cls long, n int, bits long, more long, prefix array<long>")
 
 
-def _pairs(tenths: int, every: bool):
-    """Candidates among the members of each group: for each open member the earliest earlier one that passes the filters, or every one."""
+def _pairs(tenths: int, most: int | None):
+    """Candidates among the members of each group: for each open member the `most` earliest earlier ones that pass the filters (None:
+    all), and whether there are more."""
 
     def find(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,17 +158,18 @@ def _pairs(tenths: int, every: bool):
                     na, nb = n[a], n[b]
                     need = -(-(na + nb) * tenths // (10 + tenths))  # least overlap at which the similarity is reached
                     ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb))
-                    most = na + nb - 2 * need  # tokens of either line that the other may lack, and so differing bits of their maps
-                    ok &= np.bitwise_count(both[a] ^ both[b]) <= most
-                    ok &= (np.minimum(na, nb) <= WIDE) | (np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= most)
+                    apart = na + nb - 2 * need  # tokens of either line that the other may lack, and so differing bits of their maps
+                    ok &= np.bitwise_count(both[a] ^ both[b]) <= apart
+                    ok &= (np.minimum(na, nb) <= WIDE) | (np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= apart)
                     ok &= np.triu(np.ones((g, g), bool), 1)[None] & opened[b] & ((key[a] != key[b]) | (line[a] != line[b]) | (null[a] != null[b]))
-                    if not every:
-                        ok &= np.cumsum(ok, axis=1) == 1
+                    count = np.cumsum(ok, axis=1)
+                    full = count[:, -1, :] > (g if most is None else most)
+                    ok &= count <= (g if most is None else most)
                     i, x, y = np.nonzero(ok)
-                    out.append(np.stack([rows[i, x], rows[i, y]]))
-            x, y = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                    out.append(np.stack([rows[i, x], rows[i, y], full[i, y]]))
+            x, y, full = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(key[y], mask=null[y]), pa.array(line[y]), pa.array(key[x], mask=null[x]), pa.array(line[x])], PAIR_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(key[y], mask=null[y]), pa.array(line[y]), pa.array(key[x], mask=null[x]), pa.array(line[x]), pa.array(full.astype(bool))], [*PAIR_COLUMNS, "full"])
 
     return find
 
@@ -235,20 +239,27 @@ def removed_lines(docs: DataFrame, tenths: int = 8, min_tokens: int = 5) -> Data
         members = F.collect_list(F.struct("id", "line", "bits", "more", "sizes", "open")).alias("members")
         return rows.groupBy("group").agg(members, F.bool_or("open").alias("any")).where((F.size("members") > 1) & F.col("any")).select("members")
 
-    first = grouped(spots.withColumn("open", F.lit(True))).mapInArrow(_pairs(tenths, False), PAIR_SCHEMA)
-    first = stored(first.groupBy("id", "line").agg(F.min(F.struct("to_id", "to_line")).alias("t")).select("id", "line", "t.*"), "first")
-    good = stored(verified(first, docs, tenths), "good")
-    matched = good.select("id", "line")
-    # lines whose earliest candidate is no match try all their candidates: the postings of their tokens meet once more
     same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("line") == F.col(b))
     named = lambda df: df.select(F.col("id").alias("k"), F.col("line").alias("l"))
-    left = stored(first.join(limited(named(good)), same("k", "l"), "left_anti").select("id", "line"), "left")
+    without = lambda df, other: df.join(limited(named(other)), same("k", "l"), "left_anti")
+    pairs = f"{PAIR_SCHEMA}, full boolean"
+    found = grouped(spots.withColumn("open", F.lit(True))).mapInArrow(_pairs(tenths, FIRST), pairs)
+    found = stored(found.groupBy(*PAIR_COLUMNS).agg(F.max("full").alias("full")), "found")
+    # each line's earliest candidate is tried first, the others only if that is no match
+    first = stored(found.groupBy("id", "line").agg(F.min(F.struct("to_id", "to_line")).alias("t"), F.max("full").alias("full")).select("id", "line", "t.*", "full"), "first")
+    good = stored(verified(first.select(*PAIR_COLUMNS), docs, tenths), "good")
+    left = stored(without(first, good), "left")
+    tried = left.select(F.col("id").alias("k"), F.col("line").alias("l"), F.col("to_id").alias("k2"), F.col("to_line").alias("l2"))
+    others = found.join(limited(tried), same("k", "l")).where(~(F.col("to_id").eqNullSafe(F.col("k2")) & (F.col("to_line") == F.col("l2")))).select(*PAIR_COLUMNS)
+    better = stored(verified(stored(others, "others"), docs, tenths).select("id", "line").distinct(), "better")
+    matched = good.select("id", "line").unionByName(better)
+    # lines that some group has more candidates for: the postings of their tokens meet once more
+    left = stored(without(left.where("full"), better).select("id", "line"), "left")
     if not left.isEmpty():
         tokens = stored(reps.join(limited(named(left)), same("k", "l"), "left_semi").select(F.explode("prefix").alias("token")).distinct(), "tokens")
         again = spots.join(limited(tokens), "token", "left_semi").join(limited(named(left).withColumn("open", F.lit(True))), same("k", "l"), "left")
-        rest = grouped(again.select("id", "line", "bits", "more", "sizes", "token", "subs", F.coalesce("open", F.lit(False)).alias("open"))).mapInArrow(_pairs(tenths, True), PAIR_SCHEMA).distinct()
-        tried = first.select(*[F.col(c).alias(f"t_{c}") for c in PAIR_COLUMNS])
-        rest = rest.join(tried, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("line") == F.col("t_line")) & F.col("to_id").eqNullSafe(F.col("t_to_id")) & (F.col("to_line") == F.col("t_to_line")), "left_anti")
+        again = grouped(again.select("id", "line", "bits", "more", "sizes", "token", "subs", F.coalesce("open", F.lit(False)).alias("open")))
+        rest = again.mapInArrow(_pairs(tenths, None), pairs).select(*PAIR_COLUMNS).distinct()
         matched = matched.unionByName(verified(stored(rest, "rest"), docs, tenths).select("id", "line"))
     return copies.unionByName(matched).distinct()
 
