@@ -213,6 +213,30 @@ def test_recall_of_edited_passages(spark):
     assert found <= {(2 * i + 1, 2 * i) for i in range(60)} and len(found) >= 54
 
 
+def test_members_of_a_group_are_linked_without_its_first(spark):
+    """Near copies under a first document that only shares a common part with them, and a chain of which only neighbours match."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    common, rows, want = words(42), [(0, " ".join(words(30)))], set()
+    rows[0] = (0, " ".join(words(20)) + " " + " ".join(common) + " " + " ".join(words(20)))
+    for i in range(1, 41):
+        own = words(20) + common + words(20)
+        rows.append((2 * i, " ".join(own)))
+        own[5], own[70] = "changed", "changed"
+        rows.append((2 * i + 1, " ".join(own)))
+        want.add((2 * i + 1, 2 * i))
+    for i in range(40):  # c differs from a in one word and b from c in another; a and b have too little in common
+        a = words(60)
+        c = [*a[:14], "first", *a[15:]]
+        rows += [(1000 + 3 * i, " ".join(a)), (1001 + 3 * i, " ".join([*c[:43], "second", *c[44:]])), (1002 + 3 * i, " ".join(c))]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = {k: shingles(t) for k, t in rows}
+    found = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= found
+    assert len(found & {(1002 + 3 * i, 1001 + 3 * i) for i in range(40)}) >= 32 and not found & {(1001 + 3 * i, 1000 + 3 * i) for i in range(40)}
+    assert all(len(sets[a] & sets[b]) >= 41 for a, b in found)
+
+
 def simple_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
