@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of the benchmark's items is a seed. Passages of the documents around seeds are gathered, with the seeds that they hold; the seeds'
-occurrences over all documents give their rarity, and for each item its rarest share of seeds counts. A passage with such a seed is aligned with the item
-word by word; it is a leak if the alignment's score is a given share of the item's score with itself.
+Every n-gram of the benchmark's items is a seed. Passages of the documents around seeds are gathered. Those that hold enough of their item's words
+are aligned with it word by word; a passage is a leak if the alignment's score is a given share of the item's score with itself.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds up to which they are sent to every task; more are joined by a shuffle.
 MAX_SENT = 500_000
-PASSAGE_SCHEMA = "id long, item long, first long, words array<string>, seeds array<string>"
+PASSAGE_SCHEMA = "id long, item long, first long, words array<string>"
 
 
 def words_of(text: str) -> list[str]:
@@ -61,7 +60,7 @@ def _passages(words: list[str], found: dict, margin: float) -> Iterator[tuple]:
         for run in _cluster(places, size):
             reach = int(size * margin) + 1
             first = max(0, run[0][0] - reach)
-            yield item, first, words[first : run[-1][0] + reach], sorted({s for _, s in run})
+            yield item, first, words[first : run[-1][0] + reach]
 
 
 def passages(docs: DataFrame, seeds: DataFrame, n: int, margin: float = 1.5) -> DataFrame:
@@ -69,7 +68,7 @@ def passages(docs: DataFrame, seeds: DataFrame, n: int, margin: float = 1.5) ->
     spark, schema = docs.sparkSession, PASSAGE_SCHEMA
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(("id", "item", "first", "words", "seeds"), r, strict=True)) for r in rows], pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.string()))]))
+        return pa.RecordBatch.from_pylist([dict(zip(("id", "item", "first", "words"), r, strict=True)) for r in rows], pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.string()))]))
 
     if seeds.count() <= MAX_SENT:
         table: dict[tuple, list] = {}
@@ -158,61 +157,49 @@ def align(items: list[list[str]], texts: list[list[str]]) -> tuple[np.ndarray, n
     return best, ends
 
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.75, least: float = 0.5, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds a copy of: id, item_id, score (0 to 1), start (the first word of the
     passage that was aligned) and end (the word after the alignment).
 
     A copy is a passage whose best local alignment with the item (match 2, mismatch -1, gap -1) scores `least` of the item's own score or
-    more. An item's seeds are the `share` of its n-grams that are rarest in the documents; seeds as frequent as the last of them
-    count too; how often one occurs is counted over the passages around its item's seeds. Null and empty texts and items hold nothing; a null id stays null; rows with equal ids are one document; the best passage is
+    more and that holds one of its n-grams, however frequent. Null and empty texts and items hold nothing; a null id stays null; rows with equal ids are one document; the best passage is
     given, the first of equals; items of fewer than min_words words are no evidence and are not sought; empty tables give no rows; other columns are not read.
     """
     texts = keyed_texts(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     seeds = stored(seeds_of(tests, n).where(F.col("size") >= min_words), "seeds")
-    found = stored(passages(texts, seeds, n), "passages")
-    often = found.select(F.col("item").alias("of"), F.explode("seeds").alias("s")).groupBy("of", "s").agg(F.count("*").alias("n"))
-    counted = seeds.join(often, F.col("item").eqNullSafe(F.col("of")) & (F.col("seed") == F.col("s")), "left").select("item", "seed", F.coalesce("n", F.lit(0)).alias("df"))
-    limit = counted.groupBy(F.col("item").alias("of")).agg(F.percentile("df", F.lit(share)).alias("most"))
-    rare = counted.join(limit, F.col("item").eqNullSafe(F.col("of"))).where("df <= most").select("item", "seed")
+    found = passages(texts, seeds, n)
     whole = tests.join(seeds.select(F.col("item").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select(F.col("id").alias("item"), "text").distinct()
     schema = "id long, item long, score double, start long, end long"
 
     def aligned(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (id, item, first, passage words, item words)."""
+        """rows: (id, item, first, passage words, item words). Where too few of the item's words occur for the score, none is computed."""
+        held = [set(r[3]) for r in rows]
+        rows = [r for r, own in zip(rows, held, strict=True) if sum(w in own for w in r[4]) >= least * len(r[4])]
         best, ends = align([r[4] for r in rows], [r[3] for r in rows])
         scores = best / np.array([MATCH * len(r[4]) for r in rows])
         out = [(r[0], r[1], s, r[2], r[2] + e) for r, s, e in zip(rows, scores.tolist(), ends.tolist(), strict=True) if s >= least]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64() if i == 2 else pa.int64()) for i in range(5)], ["id", "item", "score", "start", "end"])
 
     if seeds.count() <= MAX_SENT:  # as many seeds may be sent, and the items that they are from
-        wanted: dict = {}
-        for item, seed in rare.collect():
-            wanted.setdefault(item, set()).add(seed)
         own: dict = {}
         for item, text in whole.collect():
             if len(words_of(text)) >= min_words:
                 own.setdefault(item, []).append(words_of(text))
-        sent = texts.sparkSession.sparkContext.broadcast((wanted, own))
+        sent = texts.sparkSession.sparkContext.broadcast(own)
 
         def score(batches) -> Iterator[pa.RecordBatch]:
-            wanted, own = sent.value
+            own = sent.value
             for batch in batches:
                 rows = []
-                for key, item, first, words, held in zip(*(batch.column(c) for c in ("id", "item", "first", "words", "seeds")), strict=True):
-                    item = item.as_py()
-                    if not wanted.get(item, set()).isdisjoint(held.as_py()):
-                        rows += [(key.as_py(), item, first.as_py(), words.as_py(), x) for x in own[item]]
+                for key, item, first, words in zip(*(batch.column(c) for c in ("id", "item", "first", "words")), strict=True):
+                    rows += [(key.as_py(), item.as_py(), first.as_py(), words.as_py(), x) for x in own[item.as_py()]]
                 if rows:
                     yield aligned(rows)
 
-        scored = found.select("id", "item", "first", "words", "seeds").mapInArrow(score, schema)
+        scored = found.mapInArrow(score, schema)
     else:
-        spots = found.select("id", "item", "first", F.explode("seeds").alias("s"))
-        rare = rare.withColumnRenamed("item", "of")
-        spots = spots.join(rare, F.col("item").eqNullSafe(F.col("of")) & (F.col("seed") == F.col("s"))).select(F.struct("id", "item", "first").alias("k")).distinct()
-        kept = found.join(spots, F.struct("id", "item", "first").eqNullSafe(F.col("k")), "left_semi")
-        kept = kept.join(whole.select(F.col("item").alias("of"), F.col("text").alias("item_text")), F.col("item").eqNullSafe(F.col("of")))
+        kept = found.join(whole.select(F.col("item").alias("of"), F.col("text").alias("item_text")), F.col("item").eqNullSafe(F.col("of")))
 
         def score(batches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
