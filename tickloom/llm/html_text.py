@@ -2,7 +2,7 @@
 
 A tolerant reader builds the tree; elements that never hold main text are dropped by their name, role, class or id. Each
 paragraph gives points for its length and commas to its parent and, halved, to its grandparent; a container's points are scaled
-by the share of its text outside links. The best container is kept with those siblings that score near it or are plain paragraphs.
+by the share of its text outside links. The best container is kept with its siblings of few links; of an article, with those that score near it.
 """
 
 from __future__ import annotations
@@ -41,12 +41,12 @@ class Node:
 
 
 def noisy(name: str, attributes: str) -> int:
-    """2 for an element of a kind that holds no main text, 1 for one that is only named like page layout, else 0."""
+    """2 for an element of a kind that holds no main text, 3 for one that is only named like such, 1 like page layout, else 0."""
     if name in DROPPED:
         return 2
     if not attributes or name in ("html", "body"):
         return 0
-    layout = 0
+    layout = named = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -54,11 +54,11 @@ def noisy(name: str, attributes: str) -> int:
         if key in ("class", "id"):
             words = {w.lower() for w in WORDY.findall(html.unescape(value))}
             if not NOISE.isdisjoint(words):
-                return 2
+                named = 3
             layout = layout or int(name not in ("article", "main") and not LAYOUT.isdisjoint(words))
         if key == "style" and "display:none" in value.replace(" ", "").lower():
             return 2
-    return layout
+    return named or layout
 
 
 def parse(page: str) -> Node:
@@ -99,18 +99,56 @@ def parse(page: str) -> Node:
                 node = up.parent
         child = Node(name, node, noisy(name, attributes))
         node.children.append(child)
-        if name in ("article", "main") and not child.noise:  # what holds the article is more than layout
+        if name in ("article", "main") and child.noise != 2:  # what holds the article is more than layout
             up = node
-            while up is not None and up.noise < 2:
-                up.noise, up = 0, up.parent
+            while up is not None and up.noise != 2:
+                up.noise, up = up.noise if up.noise == 3 else 0, up.parent
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = close.end()
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             node = child
+    spare(root)
     return root
 
 
+def spare(root: Node) -> None:
+    """Clear the noise of elements that are only named like noise but are or hold the article: one longer than all paragraphs outside, or
+    most of the page's paragraph text where no article or main is outside. The outermost come first, so what is noise inside stays so."""
+    while True:
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += [c for c in node.children if isinstance(c, Node) and c.noise not in (1, 2)]
+        if not any(n.noise == 3 for n in order):
+            return
+        text, article, held = {}, {}, {}  # characters in paragraphs, in the longest article or main, and the outermost named elements
+        inside = {}
+        for node in order:
+            bare = node.name in ("div", "section", "article", "main")
+            inside[node] = not bare and (node.name in PARAGRAPHS or inside.get(node.parent, False)) or bare
+        for node in reversed(order):
+            kids = [c for c in node.children if isinstance(c, Node) and c in text]
+            own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if inside[node] else 0
+            text[node] = own + sum(text[c] for c in kids)
+            article[node] = max([article[c] for c in kids], default=0) if node.name not in ("article", "main") else text[node]
+            held[node] = [node] if node.noise == 3 else [x for c in kids for x in held[c]]
+        clean = text[root] - sum(text[x] for x in held[root])
+        apart = any(n.name in ("article", "main") and text[n] > sum(text[x] for x in held[n]) for n in order if n.noise != 3 and not under(n))
+        some = [x for x in held[root] if article[x] > clean or not apart and 2 * text[x] > text[root]]
+        if not some:
+            return
+        max(some, key=lambda x: (article[x], text[x])).noise = 0
+
+
+def under(node: Node) -> bool:
+    """Whether the node lies in an element that is named like noise."""
+    while node is not None and node.noise != 3:
+        node = node.parent
+    return node is not None
+
+
 def score(root: Node) -> Node:
     """Give every container its points and return the best one. Text lengths and link lengths are summed bottom-up without recursion."""
     order, stack = [], [root]
@@ -151,12 +189,14 @@ def score(root: Node) -> Node:
     kept = [best]
     if best.parent is not None:
         kept = []
+        # beside a part of the text stand its other parts; beside an article, or a division of the whole page, other things
+        wide = best.name != "article" and not (best.name in ("div", "main") and best.parent.name in ("body", "html", "#root"))
         for c in best.parent.children:
-            if c is best:
+            if c is best or wide and isinstance(c, str):
                 kept.append(c)
             elif isinstance(c, Node) and not c.noise and text[c]:
                 density = linked[c] / text[c]
-                if c.name == best.name and c.score >= max(10, 0.2 * best.score) or c.name in ("p", "pre", "blockquote") and best.name != "article" and (text[c] > 80 and density < 0.25 or density == 0):
+                if wide and density < 0.25 or c.name == best.name and c.score >= max(10, 0.2 * best.score) or c.name in ("p", "pre", "blockquote") and best.name != "article" and (text[c] > 80 and density < 0.25 or density == 0):
                     kept.append(c)
     out = Node("#kept", None)
     out.children = kept
