@@ -90,7 +90,7 @@ def links(prints: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     tiles = stored(tiles.groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps")), "tiles")
     moves = [sum(d * 32**k for k, d in enumerate(m)) for m in product(range(-radius, radius + 1), repeat=LANES) if sum(map(abs, m)) <= radius]
     # each tile goes to every pair it is part of: the tiles of the near cells, looked up in the table of cells
-    sizes = tiles.groupBy("cell").agg(F.count("*").cast("int").alias("subs")).select(F.col("cell").alias("to"), "subs")
+    sizes = tiles.groupBy("cell").agg((F.max("sub") + 1).alias("subs")).select(F.col("cell").alias("to"), "subs")
     sent = tiles.select("*", F.explode(F.array(*[F.col("cell") + m for m in moves])).alias("to")).join(F.broadcast(sizes), "to")
     sent = sent.select("cell", "sub", "to", "fps", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("to_sub"))
     here, there = F.struct(F.col("cell").alias("c"), F.col("sub").alias("s")), F.struct(F.col("to").alias("c"), F.col("to_sub").alias("s"))
