@@ -96,7 +96,7 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def simple_lines(texts, least=5):
+def simple_lines(texts, least=1):
     """Kept lines of (id, text) in order: a line goes if an earlier one has a Jaccard similarity of 0.8 or more."""
     seen, out = [], {}
     for key, text in sorted(texts):
@@ -122,23 +122,43 @@ def test_op7_equals_brute_force(spark):
         assert r.n_removed == 0 or r.n_removed == r.n_lines - (r.text.count("\n") + 1) or r.text == ""
 
 
-def test_lines_of_edited_families(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "GROUP", 4)
+def edited_families(n=12):
     rng = np.random.default_rng(5)
     words, texts = [f"w{i}" for i in range(40)], []
     for family in range(6):
-        base = rng.choice(words, rng.integers(5, 16)).tolist()
-        for _ in range(12):
+        base = rng.choice(words, rng.integers(4, 16)).tolist()
+        for _ in range(n):
             own = list(base)
             for _ in range(rng.integers(0, 3)):
                 own[rng.integers(len(own))] = f"x{rng.integers(30)}"
             texts.append(" ".join(own))
+    texts += [" ".join(f"{w}{i % 3 if i < 60 else 0}" for i in range(90)) for w in ("p", "q", "p")]
     rng.shuffle(texts)
-    docs = [(i, "\n".join(texts[3 * i : 3 * i + 3])) for i in range(len(texts) // 3)]
+    return [(i, "\n".join(texts[3 * i : 3 * i + 3])) for i in range(len(texts) // 3)]
+
+
+def test_lines_of_edited_families(spark):
+    docs = edited_families()
     out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in out} == simple_lines(docs)
 
 
+@pytest.mark.parametrize("first, hot, group", [(1, 0, 4), (1, 255, 4096), (2, 20, 7)])
+def test_hot_tokens_and_full_search_lose_no_line(spark, first, hot, group):
+    docs = edited_families()
+    rows, _ = line_dedup.documents(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    gone = {(r.id, r.line) for r in line_dedup.removed_lines(rows, first=first, hot=hot, group=group).collect()}
+    kept = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in docs}
+    assert kept == simple_lines(docs)
+
+
+def test_unlike_texts_of_one_id_keep_their_own_lines(spark):
+    rows = [(7, "a b c d e\nown one"), (7, "own two\nE d c b a"), (7, "own two\nE d c b a"), (None, "x\ny"), (None, "z\nx"), (3, "zz")]
+    out = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = {t for k, t in out if k == 7}
+    assert len(out) == 6 and texts in ({"a b c d e\nown one", "own two"}, {"own one", "own two\nE d c b a"}) and {t for k, t in out if not k} in ({"x\ny", "z"}, {"y", "z\nx"})
+
+
 def test_line_edges(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [("a", 2, "one two three four five\nx", 9, 0), ("b", 1, None, 9, 0), ("c", None, "Five four three two one", 9, 0), ("d", 4, "", 9, 0), ("e", 4, "", 9, 0), ("f", 6, long, 9, 0), ("g", 7, f"{long} more\nkeep", 9, 0)]

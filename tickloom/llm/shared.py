@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -12,18 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders of applications that name none, by application id (tests on one machine).
-_OWN: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine (as in tests) gets a
+    folder of its own; any other raises, as executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where is None:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
-        where = _OWN[app]
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -49,7 +45,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: White space of more than one byte, as str.split() has it; the table has that of one byte.
-WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WIDE_SPACE = dict.fromkeys([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], " ")
+WIDE_CHARACTERS = [chr(x) for x in WIDE_SPACE]
 SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 
@@ -67,8 +64,8 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 def plain_bytes(text: str) -> bytes:
     """A text lower-cased, white space of several bytes made spaces, in UTF-8."""
     text = text.lower()
-    if not text.isascii() and WIDE_SPACE.search(text):
-        text = WIDE_SPACE.sub(" ", text)
+    if not text.isascii() and any(c in text for c in WIDE_CHARACTERS):
+        text = text.translate(WIDE_SPACE)
     return text.encode("utf-8", "surrogatepass")
 
 
@@ -79,12 +76,16 @@ def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     data = np.frombuffer(text, np.uint8)
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = SPACE[data]
+    low = space[1:-1]
+    np.less_equal(data, 32, out=low)
+    if not SPACE[data[low]].all():  # other control characters
+        low[:] = SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[::2], edges[1::2]
     power, inverse = _powers(max(20, (len(data) + 1).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    np.multiply(data, power[: len(data)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start, data
 
 
