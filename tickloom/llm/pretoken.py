@@ -14,10 +14,21 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 from operator import itemgetter, mul
 
-#: Characters outside this set send a text (between special strings) to the library's own pre-tokenizer. Inside it, letters and
-#: numbers are those below, white space is space, tab, line feed, vertical tab, form feed, carriage return and no-break space,
-#: and normalisation form C changes nothing.
-UNCOMMON = re.compile(r"[^\t-\r -~ -įı-ɏ‐-‧€]")
+#: Ranges of common characters. Inside them, letters and numbers are those below, white space is space, tab, line feed, vertical tab,
+#: form feed, carriage return and no-break space, and normalisation form C changes nothing.
+COMMON = ((0x09, 0x0D), (0x20, 0x7E), (0xA0, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC))
+
+
+def outside(kept: list[str]) -> re.Pattern:
+    """A pattern for any character but those kept."""
+    return re.compile("[^" + "".join(re.escape(c) for c in kept) + "]")
+
+
+CHARACTERS = [chr(x) for a, b in COMMON for x in range(a, b + 1)]
+#: A text (between special strings) that holds such a character is cut by the library's own pre-tokenizer. Where texts are lower-cased first,
+#: a capital whose small letter is not common counts as uncommon, too.
+UNCOMMON = outside(CHARACTERS)
+UNCOMMON_LOWERED = outside([c for c in CHARACTERS if set(c.lower()) <= set(CHARACTERS)])
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
 
@@ -100,6 +111,7 @@ class Cutter:
         self.tokenizer = Tokenizer.from_file(path)
         self.words = self.tokenizer.normalizer is not None
         self.pattern = WORD_PATTERN if self.words else BYTE_PATTERN
+        self.uncommon = UNCOMMON_LOWERED if self.words else UNCOMMON
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         if max(self.special.values(), default=0) >= 2**16 or self.tokenizer.get_vocab_size() > 2**16:
@@ -131,7 +143,7 @@ class Cutter:
         """Tokens of a text: its distinct pre-tokens' piece counts, each times its frequency."""
         total = 0
         for segment, special in self.segments(text):
-            common = UNCOMMON.search(segment) is None
+            common = self.uncommon.search(segment) is None
             found = Counter(self.pretokens(segment) if common else self.library_pretokens(segment))
             counts = self.counts if common else self.mapped_counts
             total += sum(map(mul, map(counts.__getitem__, found), found.values())) + (special is not None)
@@ -141,7 +153,7 @@ class Cutter:
         """Ids of a text as little-endian 16-bit integers."""
         out = []
         for segment, special in self.segments(text):
-            if UNCOMMON.search(segment) is not None:
+            if self.uncommon.search(segment) is not None:
                 out.append(b"".join(map(self.mapped.__getitem__, self.library_pretokens(segment))))
             elif plain_spaces(segment):
                 first, *rest = (segment.lower() if self.words else segment).split(" ")
