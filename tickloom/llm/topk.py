@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 
 #: Products of integers below this sum exactly in doubles.
 EXACT = 2.0**53
+#: Scores are 64-bit integers.
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """The same integers without a limit of size."""
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
 
 
 class SortedLists:
@@ -31,8 +38,8 @@ class SortedLists:
         """(ids, scores) of the k best, higher scores first, then smaller ids; the row with id `own` takes no part."""
         n, used = len(self.ids), np.flatnonzero(query)
         exact = self.top * float(np.abs(query).sum()) < EXACT
-        vectors = self.vectors if exact else self.vectors.astype(object)
-        weights = query if exact else query.astype(object)
+        vectors = self.vectors if exact else whole(self.vectors)
+        weights = query if exact else whole(query)
         seen = np.zeros(n, bool)
         if own is not None:
             seen[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = True
@@ -50,6 +57,8 @@ class SortedLists:
             seen[rows] = True
             if len(rows):
                 scores = vectors[rows] @ weights
+                if not exact:
+                    scores = np.array([min(max(x, LEAST), MOST) for x in scores], object)
                 if len(best) == k and exact:
                     rows, scores = rows[scores >= best[-1]], scores[scores >= best[-1]]
                 best_ids, best = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, scores])
@@ -66,19 +75,23 @@ class SortedLists:
 
 
 def integer_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(scale * x) of each component x as doubles. Rows with a null id or vector, or a null or non-finite component, go."""
+    """(id, v): floor(scale * x) of each component x as doubles, at the nearer end of 64-bit integers where it lies beyond. Rows with a null id
+    or vector, or a null or non-finite component, go."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     return rows.where(finite).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
-def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block: int = 8192, query_block: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block: int = 8192, query_block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of the k best inner products of each query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those with the query's own id. Fewer than k candidates give fewer rows; an empty
     vector scores 0 with any other of its length; vectors of different lengths never meet; a query id that is repeated is asked once, with
-    its smallest vector; other columns are not read. Null vectors, and such with null or non-finite components, take no part.
+    its smallest vector; other columns are not read. Null vectors, and such with null or non-finite components, take no part. Components and
+    scores beyond 64-bit integers are taken as the nearer end of these, so such scores tie.
+
+    A block of candidates is read once for each query_block queries, its lists are sorted once for them.
     """
     v = integer_vectors(rows, scale, id_col, vector_col)
     n = v.count()
