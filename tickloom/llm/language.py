@@ -89,22 +89,26 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _sample(docs: DataFrame, max_docs: int) -> DataFrame:
-    """At most about max_docs labelled documents of each language, by a hash of the id: (id, text, lang)."""
-    counts = docs.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count")))
+def _sample(docs: DataFrame, max_docs: int, max_languages: int) -> DataFrame:
+    """At most about max_docs labelled documents of each language, by a hash of the id: (id, text, lang). Only the counts of the languages,
+    max_languages at most, are sent to the tasks; texts that are not chosen go nowhere."""
+    counts = docs.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more languages than max_languages ({max_languages})")
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, max_docs / n)) for x, n in counts], "lang string, share double")
     spread = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(counts.select("lang", "share"), "lang").where(spread < F.col("share")).select("id", "text", "lang")
+    return docs.join(F.broadcast(shares), "lang").where(spread < F.col("share")).select("id", "text", "lang")
 
 
 def fit(docs: DataFrame, max_docs: int = 2000, max_words: int = 30_000, max_grams: int = 30_000, max_n: int = 5, max_languages: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from a bounded sample of the labelled rows: about max_docs documents of each language, chosen by a hash of their id.
 
     The model is bounded too: the max_words commonest words and max_grams commonest n-grams of each language (ties by text), so it
-    may be collected and sent to every task. Rows with a null or empty text or a null language are not learned from; an empty table
+    may be collected and sent to every task. Rows with a null text, a null language or the language und are not learned from; an empty table
     gives a model without languages, whose predictions are all und.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and lang <> 'und'")
-    words = _sample(rows, max_docs).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_JVM), F.lit(0))).alias("key")).groupBy("lang", "key").count()
+    words = _sample(rows, max_docs, max_languages).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_JVM), F.lit(0))).alias("key")).groupBy("lang", "key").count()
     words = words.persist()
     try:
         marked = F.concat(F.lit("^"), "key", F.lit("$"))
@@ -126,8 +130,6 @@ def fit(docs: DataFrame, max_docs: int = 2000, max_words: int = 30_000, max_gram
     finally:
         words.unpersist()
     langs = sorted(by_word)
-    if len(langs) > max_languages:
-        raise ValueError(f"{len(langs)} languages; max_languages is {max_languages}")
     return LanguageModel(langs, _logs(by_word, langs), _logs(by_gram, langs), max_n)
 
 
@@ -154,5 +156,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
 
     labelled = F.pandas_udf(label, "lang string, score double")
     kept = docs.drop(pred_col, score_col)
-    found = kept.withColumn("__label", labelled(F.col(text_col)))
-    return found.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("__label.lang").alias(pred_col), F.col("__label.score").alias(score_col))
+    # the documents' own columns travel in one struct, so no name of theirs can clash
+    found = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("own"), labelled(F.col(f"`{text_col}`").cast("string")).alias("label"))
+    return found.select(*[F.col(f"own.`{c}`").alias(c) for c in kept.columns], F.col("label.lang").alias(pred_col), F.col("label.score").alias(score_col))
