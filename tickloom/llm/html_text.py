@@ -1,8 +1,9 @@
 """Main text of web pages by scoring the page's tree.
 
-A tolerant reader builds the tree; elements that never hold main text are dropped by their name, role, class or id. Each
-paragraph gives points for its length and commas to its parent and, halved, to its grandparent; a container's points are scaled
-by the share of its text outside links. The best container is kept with its siblings of few links; of an article, with those that score near it.
+A tolerant reader builds the tree. Elements that never hold main text are dropped by their name or role; those that are only named like such
+(class, id) stay if they hold most of the page's paragraphs. Each paragraph gives points for its length and commas to its parent and,
+halved, to its grandparent; a container's points are scaled by the share of its text outside links. The best container, or the article element
+around it, is kept with its siblings of few links; of an article, with those that score near it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,17 +19,24 @@ from pyspark.sql import functions as F
 
 # Element names and words by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("head nav header footer aside form button select option input script style noscript iframe textarea title svg canvas object template menu dialog label fieldset audio video math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside button select option input script style noscript iframe textarea title svg canvas object template menu dialog label fieldset audio video math xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h2 h3 h4 h5 h6 figcaption".split())
 CLOSED_BY = {"p": BLOCKS - frozenset(("html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "summary", "figcaption")), "li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")), "option": frozenset(("option",))}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-# Names of kinds of content that is never main text, and of page layout: a wrapper may be named for its layout ("with-sidebar") and still hold the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words of classes and ids: kinds of content that is never main text, page layout, what such names are put before or after, and names of content.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus respond cookie cookies consent gdpr notice notices related recommended newsletter subscribe subscription widget widgets disclaimer paywall".split())
 LAYOUT = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead popup modal overlay share sharing social signup login search pagination pager toolbar tags copyright skip".split())
+HOLDERS = frozenset("area bar block box container content form inner item items links list module panel posts section slot stories thread unit wrap wrapper".split())
+MODIFIERS = frozenset("has hide is no non not show with without".split())
+CONTENT = frozenset("article body content entry main page post story text".split())
+#: What an element's name says: main text never, nor where named so as a whole; layout; or only in part.
+NEVER, NOISY, LAID_OUT, PERHAPS = 4, 3, 2, 1
+QUOTE = re.compile("[>\"']")
 WORDY = re.compile(r"[a-z]+|[A-Z][a-z]*")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
 
@@ -40,113 +49,177 @@ class Node:
         self.name, self.parent, self.children, self.score, self.noise = name, parent, [], 0.0, noise
 
 
+def named(value: str) -> int:
+    """NOISY or LAID_OUT if a class or id names the element as such, PERHAPS if it only says something about it ("has-ads"), else 0."""
+    out, content = 0, False
+    for token in html.unescape(value).split():
+        words = [w.lower() for w in WORDY.findall(token)]
+        content = content or len(words) == 1 and words[0] in CONTENT
+        hits = [w for w in words if w in NOISE or w in LAYOUT]
+        if hits:
+            last = [w for w in words if w not in HOLDERS][-1:]  # "comment-list", but not "comments-open"
+            whole = last and last[0] in hits and words[0] not in MODIFIERS
+            out = max(out, (NOISY if last[0] in NOISE else LAID_OUT) if whole else PERHAPS)
+    return PERHAPS if out and content else out
+
+
 def noisy(name: str, attributes: str) -> int:
-    """2 for an element of a kind that holds no main text, 3 for one that is only named like such, 1 like page layout, else 0."""
+    """NEVER, NOISY, LAID_OUT, PERHAPS or 0, by an element's name and attributes."""
     if name in DROPPED:
-        return 2
+        return NEVER
+    out = {"header": LAID_OUT, "form": PERHAPS}.get(name, 0)
     if not attributes or name in ("html", "body"):
-        return 0
-    layout = named = 0
+        return out
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
-        if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return 2
-        if key in ("class", "id"):
-            words = {w.lower() for w in WORDY.findall(html.unescape(value))}
-            if not NOISE.isdisjoint(words):
-                named = 3
-            layout = layout or int(name not in ("article", "main") and not LAYOUT.isdisjoint(words))
+        if key == "role" and value.strip().lower() in ROLES - {"form", "banner"} or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return NEVER
         if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return 2
-    return named or layout
+            return NEVER
+        if key == "role" and value.strip().lower() in ("form", "banner"):
+            out = max(out, LAID_OUT)
+        if key in ("class", "id"):
+            out = max(out, named(value))
+    return min(out, PERHAPS) if name in ("article", "main") else out
+
+
+def scan(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, whether it closes) of every tag, comment (name "") and CDATA section (name "#") of the page, from left to right.
+
+    A tag ends at the first > outside quotes. Where quotes leave a tag open to the page's end, they are not heeded from there on, so the
+    page is read in linear time.
+    """
+    at, size, quotes = 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        nxt = page[start + 1 : start + 2]
+        if nxt in ("!", "?"):
+            mark, stop = ("<!--", "-->") if page.startswith("<!--", start) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", start) else ("<!", ">")
+            end = page.find(stop, start + len(mark) if mark != "<!" else start)
+            if end < 0 and mark == "<!":
+                return
+            at = size if end < 0 else end + len(stop)
+            yield start, at, "#" if mark == "<![CDATA[" else "", page[start + 9 : size if end < 0 else end] if mark == "<![CDATA[" else "", False
+            continue
+        closing = nxt == "/"
+        m = NAME.match(page, start + 1 + closing)
+        if not m:
+            at = start + 1
+            continue
+        end = page.find(">", m.end())
+        if end < 0:
+            return
+        if quotes and (page.find('"', m.end(), end) >= 0 or page.find("'", m.end(), end) >= 0):
+            i = m.end()
+            while True:
+                found = QUOTE.search(page, i)
+                if found is None:
+                    quotes = False
+                    break
+                if found[0] == ">":
+                    end = found.start()
+                    break
+                i = page.find(found[0], found.end()) + 1
+                if not i:
+                    quotes = False
+                    break
+        at, name = end + 1, m[0].lower()
+        attributes = page[m.end() : end]
+        if name in RAW and not closing:  # its text is no markup
+            close = raw_end(name).search(page, at)
+            at = size if close is None else close.end()
+        yield start, at, name, attributes, closing
+
+
+@lru_cache(maxsize=64)
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I)
 
 
 def parse(page: str) -> Node:
     """The page's tree. Void and raw-text elements, implied ends of paragraphs, items and cells, and stray end tags are allowed for."""
-    root = node = Node("#root", None)
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            node.children.append(html.unescape(page[at:end]))
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
+    root = Node("#root", None)
+    stack, places, blocks_at = [root], {}, [0]  # open elements, where those of a name stand, and where blocks do
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            name = stack.pop().name
+            places[name].pop()
+            if blocks_at[-1] == len(stack):
+                blocks_at.pop()
+
+    at = 0
+    for start, end, name, attributes, closing in scan(page):
+        if start > at:
+            stack[-1].children.append(html.unescape(page[at:start]))
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>"))
             continue
-        name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if name == "#":
+            stack[-1].children.append(attributes)
+            continue
         if closing:
-            up = node
-            while up is not root and up.name != name:
-                if name not in BLOCKS and up.name in BLOCKS:  # an inline end tag doesn't close a block
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            where = places.get(name)
+            if where and (name in BLOCKS or where[-1] > blocks_at[-1]):  # an inline end tag doesn't close a block
+                close(where[-1])
             continue
-        while node.name in CLOSED_BY and name in CLOSED_BY[node.name]:
-            node = node.parent
-        if name in BLOCKS:
-            up = node  # inline elements left open inside a paragraph or item don't keep it open
-            while up is not root and up.name not in BLOCKS:
-                up = up.parent
+        while stack[-1].name in CLOSED_BY and name in CLOSED_BY[stack[-1].name]:
+            close(len(stack) - 1)
+        if name in BLOCKS:  # inline elements left open inside a paragraph or item don't keep it open
+            up = stack[blocks_at[-1]]
             if up.name in CLOSED_BY and name in CLOSED_BY[up.name]:
-                node = up.parent
-        child = Node(name, node, noisy(name, attributes))
-        node.children.append(child)
-        if name in ("article", "main") and child.noise != 2:  # what holds the article is more than layout
-            up = node
-            while up is not None and up.noise != 2:
-                up.noise, up = up.noise if up.noise == 3 else 0, up.parent
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            at = close.end()
-        elif name not in VOID and not attributes.rstrip().endswith("/"):
-            node = child
-    spare(root)
+                close(blocks_at[-1])
+        child = Node(name, stack[-1], noisy(name, attributes))
+        stack[-1].children.append(child)
+        if name not in RAW and name not in VOID and not attributes.rstrip().endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks_at.append(len(stack))
+            stack.append(child)
+    if at < len(page):
+        stack[-1].children.append(html.unescape(page[at:]))
     return root
 
 
-def spare(root: Node) -> None:
-    """Clear the noise of elements that are only named like noise but are or hold the article: one longer than all paragraphs outside, or
-    most of the page's paragraph text where no article or main is outside. The outermost come first, so what is noise inside stays so."""
-    while True:
-        order, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            order.append(node)
-            stack += [c for c in node.children if isinstance(c, Node) and c.noise not in (1, 2)]
-        if not any(n.noise == 3 for n in order):
-            return
-        text, article, held = {}, {}, {}  # characters in paragraphs, in the longest article or main, and the outermost named elements
-        inside = {}
-        for node in order:
-            bare = node.name in ("div", "section", "article", "main")
-            inside[node] = not bare and (node.name in PARAGRAPHS or inside.get(node.parent, False)) or bare
-        for node in reversed(order):
-            kids = [c for c in node.children if isinstance(c, Node) and c in text]
-            own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if inside[node] else 0
-            text[node] = own + sum(text[c] for c in kids)
-            article[node] = max([article[c] for c in kids], default=0) if node.name not in ("article", "main") else text[node]
-            held[node] = [node] if node.noise == 3 else [x for c in kids for x in held[c]]
-        clean = text[root] - sum(text[x] for x in held[root])
-        apart = any(n.name in ("article", "main") and text[n] > sum(text[x] for x in held[n]) for n in order if n.noise != 3 and not under(n))
-        some = [x for x in held[root] if article[x] > clean or not apart and 2 * text[x] > text[root]]
-        if not some:
-            return
-        max(some, key=lambda x: (article[x], text[x])).noise = 0
+def settle(root: Node, firm: bool) -> None:
+    """Decide which named elements stay (noise 0), by the characters of their paragraphs. An element that is only perhaps noise stays if
+    it holds over half of the page's, or an article longer than all the rest; one that is named as noise or layout as a whole only for
+    such an article. Unless firm, layout is only perhaps noise. The header of an article keeps its headings."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.name == "header" and node.parent is not None and (node.parent.name in ("article", "main") or node.parent.name == "div" and node.parent.parent is not None and node.parent.parent.name in ("article", "main")):
+            node.noise, node.children = 0, [c for c in descendants(node) if c.name in HEADINGS]
+        if not firm and node.noise == LAID_OUT:
+            node.noise = PERHAPS
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.noise != NEVER]
+    inside: dict[Node, bool] = {}
+    for node in order:
+        bare = node.name in ("div", "section", "article", "main", "form", "center", "body", "#root")
+        inside[node] = True if bare else node.name in PARAGRAPHS or inside.get(node.parent, False)
+    text, article = {}, {}  # characters, and those of the longest article or main
+    for node in reversed(order):
+        kids = [c for c in node.children if isinstance(c, Node) and c in text]
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if inside[node] else 0
+        text[node] = own + sum(text[c] for c in kids if c.noise < LAID_OUT)
+        article[node] = max([text[node] if node.name in ("article", "main") else 0, *(article[c] for c in kids)])
+    total, longest = text[root], article[root]
+    for node in order:
+        if node.noise == PERHAPS:
+            most = 2 * text[node] > total or article[node] > total - text[node]
+            node.noise = 0 if most or node.name in ("article", "main") and 2 * text[node] >= longest else PERHAPS
+        elif node.noise and article[node] > total:
+            node.noise = 0
 
 
-def under(node: Node) -> bool:
-    """Whether the node lies in an element that is named like noise."""
-    while node is not None and node.noise != 3:
-        node = node.parent
-    return node is not None
+def descendants(node: Node) -> Iterator[Node]:
+    """The elements below a node in page order, but not those below headings."""
+    stack = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while stack:
+        x = stack.pop()
+        yield x
+        if x.name not in HEADINGS:
+            stack += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
 def score(root: Node) -> Node:
@@ -234,8 +307,17 @@ def blocks(node: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: its blocks joined by line feeds; empty if there is none."""
-    return "\n".join(blocks(score(parse(page)))) if page else ""
+    """The main text of a page: its blocks joined by line feeds; empty if there is none. A page whose text all lies in elements named like
+    page layout is read again with these."""
+    if not page:
+        return ""
+    for firm in (True, False):
+        root = parse(page)
+        settle(root, firm)
+        found = blocks(score(root))
+        if found:
+            return "\n".join(found)
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
