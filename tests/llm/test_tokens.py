@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import packing, queries, token_counts, wavelet
+from tickloom.llm import packing, pretoken, queries, token_counts, wavelet
 from tickloom.llm.pretoken import Cutter
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -30,14 +31,20 @@ def test_cutter_equals_library_on_odd_texts(path):
         assert own.count(text) == len(ids)
 
 
+@cache
+def both(path):
+    return Tokenizer.from_file(path), Cutter(path)
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(" \n\t'stredlvm.,!09aéßñ|<>\xa0"), st.characters(codec="utf-8")), max_size=60))
 def test_cutter_equals_library(path, text):
-    library, own = Tokenizer.from_file(path), Cutter(path)
+    library, own = both(path)
     ids = library.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(own.encode(text), "<u2").tolist() == ids
     assert own.count(text) == len(ids)
+    assert own.encode_many([text, "a b", text]) == [own.encode(x) for x in (text, "a b", text)]
 
 
 def test_op1_equals_library(spark):
@@ -57,6 +64,16 @@ def test_token_counts_edges(spark):
     assert token_counts.token_counts(docs.limit(0), BYTE).count() == 0
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_common_character_inside_a_word(path):
+    library, own = both(path)
+    texts = [f"ab{x}cd {x}x X{x}y {x}" for x in pretoken.CHARACTERS] + ["AZƏRBAYCAN Əli", "", " ", "a b", "one <|endoftext|> two"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode_many(texts)] == want
+    assert own.count_many(texts) == [own.count(t) for t in texts] == [len(x) for x in want]
+    assert (own.pieces.merge is not None) == (path == BYTE)
+
+
 @settings(max_examples=60, deadline=None)
 @given(ids=st.lists(st.integers(0, 9), max_size=1500), data=st.data())
 def test_wavelet_matrix(ids, data):
@@ -74,6 +91,17 @@ def test_wavelet_matrix(ids, data):
         assert matrix.rank(value, end) == sum(p < end for p in places)
         assert matrix.count(value, end) == sum(p >= end for p in places)
         assert matrix.select(value, 0) == (places[0] if places else -1)
+        assert [matrix.select(value, k) for k in (-1, len(places) - 1, len(places))] == [-1, places[-1] if places else -1, -1]
+
+
+def test_look_ups_inflate_only_what_they_touch():
+    ids = np.random.default_rng(4).integers(0, 50_000, 1 << 20).astype(np.uint16)
+    _, _, matrix = wavelet.unpack_shard(wavelet.pack_shard([1], [len(ids)], ids, 16))
+    assert matrix.access(np.array([777_777])).tolist() == [ids[777_777]]
+    places = np.flatnonzero(ids == 123)
+    assert matrix.select(123, 5) == places[5] and matrix.rank(123, 500_000) == (places < 500_000).sum()
+    assert sum(not x for p in matrix.planes for x in p.squeezed) < sum(len(p.pieces) for p in matrix.planes) / 2
+    assert (matrix.values() == ids).all()
 
 
 def test_op2_equals_library(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Rows with whole texts go to Python this many at a time, which bounds a worker's memory; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -82,11 +97,22 @@ def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low[:] = SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[::2], edges[1::2]
-    power, inverse = _powers(max(20, (len(data) + 1).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.multiply(data, power[: len(data)], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start, data
+    return span_hashes(data, start, end), start, data
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Hashes of the spans of bytes, which rise; those that start in `step` bytes are worked on at a time."""
+    out = np.empty(len(start), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), step)), len(start)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low, high = int(start[a]), int(end[b - 1])
+        power, inverse = _powers(max(20, (high - low + 1).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.multiply(data[low:high], power[: high - low], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        first, last = start[a:b] - low, end[a:b] - low
+        out[a:b] = mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -24,12 +24,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     def count(batches):
         for batch in batches:
             table = cutter(tokenizer_path)
-            texts = batch.column(1)
-            sizes, tokens = [], []
-            for x in texts:
-                text = x.as_py()
-                sizes.append(len(text.encode("utf-8")))
-                tokens.append(table.count(text))
+            texts = batch.column(1).to_pylist()
+            tokens = table.count_many(texts)
+            sizes = [len(x.encode("utf-8")) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     out = keyed_texts(docs, id_col, text_col).mapInArrow(count, "id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,9 +1,10 @@
 """Token ids as wavelet matrices, one for each shard of documents.
 
 A shard is one self-contained, compressed binary: a header, the document ids and lengths, and for each bit of the token ids a
-bit-plane with the rank directory over it. From one shard one can read any token (access), count a token in a range (rank),
-find its occurrences (select) and restore all ids. Shards are written and read by Spark as rows of a Parquet folder, so writing
-is committed task by task and works on any store that Spark can write to.
+bit-plane, compressed in pieces, with the rank directory over it. From one shard one can read any token (access), count a token in a range
+(rank), find its occurrences (select) and restore all ids; look-ups inflate only the directories and the pieces of planes that they touch.
+Shards are written and read by Spark as rows of a Parquet folder, so writing is committed task by task and works on any store that Spark can
+write to.
 """
 
 from __future__ import annotations
@@ -22,77 +23,111 @@ from pyspark.sql import functions as F
 from tickloom.llm.pretoken import cutter
 from tickloom.llm.shared import keyed_texts
 
-MAGIC = b"WVM1"
-#: Bits of a plane between two entries of its rank directory.
-BLOCK = 512
+MAGIC = b"WVM2"
+#: Bits of a plane between two entries of its rank directory, and bytes of its pieces.
+BLOCK, PIECE = 512, 1 << 14
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, shard binary"
 
 
+class Plane:
+    """A bit-plane: its bytes in pieces of PIECE, each inflated when it is first read, and the ones before each block of BLOCK bits."""
+
+    def __init__(self, pieces: list, squeezed: bool, ranks):
+        self.pieces, self.squeezed, self._ranks = pieces, [squeezed] * len(pieces), ranks
+
+    @classmethod
+    def of_bits(cls, bit: np.ndarray) -> Plane:
+        packed = np.packbits(bit, bitorder="little")
+        padded = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+        padded[: len(packed)] = packed
+        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
+        return cls([padded[at : at + PIECE] for at in range(0, len(padded), PIECE)], False, np.concatenate([[0], np.cumsum(ones, dtype=np.int64)]))
+
+    @property
+    def ranks(self) -> np.ndarray:
+        if not isinstance(self._ranks, np.ndarray):
+            self._ranks = np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.decompress(self._ranks), "<u2"), dtype=np.int64)])
+        return self._ranks
+
+    def piece(self, i: int) -> np.ndarray:
+        if self.squeezed[i]:
+            self.pieces[i], self.squeezed[i] = np.frombuffer(zstandard.decompress(self.pieces[i]), np.uint8), False
+        return self.pieces[i]
+
+    def blocks(self, block: np.ndarray) -> np.ndarray:
+        """The bits of the blocks, a row each."""
+        out, size = np.empty((len(block), BLOCK // 8), np.uint8), PIECE * 8 // BLOCK
+        for i in np.unique(block // size).tolist():
+            rows = np.flatnonzero(block // size == i)
+            out[rows] = self.piece(i).reshape(-1, BLOCK // 8)[block[rows] % size]
+        return np.unpackbits(out, axis=1, bitorder="little")
+
+    def all_bits(self, n: int) -> np.ndarray:
+        bytes_ = np.concatenate([self.piece(i) for i in range(len(self.pieces))]) if self.pieces else np.zeros(0, np.uint8)
+        return np.unpackbits(bytes_, count=n, bitorder="little").view(bool)
+
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bit at, ones before) each position; at the end of the plane the bit is 0."""
+        bit, ones = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for i in range(0, len(at), 4096):
+            some = at[i : i + 4096]
+            block = np.minimum(some // BLOCK, max(len(self.ranks) - 2, 0))
+            inside = some - block * BLOCK
+            if len(self.ranks) > 1:
+                bits = self.blocks(block)
+                ones[i : i + 4096] = self.ranks[block] + (bits * (np.arange(BLOCK) < inside[:, None])).sum(axis=1)
+                bit[i : i + 4096] = np.where(inside < BLOCK, bits[np.arange(len(some)), np.minimum(inside, BLOCK - 1)], 0)
+        return bit, ones
+
+    def select(self, value: int, k: np.ndarray) -> np.ndarray:
+        """Where the k-th bits (from 0) of that value stand: their blocks by binary search in the directory."""
+        before = self.ranks if value else np.arange(len(self.ranks)) * BLOCK - self.ranks
+        out = np.empty(len(k), np.int64)
+        for i in range(0, len(k), 4096):
+            some = k[i : i + 4096]
+            block = np.searchsorted(before, some, side="right") - 1
+            count = np.cumsum(self.blocks(block) == value, axis=1)
+            out[i : i + 4096] = block * BLOCK + (count <= (some - before[block])[:, None]).sum(axis=1)
+        return out
+
+
 class WaveletMatrix:
     """A sequence of unsigned integers below 2**bits as bit-planes, the highest bit first; each plane orders the next one stably by its bit."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
+        self.n, self.planes, self.zeros = n, planes, zeros
         self.bits = len(planes)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, ranks = [], [], []
+        planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
             bit = (ids & ids.dtype.type(1 << b)) != 0
-            packed = np.packbits(bit, bitorder="little")
-            planes.append(packed)
-            ranks.append(cls.directory(packed))
+            planes.append(Plane.of_bits(bit))
             low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            ids = np.concatenate([ids[low], ids[np.flatnonzero(bit)]])
-        return cls(len(ids), planes, zeros, ranks)
-
-    @staticmethod
-    def directory(packed: np.ndarray) -> np.ndarray:
-        """Ones before each block of BLOCK bits."""
-        size = BLOCK // 8
-        padded = np.zeros(-(-len(packed) // size) * size, np.uint8)
-        padded[: len(packed)] = packed
-        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, size // 8).sum(axis=1, dtype=np.uint32)
-        return np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
-
-    def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each position: the block's entry, whole bytes after it, and the bits of the last byte."""
-        at = np.asarray(at, np.int64)
-        plane, block = self.planes[level], at // BLOCK
-        out = self.ranks[level][block].astype(np.int64)
-        for k in range(BLOCK // 8):
-            byte = block * (BLOCK // 8) + k
-            inside = np.clip(at - byte * 8, 0, 8)
-            if not inside.any():
-                break
-            mask = (1 << inside) - 1
-            out += np.bitwise_count(plane[np.minimum(byte, len(plane) - 1)] & mask.astype(np.uint8)) * (inside > 0)
-        return out
-
-    def bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return self.planes[level][at >> 3] >> (at & 7).astype(np.uint8) & 1
+            ids = np.concatenate([ids.take(low), ids.take(np.flatnonzero(bit))])
+        return cls(len(ids), planes, zeros)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at the positions."""
         at = np.asarray(at, np.int64)
         out = np.zeros(len(at), np.int64)
-        for level in range(self.bits):
-            bit, ones = self.bit(level, at), self.rank1(level, at)
+        for zeros, plane in zip(self.zeros, self.planes, strict=True):
+            bit, ones = plane.look(at)
             out = out << 1 | bit
-            at = np.where(bit, self.zeros[level] + ones, at - ones)
+            at = np.where(bit, zeros + ones, at - ones)
         return out
 
     def span(self, value: int, end: int) -> tuple[int, int]:
         """Where the value's occurrences before position end lie below the last plane."""
         low, high = 0, end
-        for level in range(self.bits):
-            one_low, one_high = self.rank1(level, np.array([low, high]))
+        for level, plane in enumerate(self.planes):
+            one_low, one_high = plane.look(np.array([low, high]))[1].tolist()
             if value >> (self.bits - 1 - level) & 1:
-                low, high = self.zeros[level] + int(one_low), self.zeros[level] + int(one_high)
+                low, high = self.zeros[level] + one_low, self.zeros[level] + one_high
             else:
-                low, high = low - int(one_low), high - int(one_high)
+                low, high = low - one_low, high - one_high
         return low, high
 
     def rank(self, value: int, end: int) -> int:
@@ -105,30 +140,36 @@ class WaveletMatrix:
     def count(self, value: int, start: int = 0, end: int | None = None) -> int:
         return self.rank(value, self.n if end is None else end) - self.rank(value, start)
 
+    def _up(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Positions in the sequence of places below the last plane that hold the value."""
+        for level in range(self.bits - 1, -1, -1):
+            bit = value >> (self.bits - 1 - level) & 1
+            at = self.planes[level].select(bit, at - self.zeros[level] if bit else at)
+        return at
+
     def occurrences(self, value: int) -> np.ndarray:
-        """All positions of the value, in order: select of each of its ranks, from the last plane up."""
+        """All positions of the value, in order: select of each of its ranks."""
         if not 0 <= value < 1 << self.bits or self.n == 0:
             return np.zeros(0, np.int64)
         low, high = self.span(value, self.n)
-        at = np.arange(low, high)
-        for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
-            at = np.flatnonzero(bit)[at - self.zeros[level]] if value >> (self.bits - 1 - level) & 1 else np.flatnonzero(bit == 0)[at]
-        return at
+        return self._up(value, np.arange(low, high))
 
     def select(self, value: int, k: int) -> int:
         """The position of the value's k-th occurrence, from 0; -1 if there are fewer."""
-        found = self.occurrences(value)
-        return int(found[k]) if 0 <= k < len(found) else -1
+        if not 0 <= value < 1 << self.bits or self.n == 0 or k < 0:
+            return -1
+        low, high = self.span(value, self.n)
+        return int(self._up(value, np.array([low + k]))[0]) if low + k < high else -1
 
     def values(self) -> np.ndarray:
         """The whole sequence: each plane's bits put before the lower bits, whose order the plane gives."""
-        lower = np.zeros(self.n, np.uint32)
+        lower = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit, zeros = self.planes[level].all_bits(self.n), self.zeros[level]
             here = np.empty_like(lower)
-            here[np.flatnonzero(~bit)] = lower[: self.zeros[level]]
-            here[np.flatnonzero(bit)] = lower[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            lower[zeros:] |= lower.dtype.type(1 << (self.bits - 1 - level))
+            here[np.flatnonzero(~bit)] = lower[:zeros]
+            here[np.flatnonzero(bit)] = lower[zeros:]
             lower = here
         return lower
 
@@ -138,29 +179,28 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, b
     matrix = WaveletMatrix.build(ids, bits)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     parts = [known.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes()]
-    for plane, rank in zip(matrix.planes, matrix.ranks, strict=True):
-        parts += [plane.tobytes(), np.diff(rank).astype("<u2").tobytes()]
+    for plane in matrix.planes:
+        parts += [np.diff(plane.ranks).astype("<u2").tobytes(), *(x.tobytes() for x in plane.pieces)]
     squeezed = [zstandard.compress(x, 1) for x in parts]
     head = struct.pack("<4sBQQ", MAGIC, bits, len(doc_ids), len(ids)) + np.array(matrix.zeros, "<u8").tobytes() + np.array([len(x) for x in squeezed], "<u8").tobytes()
     return head + b"".join(squeezed)
 
 
 def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """(document ids, their lengths, the wavelet matrix) of a shard."""
+    """(document ids, their lengths, the wavelet matrix) of a shard. The planes stay compressed until they are read."""
     magic, bits, n_docs, n = struct.unpack_from("<4sBQQ", data)
     if magic != MAGIC:
         raise ValueError("not a shard")
-    at = struct.calcsize("<4sBQQ")
+    at, each = struct.calcsize("<4sBQQ"), 1 + -(-(-(-n // BLOCK) * BLOCK // 8) // PIECE)  # parts of a plane: its directory and its pieces
     zeros = np.frombuffer(data, "<u8", bits, at).astype(int).tolist()
-    sizes = np.frombuffer(data, "<u8", 3 + 2 * bits, at + 8 * bits)
+    sizes = np.frombuffer(data, "<u8", 3 + each * bits, at + 8 * bits)
     ends = at + 8 * bits + 8 * len(sizes) + np.cumsum(sizes).astype(int)
     view = memoryview(data)
-    parts = [zstandard.decompress(view[int(e) - int(s) : int(e)]) for e, s in zip(ends, sizes, strict=True)]
-    known = np.frombuffer(parts[0], np.uint8)
-    doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(parts[1], "<i8"), known, strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-    ranks = [np.concatenate([[0], np.cumsum(np.frombuffer(p, "<u2"), dtype=np.int64)]).astype(np.uint32) for p in parts[4::2]]
-    return doc_ids, np.frombuffer(parts[2], "<u4"), WaveletMatrix(n, planes, zeros, ranks)
+    parts = [view[int(e) - int(s) : int(e)] for e, s in zip(ends, sizes, strict=True)]
+    known, keys, lengths = (zstandard.decompress(x) for x in parts[:3])
+    doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(keys, "<i8"), known, strict=True)]
+    planes = [Plane(parts[i + 1 : i + each], True, parts[i]) for i in range(3, len(parts), each)]
+    return doc_ids, np.frombuffer(lengths, "<u4"), WaveletMatrix(n, planes, zeros)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -183,9 +223,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         for batch in batches:
             table = cutter(tokenizer_path)
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = table.encode(text.as_py()) + end
-                keys.append(key.as_py())
+            for key, data in zip(batch.column(0).to_pylist(), table.encode_many(batch.column(1).to_pylist()), strict=True):
+                data += end
+                keys.append(key)
                 lengths.append(len(data) // 2)
                 blobs.append(data)
                 held += lengths[-1]
