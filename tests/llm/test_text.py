@@ -162,3 +162,17 @@ def test_pipeline_edges(spark):
         assert stage(spark, docs, SMALL).count() >= 1
     assert corpus_pipeline.simhash_stage(spark, docs, SMALL).where("doc_id = 3").count() == 1
     assert corpus_pipeline.language_stage(spark, docs, SMALL).where(F.col("text").isNull() | (F.col("text") == "")).count() == 0
+
+
+def test_pipeline_keeps_unlike_documents_that_share_an_id_or_have_none(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, words[0], "en", "x"), (None, words[1], "en", "x"), (7, words[2], "en", "x"), (7, words[3], "en", "x"), (8, words[2], "en", "x"), (9, words[4], "en", "x"), (9, words[4], "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, own string").withColumn("n_chars", F.length("text").cast("long")).withColumn("label", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("key", F.lit(3))
+    kept = corpus_pipeline.language_stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns and kept.count() == 7
+    kept = corpus_pipeline.simhash_stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, words[0]), (0, words[1]), (7, words[2]), (7, words[3]), (9, words[4])])
+    lines = corpus_pipeline.line_stage(spark, docs, SMALL)
+    assert lines.columns == docs.columns and sorted(r.text for r in lines.collect() if r.doc_id == 8) == [""]
+    assert corpus_pipeline.benchmark_stage(spark, docs, SMALL).columns == docs.columns

@@ -213,7 +213,11 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.score", "b.start", "b.end")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that hold a copy of a benchmark item (see leaks); columns as they were."""
-    bad = leaks(docs, items, id_col=id_col, **how).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without those that hold a copy of a benchmark item (see leaks); columns as they were, whatever their names. Unlike texts that
+    share an id (or have none) are told apart by a hash."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    key = F.xxhash64(F.col(f"own.`{id_col}`"), F.col(f"own.`{text_col}`"))
+    bad = leaks(own.select(key.alias("key"), F.col(f"own.`{text_col}`").alias("text")), items, id_col="key", text_col="text", **how).select("key").distinct()
+    kept = own.withColumn("key", key).join(bad, "key", "left_anti")
+    return kept.select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])

@@ -42,14 +42,15 @@ def fingerprint(text: str, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every whole text as a signed long with the same bits. A text without words (or null) has 0."""
+    """(id, fp, text_hash): the fingerprint of every whole text as a signed long with the same bits, and a hash of the text. A text without words (or null) has fingerprint 0."""
 
     def compute(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(x.as_py(), size) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(compute, "id long, fp long")
+    rows = keyed_texts(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(compute, "id long, fp long, text_hash long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +110,14 @@ def links(prints: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     return met.where("x is not null").select("x", "y").mapInArrow(compare, "a long, b long")
 
 
+def grouped(docs: DataFrame, size: int = 3, radius: int = 2, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, root): one row for each document, with the smallest fingerprint reachable over links of its own. The hash tells
+    unlike texts of one id apart."""
+    prints = stored(fingerprints(docs, size, id_col, text_col), "prints")
+    root = components(links(prints, radius, tile))
+    return prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("id", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable over links).
 
