@@ -12,34 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, language, line_dedup, packing, simhash
-from tickloom.llm.shared import shared_folder, stored
+from tickloom.llm.shared import shared_folder, small_batches, stored
 
-#: A document stays if its best language has at least this posterior; a short text that two languages share stays.
-MIN_SCORE = 0.3
+
+def apart(docs: DataFrame) -> DataFrame:
+    """The documents' text, and their other columns in one struct, `own`, so that no name of theirs can clash with a stage's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"), "text")
+
+
+def together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text" if c == "text" else f"own.`{c}`").alias(c) for c in columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: a text without letters, or one without a language of posterior MIN_SCORE, goes.
+    """Documents whose text has a letter, that is, all for which a language is predicted.
 
     The model learns from the labelled rows of docs; if there are none, every document goes. Empty in, empty out.
     """
-    found = language.predict(docs, language.fit(docs), pred_col="__lang", score_col="__score")
-    return found.where((F.col("__lang") != language.UND) & (F.col("__score") >= MIN_SCORE)).drop("__lang", "__score")
+    found = language.predict(apart(docs), language.fit(docs), pred_col="predicted")
+    return together(found.where(F.col("predicted") != language.UND), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that match an earlier line; n_chars follows the text. Null texts stay as they are."""
-    cut = line_dedup.dedup_lines(docs.withColumn("__n", F.col("n_chars")))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("__n"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Every document, without the lines that match an earlier line; n_chars follows a text that changed. Null texts stay as they are."""
+    cut = line_dedup.dedup_lines(apart(docs).withColumn("doc_id", F.col("own.doc_id")))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("own.n_chars"))}
+    return cut.select(*[(new[c] if c in new else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Of rows with equal ids one stays."""
-    groups = stored(simhash.near_duplicates(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept if groups.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest id (a null id last), of unlike texts with one id the one with
+    the smallest hash of its text, and of equal rows any one. Unlike documents that share an id, or have none, are told apart."""
+    prints = stored(simhash.grouped(docs), "groups")  # (id, text_hash, root): a row for each document
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash"))
+    keep = stored(prints.groupBy("root").agg(first.alias("k"), F.count("*").alias("m")).select(F.col("root"), F.col("k.id").alias("id"), F.col("k.text_hash").alias("text_hash"), "m"), "kept")
+    # of equal rows one stays: those that are kept more than once are few, and are counted by their key
+    again = stored(prints.join(keep.where("m > 1").drop("m", "root"), prints["id"].eqNullSafe(keep["id"]) & (prints["text_hash"] == keep["text_hash"]), "left_semi").groupBy("id", "text_hash").count().where("count > 1"), "again")
+    rows = apart(docs).withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    key = lambda df: F.col("own.doc_id").cast("long").eqNullSafe(df["id"]) & (F.col("h") == df["text_hash"])
+    kept = rows.join(keep.select("id", "text_hash"), key(keep), "left_semi")
+    if again.isEmpty():
+        return together(kept, docs.columns)
+    single = kept.join(again, key(again), "left_anti")
+    double = kept.join(again, key(again), "left_semi").groupBy(F.col("own.doc_id").alias("id"), "h").agg(F.first(F.struct("own", "text")).alias("x"))
+    return together(single.select("own", "text").unionByName(double.select("x.own", "x.text")), docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
