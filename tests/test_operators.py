@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import calendars, evidence, features, gates, metrics, quality, rules, trades
+from tickloom.operators import calendars, evidence, features, gates, metrics, quality, robustness, rules, trades
 from tickloom.sources import bars as sources
 
 UTC = dt.timezone.utc
@@ -174,9 +174,10 @@ def test_split_and_windows(spark):
 
 def test_null_masks_keep_counts(spark):
     opp = spark.createDataFrame([(i, f"d{i % 3}", i % 4 == 0) for i in range(60)], "opportunity_id long, session_date string, entered boolean")
-    for out, name in ((metrics.permuted(opp, 5), "shuffled"), (metrics.shifted(opp, 5), "shifted")):
-        counts = {r["n"] for r in out.groupBy("session_date", "rep").agg(F.sum(F.col(name).cast("int")).alias("n")).collect()}
-        assert counts == {5}
+    for out in (metrics.permuted(opp, 5).where("shuffled"), metrics.shifted(opp, 5)):
+        counts = out.groupBy("session_date", "rep").agg(F.count("*").alias("n"), F.countDistinct("opportunity_id").alias("m")).collect()
+        assert {(r.n, r.m) for r in counts} == {(5, 5)} and len(counts) == 15
+    assert metrics.permuted(opp, 5).count() == 300
     assert metrics.nearest_rank(opp, "opportunity_id", 0.95, "session_date").count() == 3
 
 
@@ -209,3 +210,41 @@ def test_evidence(spark):
     assert [tuple(r) for r in evidence.offending(a, {"v": "v = 'x'"}, "k").collect()] == [(2, "v")]
     one = spark.createDataFrame([(1, "x")], "k long, v string")
     assert [r.field for r in evidence.field_differences(one, spark.createDataFrame([(1, "z")], "k long, v string")).collect()] == ["v"]
+
+
+def test_nearest_rank_of_many_rows_with_ties_and_nulls(spark):
+    import math
+
+    values = [(i % 2, (i * 7919) % 5003 // 3) for i in range(20_000)] + [(0, None), (2, None), (3, 4)]
+    got = {r.k: r.threshold for r in metrics.nearest_rank(spark.createDataFrame(values, "k long, v long"), "v", 0.95, "k").collect()}
+    want = {k: sorted(v for x, v in values if x == k and v is not None) for k in (0, 1, 3)}
+    assert got == {k: v[max(1, math.ceil(0.95 * len(v))) - 1] for k, v in want.items()}
+
+
+def test_entry_risk_refuses_in_order_and_on_nulls(spark):
+    good = {"symbol_allowed": True, "minute": 60, "open_minute": 5, "close_minute": 390, "closeout_minutes": 15, "feed_age": 1, "max_feed_age": 5, "clock_age": 1, "max_clock_age": 5, "reconciliation_status": "clean", "storage_circuit_open": False,
+            "account_positions": 0, "strategy_entries": 0, "strategy_enabled": True, "side": "buy", "cash": 100.0, "sizing_approved": True, "sized_quantity": 2, "quantity": 1, "required_cash": 50.0, "daily_loss": 0, "daily_loss_limit": 9, "account_loss": 0, "account_loss_limit": 9,
+            "strategy_loss": 0, "strategy_loss_limit": 9, "duplicate_intent": False, "conflicting_intent": False}
+    bad = [{}, {"minute": 375}, {"minute": 390}, {"feed_age": -1}, {"reconciliation_status": None, "cash": -1.0}, {"required_cash": 101.0}, {"quantity": 3, "duplicate_intent": True}, {"conflicting_intent": True}]
+    got = [r.reason for r in robustness.entry_risk(spark.createDataFrame([good | b | {"i": i} for i, b in enumerate(bad)])).orderBy("i").collect()]
+    assert got == ["ENTRY_RISK_APPROVED", "CLOSEOUT_BUFFER_ACTIVE", "OUTSIDE_REGULAR_HOURS", "FEED_STALE", "RECONCILIATION_NOT_CLEAN", "MARGIN_OR_LEVERAGE_REQUIRED", "QUANTITY_EXCEEDS_CONSERVATIVE_SIZE", "CONFLICTING_INTENT"]
+
+
+def test_eligibility_names_every_gate_that_fails(spark):
+    columns = "strategy_id string, completed_days int, closed_trades int, unresolved_reconciliations int, unresolved_overnight_incidents int, lifecycle_state string, data_completeness double, execution_quality double, capacity_available boolean"
+    rows = spark.createDataFrame([("a", 30, 50, 0, 0, "paper_observing", 0.99, 0.95, True), ("b", 29, 49, 1, 1, "paper_active", 0.98, None, False)], columns)
+    got = {r.strategy_id: (r.decision, r.reasons) for r in gates.decide(gates.evaluate_gates(rows, robustness.ELIGIBILITY)).collect()}
+    assert got == {"a": ("PROMOTE", ""), "b": ("REJECT", ",".join(c for c, _ in robustness.ELIGIBILITY))}
+
+
+def test_reconciliation_codes(spark):
+    orders = "account long, order_id long, symbol string, side string, quantity long, filled long, status string"
+    local = spark.createDataFrame([(1, 1, "A", "buy", 5, 0, "submitted"), (1, 2, "A", "buy", 5, 5, "filled"), (2, 3, "B", "buy", 4, 0, "submitted"), (3, 4, "C", "buy", 4, 0, "submitted"), (4, 5, "D", "buy", 1, 1, "filled"), (5, 6, "E", "sell", 2, 0, "accepted")], orders)
+    broker = spark.createDataFrame([(1, 1, "A", "buy", 5, 5, "filled"), (1, 2, "A", "buy", 5, 5, "filled"), (3, 4, "C", "buy", 9, 0, "submitted"), (3, 9, "C", "buy", 1, 0, "submitted"), (4, 5, "D", "buy", 1, 0, "cancelled")], orders)
+    held = spark.createDataFrame([(1, "A", 5), (5, "E", 3)], "account long, symbol string, held long")
+    broker_held = spark.createDataFrame([(1, "A", 5), (2, "B", 4), (5, "E", 4), (4, "X", 1)], "account long, symbol string, held long")
+    found = evidence.order_discrepancies(local, broker, held, broker_held)
+    found = found.unionByName(evidence.position_discrepancies(held, broker_held, found.where("code = 'PENDING_ENTRY_FILLED_AT_BROKER'")))
+    got = {r.account: (r.status, r.codes) for r in evidence.reconciliation_status(local.unionByName(spark.createDataFrame([(9, 9, "Z", "buy", 1, 1, "filled")], orders)), found).collect()}
+    assert got == {1: ("recoverable", "LOCAL_ORDER_STATUS_STALE"), 2: ("recoverable", "PENDING_ENTRY_FILLED_AT_BROKER"), 3: ("blocked", "ORDER_IDENTITY_MISMATCH,UNKNOWN_BROKER_ORDER"),
+                   4: ("blocked", "BROKER_POSITION_MISSING_LOCALLY,ORDER_STATUS_MISMATCH"), 5: ("blocked", "LOCAL_OPEN_ORDER_MISSING_AT_BROKER,POSITION_QUANTITY_MISMATCH"), 9: ("clean", "")}

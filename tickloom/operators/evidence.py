@@ -104,3 +104,52 @@ def field_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     text = lambda df, name: df.select([F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "field", name)
     both = text(a, "left_value").join(text(b, "right_value"), "field", "full")
     return both.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+# States of orders that are still open, and the codes that a reconciliation gives.
+OPEN_STATUSES = ("accepted", "partially_filled", "pending", "submitted")
+RECOVERABLE = ("LOCAL_ORDER_STATUS_STALE", "PENDING_ENTRY_FILLED_AT_BROKER")
+
+
+def order_discrepancies(local: DataFrame, broker: DataFrame, local_positions: DataFrame, broker_positions: DataFrame) -> DataFrame:
+    """(account, code) of the orders of either side that disagree. Orders: account, order_id, symbol, side, quantity, filled, status, one row
+    each; positions: account, symbol, held. An open local order that the broker lacks is a filled entry if the broker's position is what the
+    local one would be with it."""
+    cols = ("symbol", "side", "quantity", "filled", "status")
+    here = local.select("account", "order_id", *[F.col(c).alias(f"l_{c}") for c in cols], F.lit(True).alias("l"))
+    there = broker.select("account", "order_id", *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("b"))
+    both = here.join(there, ["account", "order_id"], "full").withColumn("symbol", F.coalesce("l_symbol", "b_symbol"))
+    held = local_positions.select("account", "symbol", F.col("held").alias("l_held"), F.lit(0).alias("_")).drop("_")
+    both = both.join(held, ["account", "symbol"], "left").join(broker_positions.select("account", "symbol", F.col("held").alias("b_held")), ["account", "symbol"], "left")
+    open_ = F.col("l_status").isin(*OPEN_STATUSES)
+    same = (F.col("l_symbol") == F.col("b_symbol")) & (F.col("l_side") == F.col("b_side")) & (F.col("l_quantity") == F.col("b_quantity"))
+    expected = F.coalesce("l_held", F.lit(0)) + F.col("l_quantity") - F.col("l_filled")
+    code = (
+        F.when(F.col("l").isNull(), "UNKNOWN_BROKER_ORDER")
+        .when(F.col("b").isNotNull() & ~same, "ORDER_IDENTITY_MISMATCH")
+        .when(F.col("b").isNotNull() & (F.col("l_status") != F.col("b_status")), F.when(open_ & (F.col("b_status") == "filled"), "LOCAL_ORDER_STATUS_STALE").otherwise("ORDER_STATUS_MISMATCH"))
+        .when(F.col("b").isNull() & open_, F.when((F.col("l_side") == "buy") & (F.col("b_held") == expected), "PENDING_ENTRY_FILLED_AT_BROKER").otherwise("LOCAL_OPEN_ORDER_MISSING_AT_BROKER"))
+    )
+    return both.select("account", "symbol", code.alias("code")).where("code IS NOT NULL")
+
+
+def position_discrepancies(local: DataFrame, broker: DataFrame, explained: DataFrame) -> DataFrame:
+    """(account, code) of positions (account, symbol, held) that disagree; explained: those that a filled entry explains."""
+    both = local.select("account", "symbol", F.col("held").alias("l")).join(broker.select("account", "symbol", F.col("held").alias("b")), ["account", "symbol"], "full")
+    both = both.join(explained.select("account", "symbol", F.lit(True).alias("known")).distinct(), ["account", "symbol"], "left")
+    code = (
+        F.when(F.col("l").isNull(), F.when(F.col("known").isNull(), "BROKER_POSITION_MISSING_LOCALLY"))
+        .when(F.col("b").isNull(), "LOCAL_POSITION_MISSING_AT_BROKER")
+        .when(F.col("l") != F.col("b"), "POSITION_QUANTITY_MISMATCH")
+    )
+    return both.select("account", "symbol", code.alias("code")).where("code IS NOT NULL")
+
+
+def reconciliation_status(accounts: DataFrame, discrepancies: DataFrame) -> DataFrame:
+    """Each account's status (clean, recoverable, blocked) and its codes: the blocking ones if there are any."""
+    soft = F.col("code").isin(*RECOVERABLE)
+    by = discrepancies.groupBy("account").agg(F.array_sort(F.collect_set(F.when(~soft, F.col("code")))).alias("hard"), F.array_sort(F.collect_set(F.when(soft, F.col("code")))).alias("soft"))
+    rows = accounts.select("account").distinct().join(by, "account", "left")
+    codes = F.when(F.size("hard") > 0, F.col("hard")).otherwise(F.col("soft"))
+    status = F.when(F.size("hard") > 0, "blocked").when(F.size("soft") > 0, "recoverable").otherwise("clean")
+    return rows.select("account", status.alias("status"), F.coalesce(F.array_join(codes, ","), F.lit("")).alias("codes"))

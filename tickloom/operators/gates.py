@@ -69,7 +69,7 @@ def rank_scores(metrics: DataFrame, weights: dict[str, float], lower_is_better:
 def within_capacity(df: DataFrame, capacity: dict[str, int], state: str, order: list[Column]) -> DataFrame:
     """The first rows of each state, as many as its capacity."""
     most = F.element_at(F.create_map(*[x for k, v in capacity.items() for x in (F.lit(k), F.lit(v))]), F.col(state))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(state).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(state).orderBy(*order))).where(F.col("_r") <= max(capacity.values())).where(F.col("_r") <= most).drop("_r")
 
 
 def parameter_grid(spark: SparkSession, ranges: dict[str, list]) -> DataFrame:
@@ -116,6 +116,7 @@ def farthest_points(grid: DataFrame, budget: int, key: str = "hypothesis_id") ->
     return grid.groupBy(key).applyInPandas(choose, grid.schema)
 
 
-def first_reason(reasons: list[tuple[str, Column]]) -> Column:
-    """The first reason, in order, whose condition holds."""
-    return F.coalesce(*[F.when(c, name) for name, c in reasons])
+def gate_then_rank(evidence: DataFrame, hard: tuple[tuple[str, str], ...], weights: dict[str, float], lower_is_better: frozenset[str], cohort: str, key: str) -> DataFrame:
+    """rank_scores of those candidates alone that pass every gate."""
+    passed = decide(evaluate_gates(evidence, hard, key), key).where("decision = 'PROMOTE'").select(key)
+    return rank_scores(evidence.join(passed, key, "left_semi").select(cohort, key, *weights), weights, lower_is_better, cohort, key)

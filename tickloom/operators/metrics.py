@@ -44,6 +44,14 @@ def trade_metrics(trades: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def exposure_turnover(marks: DataFrame, trades: DataFrame, initial: float, *keys: str) -> DataFrame:
+    """Mean share of the equity that is invested (0 where there is none), turnover of both sides, cost and return against the initial cash."""
+    share = F.when(F.col("equity") > 0, F.col("gross_exposure") / F.col("equity")).otherwise(0.0)
+    held = marks.groupBy(*keys).agg(F.avg(share).alias("exposure"))
+    traded = trades.groupBy(*keys).agg((F.sum(F.col("quantity") * (F.col("entry_price") + F.col("exit_price"))) / initial).alias("turnover"), F.sum("cost_paid").alias("cost_paid"), (F.sum("net_pnl") / initial).alias("net_return"))
+    return held.join(traded, list(keys), "full")
+
+
 def long_form(wide: DataFrame, *keys: str) -> DataFrame:
     """One row for each metric."""
     names = sorted(c for c in wide.columns if c not in keys)
@@ -102,10 +110,18 @@ def walk_forward(sessions: DataFrame, train: int, evaluate: int, step: int) -> D
 
 
 def nearest_rank(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """The value at rank ceil(p * n), at least 1, of each key."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))).select(*keys, F.col("v").alias("threshold"))
+    """The value at rank ceil(p * n), at least 1, of each key. Only rows between two approximate percentiles around it are ranked; those
+    below are counted. Null values have no rank."""
+    rows = df.select(*keys, F.col(value).alias("v")).where("v IS NOT NULL")
+    near = [max(p - 0.01, 0.0), min(p + 0.01, 1.0)]
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("v", near, 1000).alias("b"), F.count("*").alias("n"))
+    own = rows.join(bounds, list(keys))
+    below = own.groupBy(*keys).agg(F.count(F.when(F.col("v") < F.col("b")[0], 1)).alias("below"))
+    inside = own.where((F.col("v") >= F.col("b")[0]) & (F.col("v") <= F.col("b")[1])).groupBy(*keys, "v").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.join(below, list(keys)).select(*keys, "v", "n", "m", (F.col("below") + upto).alias("last"))
+    wanted = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+    return ranked.where((F.col("last") >= wanted) & (F.col("last") - F.col("m") < wanted)).select(*keys, F.col("v").alias("threshold"))
 
 
 def repetitions(opportunities: DataFrame, n: int) -> DataFrame:
@@ -113,21 +129,18 @@ def repetitions(opportunities: DataFrame, n: int) -> DataFrame:
 
 
 def permuted(opportunities: DataFrame, n: int, keys: tuple[str, ...] = ("session_date",), identity: str = "opportunity_id") -> DataFrame:
-    """Each repetition re-deals the entered marks among the opportunities of a group; their number stays. The order is a hash's."""
-    rows = repetitions(opportunities, n)
-    w = Window.partitionBy(*keys, "rep")
-    own = F.row_number().over(w.orderBy(identity))
-    dealt = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", "rep", identity)), identity))
-    rows = rows.select("*", own.alias("_own"), dealt.alias("_dealt"))
-    marks = rows.select(*keys, "rep", F.col("_dealt").alias("_own"), F.col("entered").alias("shuffled"))
-    return rows.join(marks, [*keys, "rep", "_own"]).drop("_own", "_dealt")
+    """Each repetition deals the entered marks of a group anew among its opportunities; their number stays. The order is a hash's: as many of
+    the first as the group has entered ones are `shuffled`."""
+    counted = opportunities.withColumn("_entered", F.sum(F.col("entered").cast("long")).over(Window.partitionBy(*keys)))
+    order = Window.partitionBy(*keys, "rep").orderBy(F.md5(F.concat_ws("|", "rep", identity)), identity)
+    return repetitions(counted, n).withColumn("shuffled", F.row_number().over(order) <= F.col("_entered")).drop("_entered")
 
 
 def shifted(opportunities: DataFrame, n: int, keys: tuple[str, ...] = ("session_date",), order: tuple[str, ...] = ("opportunity_id",)) -> DataFrame:
-    """Each repetition moves the entered marks round a group's opportunities by an offset of 1..size-1 from a hash."""
-    rows = repetitions(opportunities, n)
-    w = Window.partitionBy(*keys, "rep")
-    rows = rows.select("*", (F.row_number().over(w.orderBy(*order)) - 1).alias("_at"), F.count("*").over(w).alias("_n")).where("_n > 1")
+    """Each repetition moves the entered marks round a group's opportunities by an offset of 1..size-1 from a hash. Rows: the repetition and the
+    opportunity at which a mark arrives. A group of one cannot be shifted and has none."""
+    w = Window.partitionBy(*keys)
+    placed = opportunities.select("*", (F.row_number().over(w.orderBy(*order)) - 1).alias("_at"), F.count("*").over(w).alias("_n")).where("_n > 1")
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shift"), "rep", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long") % (F.col("_n") - 1) + 1
-    marks = rows.select(*keys, "rep", ((F.col("_at") + offset) % F.col("_n")).cast("int").alias("_at"), F.col("entered").alias("shifted"))
-    return rows.join(marks, [*keys, "rep", "_at"]).drop("_at", "_n")
+    marks = repetitions(placed.where("entered").select(*keys, "_at", "_n"), n).select(*keys, "rep", ((F.col("_at") + offset) % F.col("_n")).cast("int").alias("_at"))
+    return placed.join(marks, [*keys, "_at"]).drop("_at", "_n")

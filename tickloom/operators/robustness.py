@@ -5,15 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Thresholds of the eligibility gates.
+from tickloom.operators.metrics import nearest_rank
+
+# The codes of the eligibility gates, in order, with their thresholds.
 ELIGIBILITY = (
-    ("TOO_FEW_DAYS", "completed_days >= 30"),
-    ("TOO_FEW_TRADES", "closed_trades >= 50"),
-    ("UNRESOLVED_ORDERS", "unresolved = 0"),
-    ("WRONG_STATE", "state = 'PAPER'"),
-    ("INCOMPLETE", "completeness >= 0.99"),
-    ("LOW_QUALITY", "quality >= 0.95"),
+    ("MIN_COMPLETED_PAPER_DAYS", "completed_days >= 30"),
+    ("MIN_BROKER_CONFIRMED_CLOSED_TRADES", "closed_trades >= 50"),
+    ("NO_UNRESOLVED_RECONCILIATION", "unresolved_reconciliations = 0"),
+    ("NO_UNRESOLVED_OVERNIGHT_RISK", "unresolved_overnight_incidents = 0"),
+    ("OBSERVING_LIFECYCLE_REQUIRED", "lifecycle_state = 'paper_observing'"),
+    ("MIN_DATA_COMPLETENESS", "data_completeness >= 0.99"),
+    ("MIN_EXECUTION_QUALITY", "execution_quality >= 0.95"),
+    ("RANKED_CAPACITY_AVAILABLE", "capacity_available"),
+)
+# The reasons that keep an entry out, in order, each with the condition that it stands for.
+ENTRY_REFUSALS = (
+    ("SYMBOL_NOT_ALLOWED", "NOT symbol_allowed"),
+    ("OUTSIDE_REGULAR_HOURS", "minute < open_minute OR minute >= close_minute"),
+    ("CLOSEOUT_BUFFER_ACTIVE", "minute >= close_minute - closeout_minutes"),
+    ("FEED_STALE", "feed_age < 0 OR feed_age > max_feed_age"),
+    ("BROKER_CLOCK_STALE", "clock_age < 0 OR clock_age > max_clock_age"),
+    ("RECONCILIATION_NOT_CLEAN", "reconciliation_status <> 'clean'"),
+    ("STORAGE_CIRCUIT_OPEN", "storage_circuit_open"),
+    ("ACCOUNT_POSITION_LIMIT", "account_positions >= 3"),
+    ("STRATEGY_ENTRY_LIMIT", "strategy_entries >= 3"),
+    ("STRATEGY_NOT_ENABLED", "NOT strategy_enabled"),
+    ("LONG_ONLY_ENTRY_REQUIRED", "side <> 'buy'"),
+    ("NEGATIVE_CASH", "cash < 0"),
+    ("NO_FEASIBLE_INTEGER_POSITION", "NOT sizing_approved OR sized_quantity < 1"),
+    ("QUANTITY_EXCEEDS_CONSERVATIVE_SIZE", "quantity > sized_quantity"),
+    ("MARGIN_OR_LEVERAGE_REQUIRED", "required_cash > cash"),
+    ("DAILY_LOSS_LIMIT_BREACHED", "daily_loss >= daily_loss_limit"),
+    ("ACCOUNT_LOSS_LIMIT_BREACHED", "account_loss >= account_loss_limit"),
+    ("STRATEGY_LOSS_LIMIT_BREACHED", "strategy_loss >= strategy_loss_limit"),
+    ("DUPLICATE_INTENT", "duplicate_intent"),
+    ("CONFLICTING_INTENT", "conflicting_intent"),
 )
+ENTRY_APPROVED = "ENTRY_RISK_APPROVED"
+
+
+def entry_risk(contexts: DataFrame) -> DataFrame:
+    """contexts with `reason`: the first refusal, in order, whose condition holds, or ENTRY_APPROVED. A condition that is null refuses."""
+    refused = [F.when(F.coalesce(F.expr(c), F.lit(True)), code) for code, c in ENTRY_REFUSALS]
+    return contexts.withColumn("reason", F.coalesce(*refused, F.lit(ENTRY_APPROVED)))
 
 
 def neighborhood(points: DataFrame, key: str = "strategy_id", share: float = 0.6, drawdown: float = 0.08) -> DataFrame:
@@ -40,9 +74,7 @@ def first_neighbours(ids: DataFrame, n: int = 5, key: str = "variant_rank", grou
 
 def null_verdict(observed: DataFrame, scores: DataFrame, key: str = "strategy_id", p: float = 0.95) -> DataFrame:
     """Whether each candidate's profit is above the nearest-rank percentile of every null method's scores (key, method, score)."""
-    w = Window.partitionBy(key, "method")
-    ranked = scores.select(key, "method", "score", F.row_number().over(w.orderBy("score")).alias("r"), F.count("*").over(w).alias("n"))
-    limits = ranked.where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))).select(key, "method", F.col("score").alias("threshold"))
+    limits = nearest_rank(scores, "score", p, key, "method")
     return observed.join(limits, key, "left").groupBy(key).agg(F.coalesce(F.bool_and(F.coalesce(F.col("profit") > F.col("threshold"), F.lit(False))), F.lit(False)).alias("null_test_passed"), F.max("threshold").alias("threshold"))
 
 
@@ -56,15 +88,6 @@ def sealed_view(frame: DataFrame, labels: DataFrame, phase: str, survivors: Data
     return own.join(survivors.select(key), key, "left_semi")
 
 
-def preselected(evidence: DataFrame) -> DataFrame:
-    return evidence.where("base_return > 0 AND costly_return > 0 AND trade_count >= 100 AND max_drawdown <= 0.08 AND profit_factor >= 1.15")
-
-
 def selection_hash(survivors: DataFrame, key: str, content: str) -> DataFrame:
     """One hash over the sorted survivors with their content hashes (a survivor list is short)."""
     return survivors.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, content))), "|"), 256).alias("selection_sha256"), F.count("*").alias("survivors"))
-
-
-def first_failing(checks: list[tuple[str, Column]]) -> Column:
-    """The name of the first check that doesn't hold, null if all do; what is null doesn't hold."""
-    return F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in checks])

@@ -95,7 +95,7 @@ def accept_entries(entries: DataFrame, cooldown_seconds: int, max_entries: int,
 def fifo_lots(log: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
     """Matched lots of a log of buys and sells: keys, buy_rank, sell_rank, quantity.
 
-    Buys and sells are intervals on the axis of cumulative quantity; a lot is an overlap. What is sold beyond the holding is lost:
+    Buys and sells are intervals on the axis of cumulative quantity; a lot is an overlap, found by merging the starts of both in one window. What is sold beyond the holding is lost:
     the running maximum of sold less bought is taken off the sells' positions. Columns: keys, order, side, quantity.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -105,10 +105,14 @@ def fifo_lots(log: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFr
     rows = log.select("*", F.row_number().over(w).alias("_rank"), F.sum(F.when(buy, q).otherwise(0)).over(so_far).alias("_bought"), F.sum(F.when(sell, q).otherwise(0)).over(so_far).alias("_sold"))
     rows = rows.withColumn("_lost", F.greatest(F.lit(0), F.max(F.col("_sold") - F.col("_bought")).over(so_far)))
     rows = rows.withColumn("_lost_before", F.coalesce(F.lag("_lost").over(w), F.lit(0)))
-    buys = rows.where(buy & (q > 0)).select(*keys, F.col("_rank").alias("buy_rank"), (F.col("_bought") - q).alias("b0"), F.col("_bought").alias("b1"))
-    sells = rows.where(sell & (q > 0)).select(*keys, F.col("_rank").alias("sell_rank"), (F.col("_sold") - q - F.col("_lost_before")).alias("s0"), (F.col("_sold") - F.col("_lost")).alias("s1"))
-    lots = buys.join(sells, list(keys)).where("greatest(b0, s0) < least(b1, s1)")
-    return lots.select(*keys, "buy_rank", "sell_rank", (F.least("b1", "s1") - F.greatest("b0", "s0")).alias("quantity"))
+    buys = rows.where(buy & (q > 0)).select(*keys, F.lit("buy").alias("kind"), (F.col("_bought") - q).alias("at"), F.col("_bought").alias("end"), F.col("_rank").alias("rank"))
+    sells = rows.where(sell & (q > 0)).select(*keys, F.lit("sell").alias("kind"), (F.col("_sold") - q - F.col("_lost_before")).alias("at"), (F.col("_sold") - F.col("_lost")).alias("end"), F.col("_rank").alias("rank"))
+    # a lot begins where the later of its two intervals does: each start carries the latest buy and the latest sell
+    here = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    latest = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("at", "end", "rank"))).over(here)
+    starts = buys.unionByName(sells).where("end > at").select(*keys, "kind", latest("buy").alias("b"), latest("sell").alias("s"))
+    lots = starts.where("kind = 'buy' AND b.at >= s.at OR kind = 'sell' AND s.at > b.at").where("least(b.end, s.end) > greatest(b.at, s.at)")
+    return lots.select(*keys, F.col("b.rank").alias("buy_rank"), F.col("s.rank").alias("sell_rank"), (F.least("b.end", "s.end") - F.greatest("b.at", "s.at")).alias("quantity"))
 
 
 def equity_marks(trades: DataFrame, bars: DataFrame) -> DataFrame:
@@ -124,5 +128,11 @@ def equity_marks(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.where("close IS NOT NULL").select("symbol", "session_date", F.col("t").alias("bar_start"), "held", (F.col("held") * F.col("close")).alias("market_value"), "realised")
 
 
-def slots(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("slot"))
+def opportunities(bars: DataFrame, hold: int, budget: float, cost: float) -> DataFrame:
+    """What an entry after each bar would have earned: bought at the next bar's open with the budget, sold at the close `hold` bars after this one or
+    the session's last, less the cost share of both sides. Bars without a next one in their session give none."""
+    w = Window.partitionBy("symbol", "session_date").orderBy("slot")
+    last = F.last("close").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = bars.select("symbol", "session_date", "slot", F.lead("open").over(w).alias("entry_price"), F.coalesce(F.lead("close", hold).over(w), last).alias("exit_price"))
+    rows = rows.where("entry_price IS NOT NULL").withColumn("quantity", F.floor(F.lit(budget) / F.col("entry_price")))
+    return rows.withColumn("net_pnl", F.col("quantity") * (F.col("exit_price") * (1 - cost) - F.col("entry_price") * (1 + cost)))

@@ -85,9 +85,9 @@ def s10_provider_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("a IS NOT NULL AND b IS NOT NULL").select("hour", F.round((F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 10000, 4).alias("difference_bps"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, scenario, round(l_extendedprice * (1 + bps / 10000), 6) AS paid FROM lineitem, (VALUES ('optimistic', 1.0::DOUBLE), ('base', 3.0::DOUBLE), ('stress', 7.0::DOUBLE)) c(scenario, bps) WHERE l_returnflag = 'A'""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, scenario, round(l_extendedprice * (1 + bps / 10000), 6) AS paid FROM lineitem, (VALUES ('optimistic', 1.0::DOUBLE), ('base', 3.0::DOUBLE), ('stress', 7.0::DOUBLE)) c(scenario, bps)""")
 def f4_market_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trades.with_scenarios(t.read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'"))
+    rows = trades.with_scenarios(t.read(spark, sf_dir, "lineitem"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "scenario", F.round(trades.market_price(F.col("l_extendedprice"), F.lit("buy"), F.col("impact_bps")), 6).alias("paid"))
 
 

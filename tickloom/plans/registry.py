@@ -37,8 +37,13 @@ def query(sql: str | None = None):
     return register
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered before, to build another's on."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from tickloom.plans import bar_queries, evidence_queries, extra_queries, report_queries, stream_queries, trade_queries  # noqa: F401
+    from tickloom.plans import bar_queries, evidence_queries, extra_queries, gate_queries, report_queries, rule_queries, stream_queries, trade_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

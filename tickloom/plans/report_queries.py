@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import gates, metrics, reports, robustness
+from tickloom.operators import metrics, reports, robustness
 from tickloom.operators.features import resample
 from tickloom.plans import tables as t
 from tickloom.plans.bar_queries import _blocks
@@ -42,29 +42,13 @@ def k16_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.first_neighbours(t.read(spark, sf_dir, "part").select(F.col("p_brand").alias("hypothesis_id"), F.col("p_partkey").alias("variant_rank")))
 
 
-@query("""WITH s AS (SELECT l_returnflag AS strategy_id, l_linestatus AS method, l_extendedprice AS score FROM lineitem), o AS (SELECT l_returnflag AS strategy_id, max(l_extendedprice) AS profit FROM lineitem WHERE l_discount < 0.05 GROUP BY 1),
+@query("""WITH s AS (SELECT l_returnflag AS strategy_id, l_linestatus AS method, l_extendedprice AS score FROM lineitem), o AS (SELECT l_returnflag AS strategy_id, max(l_extendedprice) AS profit FROM lineitem GROUP BY 1),
     x AS (SELECT strategy_id, method, quantile_disc(score, 0.95) AS threshold FROM s GROUP BY ALL)
     SELECT o.strategy_id, coalesce(bool_and(profit > threshold), false) AS null_test_passed, max(threshold) AS threshold FROM o LEFT JOIN x USING (strategy_id) GROUP BY 1""")
 def k14_null_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t.read(spark, sf_dir, "lineitem")
     scores = lines.select(F.col("l_returnflag").alias("strategy_id"), F.col("l_linestatus").alias("method"), F.col("l_extendedprice").alias("score"))
-    return robustness.null_verdict(lines.where("l_discount < 0.05D").groupBy(F.col("l_returnflag").alias("strategy_id")).agg(F.max("l_extendedprice").alias("profit")), scores)
-
-
-_USERS = "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS completed_days, count(*) AS closed_trades, count(*) FILTER (WHERE event_type = 'error') % 2 AS unresolved FROM events GROUP BY 1"
-
-
-@query(f"SELECT user_id, CASE WHEN completed_days >= 28 AND closed_trades >= 50 AND unresolved = 0 THEN 'PROMOTE' ELSE 'REJECT' END AS decision, concat_ws(',', CASE WHEN completed_days < 28 THEN 'TOO_FEW_DAYS' END, CASE WHEN closed_trades < 50 THEN 'TOO_FEW_TRADES' END, CASE WHEN unresolved <> 0 THEN 'UNRESOLVED_ORDERS' END) AS reasons FROM ({_USERS})")
-def l4_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = t.read(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct(F.to_date("ts")).alias("completed_days"), F.count("*").alias("closed_trades"), (F.sum((F.col("event_type") == "error").cast("long")) % 2).alias("unresolved"))
-    rows = gates.evaluate_gates(users, (("TOO_FEW_DAYS", "completed_days >= 28"), *robustness.ELIGIBILITY[1:3]), "user_id")
-    return gates.decide(rows, "user_id")
-
-
-@query("""SELECT o_orderkey, CASE WHEN NOT o_totalprice <= 400000 THEN 'TOO_LARGE' WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_custkey % 10 = 0 THEN 'BLOCKED_ACCOUNT' ELSE 'APPROVED' END AS reason FROM orders""")
-def l12_entry_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = [("TOO_LARGE", F.col("o_totalprice") <= 400000), ("PENDING", F.col("o_orderstatus") != "P"), ("BLOCKED_ACCOUNT", F.col("o_custkey") % 10 != 0)]
-    return t.read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(robustness.first_failing(checks), F.lit("APPROVED")).alias("reason"))
+    return robustness.null_verdict(lines.groupBy(F.col("l_returnflag").alias("strategy_id")).agg(F.max("l_extendedprice").alias("profit")), scores)
 
 
 @query("SELECT sha256(string_agg(o_orderpriority || '=' || h, '|' ORDER BY o_orderpriority || '=' || h)) AS selection_sha256, count(*) AS survivors FROM (SELECT o_orderpriority, sha256(CAST(count(*) AS VARCHAR)) AS h FROM orders GROUP BY 1)")

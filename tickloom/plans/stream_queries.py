@@ -51,17 +51,62 @@ def s2_streamed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT symbol, CAST(epoch(session_date + to_hours(CAST(block * 4 AS BIGINT))) AS BIGINT) AS t, close, CAST(volume AS BIGINT) AS volume FROM
     (SELECT symbol, session_date, slot // 4 AS block, last(close ORDER BY slot) AS close, sum(volume) AS volume FROM ({t.bars_sql()}) GROUP BY ALL HAVING count(*) = 4)""")
 def s6_stateful_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = folder(spark, "slots")
-    bars = t.bars(spark, sf_dir).select("symbol", F.unix_timestamp("bar_start").alias("t"), "close", "volume")
-    bars.repartitionByRange("t").sortWithinPartitions("t").write.parquet(where)
-    stream = spark.readStream.schema(bars.schema).parquet(where)
+    return _states(spark, [_slots(spark, sf_dir)], 40 * 86_400).where("kind = 'block'").select("symbol", "t", "close", "volume")
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.bars(spark, sf_dir).select("symbol", F.unix_timestamp("bar_start").alias("t"), "close", "volume")
+
+
+def _states(spark: SparkSession, parts: list[DataFrame], late_s: int) -> DataFrame:
+    """What the keyed state gives for bars that arrive part after part, each in a run of its own of the same stream."""
+    where, at = folder(spark, "slots"), folder(spark, "state")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = streams.run_available(streams.stateful_blocks(stream, 3600, 4, 40 * 86_400), folder(spark, "state"))
+        for part in parts:
+            part.repartitionByRange("t").sortWithinPartitions("t").write.mode("append").parquet(where)
+            stream = spark.readStream.schema(part.schema).parquet(where)
+            out = streams.run_available(streams.stateful_blocks(stream, 3600, 4, late_s), at)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return out.where("kind = 'block'").select("symbol", "t", "close", "volume")
+    return out
+
+
+_SLOTS = f"SELECT symbol, CAST(epoch(bar_start) AS BIGINT) AS t, close, CAST(volume AS BIGINT) AS volume FROM ({t.bars_sql()})"
+
+
+@query(f"SELECT symbol, t, close + 1 AS close, volume FROM ({_SLOTS}) WHERE t // 3600 % 5 = 0")
+def s2_conflicting_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _slots(spark, sf_dir)
+    changed = bars.where(F.floor(F.col("t") / 3600) % 5 == 0).withColumn("close", F.col("close") + 1)
+    out = _states(spark, [bars.unionByName(bars.where("volume % 2 = 0")).unionByName(changed)], 40 * 86_400)
+    return out.where("kind = 'conflict'").select("symbol", "t", "close", "volume")
+
+
+@query(f"WITH s AS ({_SLOTS}) SELECT symbol, t, close, volume FROM s WHERE t // 86400 % 2 = 0 AND t < (SELECT max(o.t) FROM s o WHERE o.symbol = s.symbol AND o.t // 86400 % 2 = 1) - 7 * 86400")
+def s3_late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, odd = _slots(spark, sf_dir), F.floor(F.col("t") / 86_400) % 2 == 1
+    return _states(spark, [bars.where(odd), bars.where(~odd)], 7 * 86_400).where("kind = 'late'").select("symbol", "t", "close", "volume")
+
+
+@query("SELECT event_id, event_type AS symbol FROM events WHERE hour(ts) < 2 OR hour(ts) >= 22")
+def s4_outside_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    inside = t.grid(spark).where("slot BETWEEN 2 AND 21").select("session_date", "slot")
+    keyed = rows.withColumn("session_date", F.to_date("ts")).withColumn("slot", F.hour("ts"))
+    outside = keyed.join(F.broadcast(inside), ["session_date", "slot"], "left_anti")  # the grid of a calendar
+    return streams.run_available(outside.select("event_id", "symbol"), folder(spark, "outside"))
+
+
+@query("SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS usable_at FROM events WHERE value > 100")
+def s8_signals_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal is usable a minute after its minute, once for each symbol and time."""
+    rows = events(spark, sf_dir)
+    usable = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE")
+    signals = rows.unionByName(rows).where("price > 100").select("symbol", "ts", usable.alias("usable_at"))
+    out = streams.run_available(streams.deduplicated(signals, ["symbol", "usable_at"]), folder(spark, "signals"))
+    return out.select("symbol", F.col("usable_at").cast("timestamp_ntz").alias("usable_at"))
 
 
 @query("""SELECT symbol, CAST(session_date AS VARCHAR) AS day, CAST(coalesce(count(*) FILTER (WHERE gap > 1800), 0) AS BIGINT) AS gaps, CAST(coalesce(max(gap), 0) AS BIGINT) AS longest

@@ -110,10 +110,13 @@ _LOG = """SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy'
     row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rank FROM lineitem"""
 
 
-@query(f"""WITH c AS (SELECT *, sum(CASE side WHEN 'buy' THEN quantity ELSE 0 END) OVER w AS bought, sum(CASE side WHEN 'sell' THEN quantity ELSE 0 END) OVER w AS sold FROM ({_LOG}) WINDOW w AS (PARTITION BY l_partkey ORDER BY rank)),
-    d AS (SELECT *, greatest(0, max(sold - bought) OVER (PARTITION BY l_partkey ORDER BY rank)) AS lost FROM c), e AS (SELECT *, coalesce(lag(lost) OVER (PARTITION BY l_partkey ORDER BY rank), 0) AS before FROM d)
-    SELECT b.l_partkey, b.rank AS buy_rank, s.rank AS sell_rank, CAST(least(b.bought, s.sold - s.lost) - greatest(b.bought - b.quantity, s.sold - s.quantity - s.before) AS BIGINT) AS quantity
-    FROM e b JOIN e s ON b.l_partkey = s.l_partkey AND b.side = 'buy' AND s.side = 'sell' AND greatest(b.bought - b.quantity, s.sold - s.quantity - s.before) < least(b.bought, s.sold - s.lost)""")
+@query(f"""WITH c AS MATERIALIZED (SELECT *, sum(CASE side WHEN 'buy' THEN quantity ELSE 0 END) OVER w AS bought, sum(CASE side WHEN 'sell' THEN quantity ELSE 0 END) OVER w AS sold FROM ({_LOG}) WINDOW w AS (PARTITION BY l_partkey ORDER BY rank)),
+    d AS MATERIALIZED (SELECT *, greatest(0, max(sold - bought) OVER (PARTITION BY l_partkey ORDER BY rank)) AS lost FROM c), e AS MATERIALIZED (SELECT *, coalesce(lag(lost) OVER (PARTITION BY l_partkey ORDER BY rank), 0) AS before FROM d),
+    i AS MATERIALIZED (SELECT l_partkey, side, rank, CASE side WHEN 'buy' THEN bought - quantity ELSE sold - quantity - before END AS p, CASE side WHEN 'buy' THEN bought ELSE sold - lost END AS q FROM e),
+    m AS (SELECT l_partkey, side, last_value(CASE side WHEN 'buy' THEN rank END IGNORE NULLS) OVER r AS buy_rank, last_value(CASE side WHEN 'buy' THEN p END IGNORE NULLS) OVER r AS b0, last_value(CASE side WHEN 'buy' THEN q END IGNORE NULLS) OVER r AS b1,
+        last_value(CASE side WHEN 'sell' THEN rank END IGNORE NULLS) OVER r AS sell_rank, last_value(CASE side WHEN 'sell' THEN p END IGNORE NULLS) OVER r AS s0, last_value(CASE side WHEN 'sell' THEN q END IGNORE NULLS) OVER r AS s1
+        FROM i WHERE q > p WINDOW r AS (PARTITION BY l_partkey ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT l_partkey, buy_rank, sell_rank, CAST(least(b1, s1) - greatest(b0, s0) AS BIGINT) AS quantity FROM m WHERE (side = 'buy' AND b0 >= s0 OR side = 'sell' AND s0 > b0) AND least(b1, s1) > greatest(b0, s0)""")
 def f15_fifo_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t.read(spark, sf_dir, "lineitem")
     log = lines.select("*", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").cast("long").alias("quantity"))
@@ -246,7 +249,7 @@ def k8_symbol_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("strategy_id", "symbol", (gain / F.nullif(total, F.lit(0.0)) > 0.7).alias("concentrated"))
 
 
-REPS = 20
+REPS = 200
 _OPP = "SELECT event_id AS opportunity_id, event_type AS symbol, CAST(ts AS DATE) AS session_date, event_type = 'purchase' AS entered, CAST(round(value * 100) AS BIGINT) AS profit FROM events"
 
 
@@ -254,17 +257,18 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "events").select(F.col("event_id").alias("opportunity_id"), F.col("event_type").alias("symbol"), F.to_date("ts").alias("session_date"), (F.col("event_type") == "purchase").alias("entered"), F.round(F.col("value") * 100).cast("long").alias("profit"))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_date, rep ORDER BY opportunity_id) AS own, row_number() OVER (PARTITION BY session_date, rep ORDER BY md5(rep || '|' || opportunity_id), opportunity_id) AS dealt FROM ({_OPP}), range({REPS}) t(rep))
-    SELECT CAST(a.rep AS INTEGER) AS rep, CAST(sum(a.profit) FILTER (WHERE b.entered) AS BIGINT) AS profit FROM r a JOIN r b ON a.session_date = b.session_date AND a.rep = b.rep AND a.own = b.dealt GROUP BY a.rep""")
+@query(f"""WITH o AS (SELECT *, count(*) FILTER (WHERE entered) OVER (PARTITION BY session_date) AS marks FROM ({_OPP})),
+    r AS (SELECT rep, profit, row_number() OVER (PARTITION BY session_date, rep ORDER BY md5(rep || '|' || opportunity_id), opportunity_id) <= marks AS shuffled FROM o, range({REPS}) t(rep))
+    SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(profit) AS BIGINT) AS profit FROM r WHERE shuffled GROUP BY rep""")
 def k9_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.permuted(opportunities(spark, sf_dir), REPS).where("shuffled").groupBy("rep").agg(F.sum("profit").alias("profit"))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_date, rep ORDER BY opportunity_id) - 1 AS at, count(*) OVER (PARTITION BY session_date, rep) AS n FROM ({_OPP}), range({REPS}) t(rep)),
-    o AS (SELECT *, CAST('0x' || substr(md5('shift|' || rep || '|' || session_date), 1, 8) AS BIGINT) % (n - 1) + 1 AS shift FROM r WHERE n > 1)
-    SELECT CAST(a.rep AS INTEGER) AS rep, CAST(sum(a.profit) FILTER (WHERE b.entered) AS BIGINT) AS profit FROM o a JOIN o b ON a.session_date = b.session_date AND a.rep = b.rep AND a.at = (b.at + b.shift) % b.n GROUP BY a.rep""")
+@query(f"""WITH p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY opportunity_id) - 1 AS pos, count(*) OVER (PARTITION BY session_date) AS n FROM ({_OPP})),
+    m AS (SELECT session_date, rep, (pos + CAST('0x' || substr(md5('shift|' || rep || '|' || session_date), 1, 8) AS BIGINT) % (n - 1) + 1) % n AS pos FROM p, range({REPS}) t(rep) WHERE n > 1 AND entered)
+    SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(profit) AS BIGINT) AS profit FROM p JOIN m USING (session_date, pos) GROUP BY rep""")
 def k10_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.shifted(opportunities(spark, sf_dir), REPS).where("shifted").groupBy("rep").agg(F.sum("profit").alias("profit"))
+    return metrics.shifted(opportunities(spark, sf_dir), REPS).groupBy("rep").agg(F.sum("profit").alias("profit"))
 
 
 @query("SELECT event_type AS symbol, quantile_disc(value, 0.95) AS threshold FROM events GROUP BY 1")
@@ -272,30 +276,6 @@ def k13_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.nearest_rank(t.ticks(spark, sf_dir), "price", 0.95, "symbol")
 
 
-_EVIDENCE = f"""SELECT strategy_id, net_pnl AS base_return, net_pnl - 0.5 * cost_paid AS costly_return, trade_count, profit_factor, max_drawdown, win_rate
-    FROM ({_metrics_sql('strategy_id')}) JOIN (SELECT strategy_id, greatest(0, max(1 - equity / greatest({CASH}, peak))) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY session_date) AS peak FROM ({_EQUITY})) GROUP BY strategy_id) USING (strategy_id)"""
-_GATES = ("base_return > 0", "costly_return > 0", "trade_count >= 100", "max_drawdown <= 0.08", "profit_factor >= 1.15", "win_rate >= 0.6")
-_GATE_ROWS = " UNION ALL ".join(f"SELECT strategy_id, {i} AS ordinal, '{gates.HARD_GATES[i - 1][0]}' AS code, coalesce({p}, false) AS passed FROM ({_EVIDENCE})" for i, p in enumerate(_GATES, 1))
-
-
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _trade_metrics(t.trades(spark, sf_dir), "strategy_id").join(metrics.max_drawdown(daily_equity(spark, sf_dir), CASH), "strategy_id")
-    return own.select("strategy_id", F.col("net_pnl").alias("base_return"), (F.col("net_pnl") - 0.5 * F.col("cost_paid")).alias("costly_return"), "trade_count", "profit_factor", "max_drawdown", "win_rate")
-
-
-GATE_LIST = tuple((gates.HARD_GATES[i][0], p) for i, p in enumerate(_GATES))
-
-
-@query(_GATE_ROWS)
-def l1_hard_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.evaluate_gates(evidence(spark, sf_dir), GATE_LIST)
-
-
-@query(f"SELECT strategy_id, CASE WHEN bool_and(passed) THEN 'PROMOTE' ELSE 'REJECT' END AS decision, coalesce(string_agg(code, ',' ORDER BY ordinal) FILTER (WHERE NOT passed), '') AS reasons FROM ({_GATE_ROWS}) GROUP BY strategy_id")
-def l2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.decide(gates.evaluate_gates(evidence(spark, sf_dir), GATE_LIST))
-
-
 _COMPONENTS = ("expectancy", "cost_paid", "win_rate")
 
 
