@@ -1,5 +1,8 @@
 """Language, main text, exact search and the pipeline."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -176,3 +179,28 @@ def test_pipeline_keeps_unlike_documents_that_share_an_id_or_have_none(spark):
     lines = corpus_pipeline.line_stage(spark, docs, SMALL)
     assert lines.columns == docs.columns and sorted(r.text for r in lines.collect() if r.doc_id == 8) == [""]
     assert corpus_pipeline.benchmark_stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 2.0]), (100, [-1e300, 0.5]), (1, [1e300, 0.0]), (2, [3.0, 1e17]), (3, [0.0, float("inf")]), (4, None), (5, [1.0, None]), (6, [1e-9, -1e-9])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("query_id", "rank").collect()
+
+    def whole(v):
+        return [min(max(math.floor(Fraction(x) * 1024), -(2**63)), 2**63 - 1) for x in v]
+
+    vectors = {k: whole(v) for k, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in (0, 100):
+        scores = {k: min(max(sum(a * b for a, b in zip(v, vectors[q], strict=True)), -(2**63)), 2**63 - 1) for k, v in vectors.items() if k != q}
+        want += [(q, i + 1, k, scores[k]) for i, k in enumerate(sorted(scores, key=lambda k: (-scores[k], k))[:4])]
+    assert [tuple(r) for r in out] == want
+
+
+def test_language_of_tables_with_clashing_columns(spark):
+    rows = [(i, "the words of the line" if i % 2 else "les mots de la ligne", "en" if i % 2 else "fr", "x", "y", "z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, own string, label string, share string")
+    out = language.predict(docs, language.fit(docs))
+    assert out.columns == [*docs.columns, "lang_pred", "score"]
+    assert all(r.lang == r.lang_pred and r.own == "x" and r.label == "y" for r in out.collect())
+    with pytest.raises(ValueError):
+        language.fit(docs, max_languages=1)
