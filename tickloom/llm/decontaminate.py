@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import keyed_texts, stored
+from tickloom.llm.shared import held, keyed_texts, stored
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -77,6 +77,7 @@ def passages(docs: DataFrame, seeds: DataFrame, n: int, margin: float = 1.5) ->
         sent = spark.sparkContext.broadcast(table)
 
         def scan(batches) -> Iterator[pa.RecordBatch]:
+            held()
             own = sent.value
             lengths = sorted({len(k) for k in own})
             keys = own.keys()
@@ -174,8 +175,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min
 
     def aligned(rows: list[tuple]) -> pa.RecordBatch:
         """rows: (id, item, first, passage words, item words). Where too few of the item's words occur for the score, none is computed."""
-        held = [set(r[3]) for r in rows]
-        rows = [r for r, own in zip(rows, held, strict=True) if sum(w in own for w in r[4]) >= least * len(r[4])]
+        inside = [set(r[3]) for r in rows]
+        rows = [r for r, own in zip(rows, inside, strict=True) if sum(w in own for w in r[4]) >= least * len(r[4])]
         best, ends = align([r[4] for r in rows], [r[3] for r in rows])
         scores = best / np.array([MATCH * len(r[4]) for r in rows])
         out = [(r[0], r[1], s, r[2], r[2] + e) for r, s, e in zip(rows, scores.tolist(), ends.tolist(), strict=True) if s >= least]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import held
+
 UND = "und"
 #: Words that are summed at a time.
 STEP = 4096
@@ -29,10 +31,10 @@ class _Rows(dict):
     """word -> row of a table of scores: the model's words first, then unseen words as they come, `cache` of them at most."""
 
     def __init__(self, model: LanguageModel, cache: int):
-        super().__init__((w, i) for i, w in enumerate(model.words))
+        super().__init__(model.words)
         self.model, self.known = model, len(self)
         self.table = np.zeros((self.known + cache, len(model.langs)))
-        self.table[: self.known] = np.array(list(model.words.values())).reshape(self.known, -1)
+        self.table[: self.known] = model.word_table
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
@@ -41,12 +43,12 @@ class _Rows(dict):
 
 
 class LanguageModel:
-    """Languages in order, and word and n-gram tables: text -> log frequencies, one for each language."""
+    """Languages in order, and the rows of words and n-grams in tables of log frequencies, a column for each language."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], max_n: int, cache: int = 300_000):
-        self.langs, self.words, self.max_n, self.cache = langs, words, max_n, cache
-        self.grams = {g: i for i, g in enumerate(grams)}
-        self.gram_table = np.array(list(grams.values())).reshape(len(grams), len(langs))
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], max_n: int, cache: int = 100_000):
+        self.langs, self.max_n, self.cache = langs, max_n, cache
+        self.words, self.grams = {w: i for i, w in enumerate(words)}, {g: i for i, g in enumerate(grams)}
+        self.word_table, self.gram_table = (np.array(list(x.values())).reshape(len(x), len(langs)) for x in (words, grams))
         self.rows: _Rows | None = None
 
     def __getstate__(self) -> dict:
@@ -150,6 +152,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
     sent = spark.sparkContext.broadcast(model)  # bounded by fit: max_words and max_grams a language
 
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held()
         own = sent.value
         for column in texts:
             yield pd.DataFrame([own.predict(x) for x in column], columns=["lang", "score"])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import hashed_words, keyed_texts, mixed, plain_bytes, stored
+from tickloom.llm.shared import hashed_words, held, keyed_texts, mixed, plain_bytes, stored
 
 #: Counters of the rarity sketch, and those of one of its pieces; their number does not depend on the input.
 COUNTERS, PIECE = 1 << 22, 1 << 12
@@ -26,7 +26,9 @@ STEP = 400_000
 #: Tokens above which a line's parity map has four words instead of one.
 WIDE = 64
 #: Postings that are sent off together, and mean postings of a bucket, where they are sorted and meet.
-FLUSH, BUCKET = 500_000, 400_000
+FLUSH, BUCKET = 250_000, 400_000
+#: Pairs that are looked at together.
+PAIRS = 500_000
 #: Class of rarity (8 for each doubling) from which a token may have too many postings for its bucket: such tokens are counted exactly and dealt.
 HOT = 8 * 14
 #: Postings of a hot token that are kept together; two such groups meet at a time.
@@ -90,20 +92,21 @@ def rarity(docs: DataFrame) -> np.ndarray:
     """
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        sums, held, size = np.zeros(COUNTERS, np.uint32), [], 0
+        held()
+        sums, own, size = np.zeros(COUNTERS, np.uint32), [], 0
 
         def add() -> None:
-            nonlocal held, size
-            sums[:] += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-            held, size = [], 0
+            nonlocal own, size
+            sums[:] += np.bincount(np.concatenate(own), minlength=COUNTERS).astype(np.uint32)
+            own, size = [], 0
 
         for _, texts in _steps(batches, []):
             h, _, _ = hashed_words(plain_bytes("\n".join(texts)))
-            held.append(counter_of(h >> np.uint64(20)))
+            own.append(counter_of(h >> np.uint64(20)))
             size += len(h)
-            if size >= COUNTERS:
+            if size >= COUNTERS // 4:
                 add()
-        if held:
+        if own:
             add()
         pieces = sums.reshape(-1, PIECE)
         used = np.flatnonzero(pieces.any(axis=1))
@@ -207,6 +210,7 @@ def line_rows(docs: DataFrame, classes, tenths: int, min_tokens: int) -> DataFra
                 yield [key], ["\n".join(own[at : at + 2**19])], at
 
     def read(batches) -> Iterator[pa.RecordBatch]:
+        held()
         of = classes.value
         for keys, texts in _steps(batches, ["id", "tie"]):
             for some, own, at in parts(keys, texts):
@@ -294,7 +298,7 @@ def candidates(p: Postings, tenths: int, first: int, side: np.ndarray | None = N
     many = last - np.arange(len(n)) - 1
     sums = np.concatenate([[0], np.cumsum(many)])
     found = np.zeros((2, 0), np.int64)
-    at, held = 0, []
+    at, kept = 0, []
 
     def earliest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (later, earlier) ranks in order, first + 1 for each later one at most."""
@@ -307,7 +311,7 @@ def candidates(p: Postings, tenths: int, first: int, side: np.ndarray | None = N
         return pairs[:, number <= first], number[number <= first]
 
     while at < len(n):
-        end = max(at + 1, int(np.searchsorted(sums, sums[at] + 2_000_000, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, side="right")) - 1)
         x = np.repeat(np.arange(at, end), many[at:end])
         y = x + 1 + np.arange(len(x)) - np.repeat(sums[at:end] - sums[at], many[at:end])
         at = end
@@ -319,10 +323,10 @@ def candidates(p: Postings, tenths: int, first: int, side: np.ndarray | None = N
         x, y, apart = x[ok], y[ok], apart[ok]
         ok = (n[x] <= WIDE) | (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= apart)
         x, y = rank[x[ok]], rank[y[ok]]
-        held.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-        if sum(h.shape[1] for h in held) > 2_000_000:
-            held = [earliest(np.concatenate(held, axis=1))[0]]
-    found, number = earliest(np.concatenate([found, *held], axis=1))
+        kept.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+        if sum(h.shape[1] for h in kept) > PAIRS:
+            kept = [earliest(np.concatenate(kept, axis=1))[0]]
+    found, number = earliest(np.concatenate([found, *kept], axis=1))
     spot = by[np.flatnonzero(new | (np.arange(len(by)) == 0))] if len(by) else by  # a posting of each rank
     later, earlier = spot[found[0]], spot[found[1]]
     full = np.isin(found[0], found[0][number == first])
@@ -337,10 +341,10 @@ def met_in_buckets(reps: DataFrame, n_buckets: int, tenths: int, first: int = FI
     """Candidates among the postings of tokens that are not hot. Postings go to their token's bucket in packed columns."""
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        own, size = [], 0
 
         def send() -> pa.RecordBatch:
-            p = Postings({k: np.concatenate([x.c[k] for x in held]) for k, _ in Postings.FIELDS}, np.concatenate([x.wide for x in held]))
+            p = Postings({k: np.concatenate([x.c[k] for x in own]) for k, _ in Postings.FIELDS}, np.concatenate([x.wide for x in own]))
             p = p.take(np.flatnonzero(p.c["token"] >> 36 < hot))
             bucket = (mixed(p.c["token"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -350,12 +354,12 @@ def met_in_buckets(reps: DataFrame, n_buckets: int, tenths: int, first: int = FI
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array((ends - starts).astype(np.int32)), pa.array([p.pack(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "m", "postings"])
 
         for batch in batches:
-            held.append(Postings.of_lines(batch))
-            size += len(held[-1])
+            own.append(Postings.of_lines(batch))
+            size += len(own[-1])
             if size >= FLUSH:
                 yield send()
-                held, size = [], 0
-        if held:
+                own, size = [], 0
+        if own:
             yield send()
 
     def meet(table: pa.Table) -> pa.Table:

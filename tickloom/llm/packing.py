@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.pretoken import cutter
 from tickloom.llm.shared import keyed_texts
 
+#: Entries of each table of pre-tokens that a Python worker keeps.
+TABLE = 150_000
 PIECE_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -76,7 +78,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, rows = cutter(tokenizer_path), []
+            table, rows = cutter(tokenizer_path, TABLE), []
             for key, data in zip(batch.column(0), table.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(data + end_id.to_bytes(2, "little"), "<u2").astype("<u4")
                 for at in range(0, len(ids), capacity):
@@ -122,7 +124,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, end_id: i
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = cutter(tokenizer_path)
+            table = cutter(tokenizer_path, TABLE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.encode(x.as_py()) + end for x in batch.column(1)], pa.binary())], ["id", "ids"])
 
     encoded = keyed_texts(docs, id_col, text_col).mapInArrow(encode, "id long, ids binary")

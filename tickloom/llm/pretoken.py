@@ -17,7 +17,7 @@ from operator import itemgetter, mul
 
 import numpy as np
 
-from tickloom.llm.shared import span_hashes
+from tickloom.llm.shared import held, span_hashes
 
 #: Ranges of common characters. Inside them, letters and numbers are those below, white space is space, tab, line feed, vertical tab,
 #: form feed, carriage return and no-break space, and normalisation form C changes nothing.
@@ -278,12 +278,6 @@ class Cutter:
         return self._many(texts, False)
 
 
-_cutters: dict[str, Cutter] = {}
-
-
-def cutter(path: str) -> Cutter:
-    """One Cutter for each tokenizer file and Python worker."""
-    if path not in _cutters:
-        _cutters.clear()
-        _cutters[path] = Cutter(path)
-    return _cutters[path]
+def cutter(path: str, limit: int = 400_000) -> Cutter:
+    """One Cutter for each tokenizer file and Python worker; `limit` bounds each of its tables."""
+    return held((path, limit), lambda: Cutter(path, limit))

@@ -47,6 +47,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key=None, make=None):
+    """What this Python worker keeps from task to task: one thing at a time, so the tables of one operator go when another's tasks come."""
+    if key not in _held:
+        _held.clear()
+        if make is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, as `id` and `text`; a null text counts as empty."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

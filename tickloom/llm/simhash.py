@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import components, keyed_texts, stored
+from tickloom.llm.shared import components, held, keyed_texts, stored
 
 SEED = 42
 LANES = 4
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     """(id, fp, text_hash): the fingerprint of every whole text as a signed long with the same bits, and a hash of the text. A text without words (or null) has fingerprint 0."""
 
     def compute(batches) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             prints = np.array([fingerprint(x.as_py(), size) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["id", "fp", "text_hash"])
