@@ -64,7 +64,18 @@ def l3_survivor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.survivor_scores(rows).select("strategy_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _spread_sql(budget: int) -> str:
+    """The greedy choice unrolled: a step for each row after the first, the farthest from those chosen, then the least."""
+    pool = "SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS hypothesis_id, p_partkey AS variant_rank, p_size::DOUBLE AS a, p_retailprice FROM part"
+    scaled = "SELECT *, row_number() OVER w AS r, (a - min(a) OVER h) / coalesce(nullif(max(a) OVER h - min(a) OVER h, 0), 1) AS x, (p_retailprice - min(p_retailprice) OVER h) / coalesce(nullif(max(p_retailprice) OVER h - min(p_retailprice) OVER h, 0), 1) AS y FROM pool WINDOW h AS (PARTITION BY hypothesis_id), w AS (PARTITION BY hypothesis_id ORDER BY a, p_retailprice)"
+    steps = ["c0 AS (SELECT hypothesis_id, r, x, y FROM s WHERE r = 1)", "n0 AS MATERIALIZED (SELECT s.*, abs(s.x - c.x) + abs(s.y - c.y) AS near, s.r = c.r AS chosen FROM s JOIN c0 c USING (hypothesis_id))"]
+    for k in range(1, budget):
+        steps.append(f"c{k} AS (SELECT hypothesis_id, r, x, y FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY near DESC, r) AS o FROM n{k - 1} WHERE NOT chosen) WHERE o = 1)")
+        steps.append(f"n{k} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN c.r IS NULL THEN n.near ELSE least(n.near, abs(n.x - c.x) + abs(n.y - c.y)) END AS near, n.chosen OR coalesce(n.r = c.r, false) AS chosen) FROM n{k - 1} n LEFT JOIN c{k} c USING (hypothesis_id))")
+    return f"WITH pool AS ({pool}), s AS MATERIALIZED ({scaled}), {', '.join(steps)} SELECT hypothesis_id, variant_rank, a, p_retailprice FROM n{budget - 1} WHERE chosen"
+
+
+@query(_spread_sql(8))
 def l9_spread_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = t.read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("hypothesis_id"), F.col("p_partkey").alias("variant_rank"), F.col("p_size").cast("double").alias("a"), "p_retailprice")
     return gates.farthest_points(parts, 8)

@@ -11,7 +11,7 @@ FLAGSHIP = "e14_feature_frame"
 #: Queries whose result has a session_date.
 DATED = frozenset(
     "e0_tick_bars a12_bars_of_sessions b1_grid_coverage b3_expected_groups c7_cadence c5_outside_dates d1_quality d6_non_monotonic d10_incomplete e1_resample_2h e1_resample_4h e14_feature_frame"
-    " e11_minutes_from_open e13_off_boundary g4_rule_signals g1_comparison_with_semi_join f1_next_bar f2_exit_at_target f5_limit_fills f6_exits f11_cost_scenarios f14_equity_marks h1_session_returns"
+    " e11_minutes_from_open e13_off_boundary g4_rule_signals g1_comparison_with_semi_join f1_next_bar f2_exit_at_target f5_limit_fills f6_exits f11_cost_scenarios f12_accepted_entries f14_equity_marks h1_session_returns"
     " k1_chronological_split k4_walk_forward r1_daily_summary".split()
 )
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -88,7 +88,13 @@ def f11_cost_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("strategy_id", "symbol", "session_date", "slot", "scenario", F.round(price, 6).alias("entry_price"))
 
 
-@query()
+# The fold over a session's entries in time order: what was taken so far, and each decision.
+@query(f"""WITH {_BARS}, e AS (SELECT strategy_id, symbol, session_date, CAST(slot AS INTEGER) AS entry_id, CAST(slot * 3600 AS INTEGER) AS entry_s, CAST((slot + 3) * 3600 AS INTEGER) AS exit_s FROM s),
+    g AS (SELECT strategy_id, session_date, list({{'y': symbol, 'i': entry_id, 'e': entry_s, 'x': exit_s, 'taken': CAST([] AS STRUCT(y VARCHAR, x INTEGER)[]), 'ok': CAST([] AS BOOLEAN[])}} ORDER BY entry_s, symbol, entry_id) AS rows FROM e GROUP BY ALL),
+    d AS (SELECT strategy_id, session_date, rows, list_reduce(list_prepend({{'y': '', 'i': 0, 'e': 0, 'x': 0, 'taken': CAST([] AS STRUCT(y VARCHAR, x INTEGER)[]), 'ok': CAST([] AS BOOLEAN[])}}, rows), lambda a, r: {{'y': r.y, 'i': r.i, 'e': r.e, 'x': r.x,
+        'taken': CASE WHEN len(a.taken) < 6 AND len(list_filter(a.taken, lambda k: k.x > r.e)) < 2 AND len(list_filter(a.taken, lambda k: k.y = r.y AND r.e < k.x + 3600)) = 0 THEN list_append(a.taken, {{'y': r.y, 'x': r.x}}) ELSE a.taken END,
+        'ok': list_append(a.ok, len(a.taken) < 6 AND len(list_filter(a.taken, lambda k: k.x > r.e)) < 2 AND len(list_filter(a.taken, lambda k: k.y = r.y AND r.e < k.x + 3600)) = 0)}}) AS last FROM g)
+    SELECT strategy_id, u.r.y AS symbol, session_date, u.r.i AS entry_id, u.r.e AS entry_s, u.r.x AS exit_s, u.ok AS accepted FROM (SELECT strategy_id, session_date, unnest(list_transform(range(len(rows)), lambda n: {{'r': rows[n + 1], 'ok': last.ok[n + 1]}})) AS u FROM d)""")
 def f12_accepted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = signals(spark, sf_dir).select("strategy_id", "symbol", "session_date", F.col("slot").alias("entry_id"), (F.col("slot") * 3600).alias("entry_s"), ((F.col("slot") + 3) * 3600).alias("exit_s"))
     return trades.accept_entries(entries, 3600, 6, 2)
