@@ -20,6 +20,8 @@ WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds up to which they are sent to every task; more are joined by a shuffle.
 MAX_SENT = 500_000
+#: Bytes of items up to which they are sent along; cells of an alignment's table that are worked on at a time.
+MAX_BYTES, CELLS = 64 << 20, 2_000_000
 PASSAGE_SCHEMA = "id long, item long, first long, words array<string>"
 
 
@@ -63,14 +65,14 @@ def _passages(words: list[str], found: dict, margin: float) -> Iterator[tuple]:
             yield item, first, words[first : run[-1][0] + reach]
 
 
-def passages(docs: DataFrame, seeds: DataFrame, n: int, margin: float = 1.5) -> DataFrame:
-    """PASSAGE_SCHEMA rows of every document that holds a seed. docs: id, text; seeds: stored rows of seeds_of."""
+def passages(docs: DataFrame, seeds: DataFrame, n: int, sent_along: bool, margin: float = 1.5) -> DataFrame:
+    """PASSAGE_SCHEMA rows of every document that holds a seed. docs: id, text; seeds: stored rows of seeds_of, few enough to be sent to the tasks or not."""
     spark, schema = docs.sparkSession, PASSAGE_SCHEMA
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([dict(zip(("id", "item", "first", "words"), r, strict=True)) for r in rows], pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.string()))]))
 
-    if seeds.count() <= MAX_SENT:
+    if sent_along:
         table: dict[tuple, list] = {}
         for item, seed, size in seeds.collect():
             table.setdefault(tuple(seed.split(" ")), []).append((item, size))
@@ -134,8 +136,12 @@ def align(items: list[list[str]], texts: list[list[str]]) -> tuple[np.ndarray, n
     """Smith-Waterman scores of each item with its text, and the text word at which each best alignment ends (exclusive)."""
     best, ends = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(texts[i])))
-    for at in range(0, len(order), 256):
-        some = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        wide, end = 0, at  # as many pairs as their longest text leaves room for
+        while end < min(len(order), at + 256) and (end == at or max(wide, len(texts[order[end]])) * (end - at + 1) <= CELLS):
+            wide, end = max(wide, len(texts[order[end]])), end + 1
+        some, at = order[at:end], end
         code: dict[str, int] = {}
         of = lambda w: code.setdefault(w, len(code))
         a = np.full((len(some), max(len(items[i]) for i in some)), -1)
@@ -169,7 +175,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min
     texts = keyed_texts(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     seeds = stored(seeds_of(tests, n).where(F.col("size") >= min_words), "seeds")
-    found = passages(texts, seeds, n)
+    few = seeds.count() <= MAX_SENT and (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= MAX_BYTES
+    found = passages(texts, seeds, n, few)
     whole = tests.join(seeds.select(F.col("item").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select(F.col("id").alias("item"), "text").distinct()
     schema = "id long, item long, score double, start long, end long"
 
@@ -182,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min
         out = [(r[0], r[1], s, r[2], r[2] + e) for r, s, e in zip(rows, scores.tolist(), ends.tolist(), strict=True) if s >= least]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64() if i == 2 else pa.int64()) for i in range(5)], ["id", "item", "score", "start", "end"])
 
-    if seeds.count() <= MAX_SENT:  # as many seeds may be sent, and the items that they are from
+    if few:
         own: dict = {}
         for item, text in whole.collect():
             if len(words_of(text)) >= min_words:
