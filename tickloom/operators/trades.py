@@ -61,6 +61,11 @@ def quantity(notional: Column, price: Column) -> Column:
     return F.floor(notional / price)
 
 
+def equal_risk_quantity(risk: Column, price: Column, stop_price: Column) -> Column:
+    """Whole shares whose loss at the stop stays within the risk; none where the stop is not below the price."""
+    return F.when(price > stop_price, F.floor(risk / (price - stop_price))).otherwise(0)
+
+
 def conservative_size(cash: Column, equity: Column, price: Column, stop_distance: Column, max_fraction: float = 0.25, risk_fraction: float = 0.005) -> Column:
     """Struct of whole shares and the cap that binds: cash, position or risk; ties go to the first name in order."""
     caps = {"cash": F.floor(cash / price), "position": F.floor(equity * max_fraction / price), "risk": F.floor(equity * risk_fraction / stop_distance)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import evidence, metrics, trades
+from tickloom.operators import evidence, metrics, rules, trades
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.trade_queries import _SESSIONS, CASH
@@ -249,3 +249,38 @@ def s12_open_at_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
     last = t.read(spark, sf_dir, "events").groupBy("user_id", day.alias("d")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
     return last.where(F.col("state").isin("click", "view")).select("user_id", "state", F.col("d").cast("string").alias("session"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'broker' ELSE 'url' END AS field FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+def g8_forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.when(F.col("o_orderkey") % 7 == 0, "broker").when(F.col("o_orderkey") % 11 == 0, "url").otherwise("value")
+    text = F.concat(F.lit('{"rules": {"inner": [{"'), inner, F.lit('": 1}], "note": "a \\\\"url\\\\": in a text"}}'))
+    return rules.forbidden_fields(t.read(spark, sf_dir, "orders").select("o_orderkey", text.alias("document")), "document", ["broker", "url", "credentials"]).select("o_orderkey", "field")
+
+
+@query("SELECT o_orderkey, CAST(floor(100000 / o_totalprice) AS BIGINT) AS equal_notional, CAST(CASE WHEN o_orderkey % 9 > 0 THEN floor(500 / (o_totalprice - o_totalprice * (1 - (o_orderkey % 9) / 100.0::DOUBLE))) ELSE 0 END AS BIGINT) AS equal_risk FROM orders")
+def f7_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    stop = price * (1 - (F.col("o_orderkey") % 9) / 100.0)
+    sized = trades.equal_risk_quantity(F.lit(500.0), price, F.when(F.col("o_orderkey") % 9 > 0, stop).otherwise(price))
+    return t.read(spark, sf_dir, "orders").select("o_orderkey", trades.quantity(F.lit(100000.0), price).alias("equal_notional"), sized.cast("long").alias("equal_risk"))
+
+
+@query(f"""SELECT strategy_id, scenario, count(*) AS trade_count, round(sum(p), 2) AS net_pnl, round(sum(CASE WHEN p > 0 THEN p ELSE 0 END) / nullif(sum(CASE WHEN p < 0 THEN -p ELSE 0 END), 0), 6) AS profit_factor
+    FROM (SELECT strategy_id, scenario, CAST(net_pnl AS DOUBLE) - notional * bps / 10000 AS p FROM ({t.TRADES}), (VALUES ('optimistic', 1.0::DOUBLE), ('base', 3.0::DOUBLE), ('stress', 7.0::DOUBLE)) c(scenario, bps)) GROUP BY ALL""")
+def h8_scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trades.with_scenarios(t.trades(spark, sf_dir))
+    own = rows.withColumn("net_pnl", F.col("net_pnl").cast("double") - F.col("notional") * F.col("impact_bps") / 10000).withColumn("cost_paid", F.col("cost_paid").cast("double"))
+    out = metrics.trade_metrics(own, "strategy_id", "scenario")
+    return out.select("strategy_id", "scenario", "trade_count", F.round("net_pnl", 2).alias("net_pnl"), F.round("profit_factor", 6).alias("profit_factor"))
+
+
+@query(f"""SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT CAST(ts AS DATE)) AS sessions, CAST(sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) AS BIGINT) AS gaps, count(*) FILTER (WHERE price <= 1) AS quarantined
+    FROM (SELECT *, CAST(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY symbol, session_date ORDER BY ts) AS BIGINT) AS gap FROM ({t.TICKS})) GROUP BY 1""")
+def r8_import_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.streaming.bars import feed_health
+
+    ticks = t.ticks(spark, sf_dir)
+    gaps = feed_health(ticks, 1800).groupBy("symbol").agg(F.sum("gaps").alias("gaps"))
+    own = ticks.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("session_date").alias("sessions"), F.count_if(F.col("price") <= 1).alias("quarantined"))
+    return own.join(gaps, "symbol")

@@ -113,3 +113,12 @@ def s8_signals_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS session_date, CAST(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) AS BIGINT) AS gap FROM events) GROUP BY ALL""")
 def s5_feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.feed_health(t.ticks(spark, sf_dir), 1800).select("symbol", F.col("session_date").cast("string").alias("day"), "gaps", "longest")
+
+
+@query("SELECT event_type AS symbol, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def s11_idempotent_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events, then all of them twice by another stream: each is in the sink once."""
+    where, rows = folder(spark, "sink"), events(spark, sf_dir).select("event_id", "symbol", "price")
+    streams.append_new(rows.where("event_id % 2 = 0"), where, folder(spark, "half"), ["event_id"])
+    streams.append_new(rows.unionByName(rows), where, folder(spark, "all"), ["event_id"])
+    return spark.read.parquet(where).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -25,6 +25,19 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def append_new(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Append the stream's rows to a Parquet folder, one of each key, but not those whose key is there already: a batch that is replayed, or
+    events that another stream has delivered, add nothing."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, _: int) -> None:
+        there = spark.read.schema(batch.schema).parquet(path).select(*keys).distinct()
+        batch.dropDuplicates(keys).join(there, keys, "left_anti").write.mode("append").parquet(path)
+
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(path)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def bars(ticks: DataFrame, minutes: int = 60, late: str = "2 minutes") -> DataFrame:
     """Bars by event time; a bar comes out when the watermark passes its end."""
     order = F.struct("ts", "event_id")
