@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.pretoken import cutter
-from tickloom.llm.shared import keyed_texts
+from tickloom.llm.shared import keyed_texts, slices
 
 #: Entries of each table of pre-tokens that a Python worker keeps.
 TABLE = 150_000
@@ -77,14 +77,16 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
     """One row (PIECE_SCHEMA) for each piece of capacity ids at most of every document, which ends with end_id."""
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table, rows = cutter(tokenizer_path, TABLE), []
-            for key, data in zip(batch.column(0), table.encode_many(batch.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(data + end_id.to_bytes(2, "little"), "<u2").astype("<u4")
+        table, end = cutter(tokenizer_path, TABLE), end_id.to_bytes(2, "little")
+        for batch in slices(batches):
+            rows = []
+            for key, data in zip(batch.column(0).to_pylist(), table.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(data + end, "<u2").astype("<u4")
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
-                    rows.append((key.as_py(), at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                    rows.append((key, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        table.clear()  # a waiting worker keeps no tables
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(cut, PIECE_SCHEMA)
 

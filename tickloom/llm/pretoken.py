@@ -55,7 +55,7 @@ def plain_spaces(text: str) -> bool:
 #: Texts longer than this many characters are cut match by match instead of into one list.
 LONG = 2_000_000
 #: Characters whose distinct chunks are looked up together; a longer text is cut alone.
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -173,6 +173,12 @@ class Cutter:
         lead = "" if self.words else " "
         self.chunks, self.chunk_counts = Chunks(self.pieces, self.pattern, lead), ChunkCounts(self.counts, self.pattern, lead)
 
+    def clear(self) -> None:
+        """Empty the tables."""
+        for x in (self.pieces, self.counts, self.mapped, self.mapped_counts, self.chunks, self.chunk_counts):
+            x.clear()
+            x.old.clear()
+
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between special strings, each with the id of the special string after it."""
         at = 0

@@ -37,16 +37,42 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go to a folder of their own in the shared one, which is deleted at the end: for work whose result is written by then."""
+    _scratch.append(f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        deleted(spark, _scratch.pop())
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def slices(batches, rows: int = 1000) -> Iterator:
+    """Arrow batches in slices of some rows, so that only these are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _held: dict = {}
 
 

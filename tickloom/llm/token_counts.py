@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.pretoken import cutter
-from tickloom.llm.shared import keyed_texts
+from tickloom.llm.shared import keyed_texts, slices
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     """
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             table = cutter(tokenizer_path)
             texts = batch.column(1).to_pylist()
             tokens = table.count_many(texts)

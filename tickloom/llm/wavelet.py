@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.pretoken import cutter
-from tickloom.llm.shared import keyed_texts
+from tickloom.llm.shared import keyed_texts, slices
 
 MAGIC = b"WVM2"
 #: Bits of a plane between two entries of its rank directory, and bytes of its pieces.
@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             data = pack_shard(keys, lengths, np.frombuffer(b"".join(blobs), "<u2"), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "shard"])
 
-        for batch in batches:
+        for batch in slices(batches):
             table = cutter(tokenizer_path)
             for key, data in zip(batch.column(0).to_pylist(), table.encode_many(batch.column(1).to_pylist()), strict=True):
                 data += end
