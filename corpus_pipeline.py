@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, language, line_dedup, packing, simhash
-from tickloom.llm.shared import shared_folder, small_batches, stored
+from tickloom.llm.shared import deleted, scratch, shared_folder, stored
+
+
+def bounded(spark: SparkSession) -> None:
+    """Texts go to Python 1000 at a time at most, whatever the session has: every stage's workers hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(now, 1000) if now > 0 else 1000))
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -29,12 +36,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The model learns from the labelled rows of docs; if there are none, every document goes. Empty in, empty out.
     """
+    bounded(spark)
     found = language.predict(apart(docs), language.fit(docs), pred_col="predicted")
     return together(found.where(F.col("predicted") != language.UND), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that match an earlier line; n_chars follows a text that changed. Null texts stay as they are."""
+    bounded(spark)
     cut = line_dedup.dedup_lines(apart(docs).withColumn("doc_id", F.col("own.doc_id")))
     changed = F.col("n_removed") > 0
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("own.n_chars"))}
@@ -44,6 +53,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (a null id last), of unlike texts with one id the one with
     the smallest hash of its text, and of equal rows any one. Unlike documents that share an id, or have none, are told apart."""
+    bounded(spark)
     prints = stored(simhash.grouped(docs), "groups")  # (id, text_hash, root): a row for each document
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash"))
     keep = stored(prints.groupBy("root").agg(first.alias("k"), F.count("*").alias("m")).select(F.col("root"), F.col("k.id").alias("id"), F.col("k.text_hash").alias("text_hash"), "m"), "kept")
@@ -61,11 +71,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item."""
+    bounded(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of every document."""
+    bounded(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -76,11 +88,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each stage's rows written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents, each stage's rows written to the shared folder and read again. What a stage stores for itself goes when
+    its rows are written, and its rows go when the next stage's are."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        with small_batches(spark):
+        with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        before = path
     return docs
