@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import held
+from tickloom.llm.shared import held, tidy
 
 UND = "und"
 #: Words that are summed at a time.
@@ -156,6 +156,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
         own = sent.value
         for column in texts:
             yield pd.DataFrame([own.predict(x) for x in column], columns=["lang", "score"])
+        own.rows = None  # a waiting worker keeps no table of unseen words
+        tidy()
 
     labelled = F.pandas_udf(label, "lang string, score double")
     kept = docs.drop(pred_col, score_col)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import hashed_words, held, keyed_texts, mixed, plain_bytes, stored
+from tickloom.llm.shared import hashed_words, held, keyed_texts, mixed, plain_bytes, stored, tidy
 
 #: Counters of the rarity sketch, and those of one of its pieces; their number does not depend on the input.
 COUNTERS, PIECE = 1 << 22, 1 << 12
@@ -26,7 +26,7 @@ STEP = 400_000
 #: Tokens above which a line's parity map has four words instead of one.
 WIDE = 64
 #: Postings that are sent off together, and mean postings of a bucket, where they are sorted and meet.
-FLUSH, BUCKET = 250_000, 400_000
+FLUSH, BUCKET = 100_000, 200_000
 #: Pairs that are looked at together.
 PAIRS = 500_000
 #: Class of rarity (8 for each doubling) from which a token may have too many postings for its bucket: such tokens are counted exactly and dealt.
@@ -114,6 +114,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for at in range(0, len(used), 64):
             some = used[at : at + 64]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), part, np.int32)), pa.array([pieces[i].astype("<u8").tobytes() for i in some], pa.binary())], ["piece", "part", "n"])
+        tidy()
 
     def total(table: pa.Table) -> np.ndarray:
         out = np.zeros(PIECE, np.uint64)
@@ -217,6 +218,7 @@ def line_rows(docs: DataFrame, classes, tenths: int, min_tokens: int) -> DataFra
                 rows = encode(some, own, of)
                 if rows is not None:
                     yield rows.set_column(2, "line", pa.array(rows.column(2).to_numpy() + np.int32(at))) if at else rows
+        tidy()
 
     return docs.select("id", "tie", "text").mapInArrow(read, LINE_SCHEMA)
 
@@ -361,6 +363,8 @@ def met_in_buckets(reps: DataFrame, n_buckets: int, tenths: int, first: int = FI
                 own, size = [], 0
         if own:
             yield send()
+            own = []
+        tidy()
 
     def meet(table: pa.Table) -> pa.Table:
         p = Postings.unpack([(m.as_py(), x.as_buffer()) for m, x in zip(table["m"], table["postings"], strict=True)])

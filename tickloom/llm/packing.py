@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.pretoken import cutter
-from tickloom.llm.shared import keyed_texts, slices
+from tickloom.llm.shared import keyed_texts, slices, tidy
 
 #: Entries of each table of pre-tokens that a Python worker keeps.
 TABLE = 150_000
@@ -87,6 +87,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
                     rows.append((key, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
         table.clear()  # a waiting worker keeps no tables
+        tidy()
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(cut, PIECE_SCHEMA)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,13 @@ def slices(batches, rows: int = 1000) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a Python worker waits with what its last task left it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: dict = {}
 
 
@@ -80,6 +89,7 @@ def held(key=None, make=None):
     """What this Python worker keeps from task to task: one thing at a time, so the tables of one operator go when another's tasks come."""
     if key not in _held:
         _held.clear()
+        tidy()
         if make is not None:
             _held[key] = make()
     return _held.get(key)

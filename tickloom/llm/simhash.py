@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import components, held, keyed_texts, stored
+from tickloom.llm.shared import components, held, keyed_texts, stored, tidy
 
 SEED = 42
 LANES = 4
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
         for batch in batches:
             prints = np.array([fingerprint(x.as_py(), size) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["id", "fp", "text_hash"])
+        tidy()
 
     rows = keyed_texts(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(compute, "id long, fp long, text_hash long")
