@@ -26,9 +26,9 @@ STEP = 400_000
 #: Tokens above which a line's parity map has four words instead of one.
 WIDE = 64
 #: Postings that are sent off together, and mean postings of a bucket, where they are sorted and meet.
-FLUSH, BUCKET = 100_000, 200_000
+FLUSH, BUCKET = 120_000, 200_000
 #: Pairs that are looked at together.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Class of rarity (8 for each doubling) from which a token may have too many postings for its bucket: such tokens are counted exactly and dealt.
 HOT = 8 * 14
 #: Postings of a hot token that are kept together; two such groups meet at a time.
@@ -97,7 +97,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
         def add() -> None:
             nonlocal own, size
-            sums[:] += np.bincount(np.concatenate(own), minlength=COUNTERS).astype(np.uint32)
+            np.add(sums, np.bincount(np.concatenate(own), minlength=COUNTERS), out=sums, casting="unsafe")
             own, size = [], 0
 
         for _, texts in _steps(batches, []):
@@ -347,10 +347,10 @@ def met_in_buckets(reps: DataFrame, n_buckets: int, tenths: int, first: int = FI
 
         def send() -> pa.RecordBatch:
             p = Postings({k: np.concatenate([x.c[k] for x in own]) for k, _ in Postings.FIELDS}, np.concatenate([x.wide for x in own]))
-            p = p.take(np.flatnonzero(p.c["token"] >> 36 < hot))
-            bucket = (mixed(p.c["token"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+            calm = np.flatnonzero(p.c["token"] >> 36 < hot)
+            bucket = (mixed(p.c["token"][calm].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            p, bucket = p.take(order), bucket[order]
+            p, bucket = p.take(calm[order]), bucket[order]
             ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], len(bucket) > 0)) + 1
             starts = np.append(0, ends)[:-1]
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array((ends - starts).astype(np.int32)), pa.array([p.pack(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "m", "postings"])

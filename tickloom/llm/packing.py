@@ -21,7 +21,7 @@ from tickloom.llm.pretoken import cutter
 from tickloom.llm.shared import keyed_texts, slices, tidy
 
 #: Entries of each table of pre-tokens that a Python worker keeps.
-TABLE = 150_000
+TABLE = 60_000
 PIECE_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
