@@ -21,7 +21,7 @@ from tickloom.llm.shared import mixed, span_hashes, stored, tidy
 #: Words in a phrase at the most.
 LONGEST = 4
 #: Bytes of text that are worked on together, and n-grams whose hashes are sorted and sent off together.
-BLOCK, FLUSH = 2_000_000, 4_000_000
+BLOCK, FLUSH = 1_000_000, 4_000_000
 #: n-grams that a hash partition is meant for, and partitions at the most.
 SHARE, PARTS = 4_000_000, 1 << 17
 #: Bits of the survivors' bitmap at the most: 32 MB, whatever the input. Where survivors fill it, more n-grams are counted and none is lost.
@@ -109,8 +109,8 @@ class Words:
 
 
 def packed(keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys and how often each occurs (FULL at most), as key * 256 + count."""
-    keys = np.sort(keys)
+    """Distinct keys in order and how often each occurs (FULL at most), as key * 256 + count. keys is sorted in place."""
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     counts = np.minimum(np.diff(np.append(first, len(keys))), FULL).astype(np.uint64)
     return keys[first] << np.uint64(8) | counts
@@ -153,8 +153,10 @@ def survivors(texts: DataFrame, threshold: int, bits: int, shares: int, width: i
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, sure
-            found = packed(np.concatenate(held))
+            keys = np.concatenate(held)
             held, size = [], 0
+            found = packed(keys)
+            del keys
             key = found >> np.uint64(8)
             if len(sure):
                 at = np.searchsorted(sure, key).clip(max=len(sure) - 1)
@@ -232,7 +234,7 @@ def frequent(docs: DataFrame, threshold: int = 30, lang_col: str = "lang", text_
     mass = LONGEST * int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 6 + 1  # a word and what follows it are about six bytes
     bits = min(max(mass.bit_length() + 2, 16), BITS)
     shares = min(max((mass // SHARE).bit_length(), 2), PARTS.bit_length() - 1, bits - 8)
-    width = min(max(mass.bit_length() + 8, bits), 56)
+    width = min(max(mass.bit_length() + 4, bits), 56)
     bitmap = spark.sparkContext.broadcast(survivors(texts, threshold, bits, shares, width, capacity or max(1 << 16, 2 * (mass >> shares) // threshold)))
     shift = np.uint64(64 - bits)
 
