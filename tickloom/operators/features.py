@@ -17,11 +17,26 @@ def resample(bars: DataFrame, n: int, position: str = "slot") -> DataFrame:
     return out.where((F.col("rows") == n) & (F.col("slots") == n)).drop("rows", "slots")
 
 
-def fold_ema(closes: Column, span: int) -> Column:
-    """Exponential mean of an array: the first value, then a weight of 2 / (span + 1) for each next one; null until span values."""
+def running_ema(closes: Column, span: int) -> Column:
+    """The exponential means of an array, one for each place: the first value, then a weight of 2 / (span + 1) for each next one; null in
+    places before the span-th."""
     alpha = 2.0 / (span + 1)
-    folded = F.aggregate(F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(1))), closes[0], lambda a, x: a * (1.0 - alpha) + x * alpha)
-    return F.when(F.size(closes) >= span, F.when(F.size(closes) == 1, closes[0]).otherwise(folded))
+    start = F.struct(F.array().cast("array<double>").alias("all"), F.lit(None).cast("double").alias("last"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = F.when(a["last"].isNull(), x).otherwise(a["last"] * (1.0 - alpha) + x * alpha)
+        return F.struct(F.array_append(a["all"], now).alias("all"), now.alias("last"))
+
+    return F.transform(F.aggregate(closes, start, step)["all"], lambda x, i: F.when(i >= span - 1, x))
+
+
+def with_emas(bars: DataFrame, order: str, **spans: int) -> DataFrame:
+    """bars with a running exponential mean of the close for each name and span: each session's closes are gathered once, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*bars.columns).alias("_bar"))))
+    sessions = bars.groupBy(*KEYS).agg(rows.alias("_rows"))
+    closes = F.transform("_rows", lambda r: r["_bar"]["close"].cast("double"))
+    sessions = sessions.select("_rows", *[running_ema(closes, n).alias(c) for c, n in spans.items()])
+    return sessions.select(F.explode(F.arrays_zip("_rows", *spans)).alias("_x")).select("_x._rows._bar.*", *[F.col(f"_x.{c}").alias(c) for c in spans])
 
 
 def feature_frame(bars: DataFrame, order: str = "slot", fast: int = 3, slow: int = 8, period: int = 14, volume_period: int = 20) -> DataFrame:
@@ -33,8 +48,8 @@ def feature_frame(bars: DataFrame, order: str = "slot", fast: int = 3, slow: int
     last = lambda n: w.rowsBetween(1 - n, 0)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     close, before = F.col("close"), F.lag("close").over(w)
-    steps = bars.select(
-        "*", before.alias("_before"), (close - before).alias("_change"), F.lag("close", 3).over(w).alias("_before3"), F.collect_list("close").over(so_far).alias("_closes"),
+    steps = with_emas(bars, order, _fast=fast, _slow=slow).select(
+        "*", before.alias("_before"), (close - before).alias("_change"), F.lag("close", 3).over(w).alias("_before3"),
         F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)).alias("_range"), ((F.col("high") + F.col("low") + close) / 3.0).alias("_typical"),
     )
     up = F.when(F.col("_change").isNotNull(), F.greatest("_change", F.lit(0.0)))
@@ -51,7 +66,7 @@ def feature_frame(bars: DataFrame, order: str = "slot", fast: int = 3, slow: int
     features = {
         "return_1": ratio("close", "_before") - 1.0,
         "return_3": ratio("close", "_before3") - 1.0,
-        "ema_spread": F.try_divide(fold_ema(F.col("_closes"), fast), F.nullif(fold_ema(F.col("_closes"), slow), F.lit(0.0))) - 1.0,
+        "ema_spread": ratio("_fast", "_slow") - 1.0,
         "rsi": rsi,
         "atr_bps": ratio("_atr", "close") * 10_000.0,
         "volume_ratio": ratio("volume", "_mean_volume"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import nulls, sweeps
+
 # One-way price impact of each cost scenario, in basis points.
 SCENARIOS = {"base": 3.0, "optimistic": 1.0, "stress": 7.0}
 
@@ -39,22 +41,13 @@ def with_scenarios(df: DataFrame) -> DataFrame:
 
 def limit_fills(orders: DataFrame, bars: DataFrame, keys: tuple[str, ...] = ("symbol", "session_date")) -> DataFrame:
     """Limit orders with the first later bar that touches the limit, and the limit as price; null if none does before the session's end."""
-    touch = F.when(F.col("side") == "buy", F.col("low") <= F.col("limit_price")).otherwise(F.col("high") >= F.col("limit_price"))
-    hits = orders.join(bars.select(*keys, F.col("bar_start").alias("fill_time"), "low", "high"), list(keys)).where((F.col("fill_time") > F.col("signal_time")) & touch)
-    first = hits.groupBy(*keys, "order_id").agg(F.min("fill_time").alias("fill_time"))
+    first = sweeps.limit_touches(orders, bars, keys)
     return orders.join(first, [*keys, "order_id"], "left").withColumn("fill_price", F.when(F.col("fill_time").isNotNull(), F.col("limit_price")))
 
 
 def exits(entries: DataFrame, bars: DataFrame, stop_bps: float, take_bps: float, hold_minutes: int, keys: tuple[str, ...] = ("symbol", "session_date")) -> DataFrame:
     """Each entry's exit: the first bar after it whose close passes the stop, then the target, or that reaches the holding time; else the session's last bar."""
-    path = entries.join(bars.select(*keys, F.col("bar_start").alias("t"), F.col("close").alias("c")), list(keys)).where(F.col("t") > F.col("entry_time"))
-    stop, take = F.col("c") <= F.col("entry_price") * (1 - stop_bps / 10_000), F.col("c") >= F.col("entry_price") * (1 + take_bps / 10_000)
-    held = F.unix_timestamp("t") - F.unix_timestamp("entry_time") >= hold_minutes * 60
-    at = F.struct("t", "c")
-    found = path.groupBy(*keys, "entry_id").agg(F.min(F.when(stop, at)).alias("s"), F.min(F.when(take, at)).alias("p"), F.min(F.when(held, at)).alias("h"), F.max(at).alias("e"))
-    reason = lambda c, rank, name: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.t").alias("t"), F.lit(rank).alias("rank"), F.lit(name).alias("reason"), F.col(f"{c}.c").alias("price")))
-    best = F.least(reason("s", 1, "stop_loss"), reason("p", 2, "take_profit"), reason("h", 3, "max_holding"), reason("e", 4, "session_close"))
-    return found.select(*keys, "entry_id", best.alias("x")).select(*keys, "entry_id", F.col("x.t").alias("exit_time"), F.col("x.reason").alias("exit_reason"), F.col("x.price").alias("exit_price"))
+    return sweeps.exits(entries, bars, stop_bps, take_bps, hold_minutes, keys)
 
 
 def quantity(notional: Column, price: Column) -> Column:
@@ -78,23 +71,10 @@ def with_balances(df: DataFrame, balances: tuple[int, ...] = (5_000, 10_000, 25_
 
 def accept_entries(entries: DataFrame, cooldown_seconds: int, max_entries: int, max_open: int, keys: tuple[str, ...] = ("strategy_id", "session_date")) -> DataFrame:
     """entries with `accepted`, decided in time order within a session: no overlap in a symbol, a cooldown after an exit, and limits
-    on entries and on open positions. Each session's rows are a group of their own.
+    on entries and on open positions.
 
     Columns: keys, symbol, entry_id, entry_s and exit_s (seconds)."""
-    import pandas as pd
-
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["entry_s", "symbol", "entry_id"], kind="stable")
-        taken, out = [], []
-        for row in frame.itertuples():
-            own = [x for s, x in taken if s == row.symbol]
-            ok = len(taken) < max_entries and sum(x > row.entry_s for _, x in taken) < max_open and all(row.entry_s >= x + cooldown_seconds for x in own)
-            out.append(ok)
-            if ok:
-                taken.append((row.symbol, row.exit_s))
-        return frame.assign(accepted=out)
-
-    return entries.groupBy(*keys).applyInPandas(decide, entries.withColumn("accepted", F.lit(True)).schema)
+    return nulls.accepted(entries, cooldown_seconds, max_entries, max_open, keys)
 
 
 def fifo_lots(log: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:

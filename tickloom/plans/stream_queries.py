@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans import tables as t
-from tickloom.plans.registry import query
+from tickloom.plans.bar_queries import RULES
+from tickloom.plans.registry import query, sql_of
 from tickloom.streaming import bars as streams
+from tickloom.streaming import sessions
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -58,21 +60,27 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.bars(spark, sf_dir).select("symbol", F.unix_timestamp("bar_start").alias("t"), "close", "volume")
 
 
-def _states(spark: SparkSession, parts: list[DataFrame], late_s: int) -> DataFrame:
-    """What the keyed state gives for bars that arrive part after part, each in a run of its own of the same stream."""
+def _runs(spark: SparkSession, parts: list[DataFrame], transform, silence_s: float | None = None) -> DataFrame:
+    """What a stateful stream gives for rows (with t, in seconds) that arrive part after part, each in a run of its own from the same checkpoint.
+    silence_s: the stream has a processing-time clock and runs on for so long."""
     where, at = folder(spark, "slots"), folder(spark, "state")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for part in parts:
             part.repartitionByRange("t").sortWithinPartitions("t").write.mode("append").parquet(where)
-            stream = spark.readStream.schema(part.schema).parquet(where)
-            out = streams.run_available(streams.stateful_blocks(stream, 3600, 4, late_s), at)
+            stream = transform(spark.readStream.schema(part.schema).parquet(where))
+            out = streams.run_available(stream, at) if silence_s is None else streams.run_until_silent(stream, at, silence_s)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out
 
 
+def _states(spark: SparkSession, parts: list[DataFrame], late_s: int) -> DataFrame:
+    """What the keyed state gives for bars that arrive part after part."""
+    return _runs(spark, parts, lambda stream: streams.stateful_blocks(stream, 3600, 4, late_s))
+
+
 _SLOTS = f"SELECT symbol, CAST(epoch(bar_start) AS BIGINT) AS t, close, CAST(volume AS BIGINT) AS volume FROM ({t.bars_sql()})"
 
 
@@ -122,3 +130,65 @@ def s11_idempotent_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.append_new(rows.where("event_id % 2 = 0"), where, folder(spark, "half"), ["event_id"])
     streams.append_new(rows.unionByName(rows), where, folder(spark, "all"), ["event_id"])
     return spark.read.parquet(where).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+_COOL, _MOST = 3600, 2
+_KINDS = {"signup": "enter", "purchase": "fill", "click": "exit", "error": "reject"}
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY t, n) AS i, count(*) OVER (PARTITION BY symbol, session) AS many FROM
+        (SELECT 'u' || user_id AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS session, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS n, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS event FROM events WHERE event_type <> 'view')),
+    s AS (SELECT DISTINCT symbol, session, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, '' AS event, false AS elapsed, CAST(0 AS BIGINT) AS was_until, 0 AS was_entries, 'FLAT' AS from_phase, CAST(NULL AS VARCHAR) AS to_phase, 'FLAT' AS phase, 0 AS entries, CAST(0 AS BIGINT) AS until FROM o
+        UNION ALL
+        SELECT symbol, session, i, t, event, elapsed, until, entries, p, q, coalesce(q, p), entries + CASE WHEN q = 'LONG' AND p = 'ENTRY_PENDING' THEN 1 ELSE 0 END, CASE WHEN q = 'COOLDOWN' THEN t + {_COOL} ELSE until END
+        FROM (SELECT *, CASE WHEN event = 'enter' AND p = 'FLAT' AND entries < {_MOST} THEN 'ENTRY_PENDING' WHEN event = 'fill' AND p = 'ENTRY_PENDING' THEN 'LONG' WHEN event = 'fill' AND p = 'EXIT_PENDING' THEN 'COOLDOWN' WHEN event = 'exit' AND p = 'LONG' THEN 'EXIT_PENDING'
+                WHEN event = 'reject' AND p = 'ENTRY_PENDING' THEN 'FLAT' WHEN event = 'reject' AND p = 'EXIT_PENDING' THEN 'LONG' END AS q
+              FROM (SELECT o.symbol, o.session, o.i, o.t, o.event, s.phase = 'COOLDOWN' AND o.t >= s.until AS elapsed, s.until, s.entries, CASE WHEN s.phase = 'COOLDOWN' AND o.t >= s.until THEN 'FLAT' ELSE s.phase END AS p
+                    FROM s JOIN o ON o.symbol = s.symbol AND o.session = s.session AND o.i = s.i + 1))),
+    w AS (SELECT epoch_ms(max(ts)) / 1000.0 AS w FROM events WHERE event_type <> 'view'),
+    z AS (SELECT s.*, CAST(epoch(CAST(session AS DATE)) AS BIGINT) + 86400 AS ends FROM s JOIN (SELECT DISTINCT symbol, session, many FROM o) USING (symbol, session) WHERE i = many),
+    c AS (SELECT *, phase = 'COOLDOWN' AND until <= (SELECT w FROM w) AND until <= ends AS over FROM z)
+    SELECT 'paper' AS strategy_id, symbol, session, t, event, outcome, from_phase, to_phase, CAST(entries AS INTEGER) AS entries FROM (
+        SELECT symbol, session, was_until AS t, 'cooldown_elapsed' AS event, 'accepted' AS outcome, 'COOLDOWN' AS from_phase, 'FLAT' AS to_phase, was_entries AS entries FROM s WHERE elapsed
+        UNION ALL SELECT symbol, session, t, event, CASE WHEN to_phase IS NULL THEN 'refused' ELSE 'accepted' END, from_phase, coalesce(to_phase, from_phase), entries FROM s WHERE i > 0
+        UNION ALL SELECT symbol, session, until, 'cooldown_elapsed', 'accepted', 'COOLDOWN', 'FLAT', entries FROM c WHERE over
+        UNION ALL SELECT symbol, session, ends, 'session_end', 'accepted', CASE WHEN over THEN 'FLAT' ELSE phase END, 'SESSION_CLOSED', entries FROM c WHERE ends <= (SELECT w FROM w))""")
+def s9_strategy_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases, cooldowns and entry counts of a strategy for each user and day, its events in three runs of ten days each."""
+    rows = t.read(spark, sf_dir, "events").where("event_type <> 'view'")
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), F.col("event_type"))
+    ts = F.col("ts").cast("timestamp")
+    rows = rows.select(F.lit("paper").alias("strategy_id"), F.concat(F.lit("u"), "user_id").alias("symbol"), F.to_date(ts).cast("string").alias("session"), ts.alias("ts"), F.unix_timestamp(ts).alias("t"), F.col("event_id").alias("n"), kind.alias("event"))
+    day = F.dayofmonth("ts")
+    parts = [rows.where(day <= 10), rows.where((day > 10) & (day <= 20)), rows.where(day > 20)]
+    return _runs(spark, parts, lambda stream: sessions.strategy_states(stream, _COOL, _MOST))
+
+
+@query(f"SELECT strategy_id, symbol, session_date AS session, slot FROM ({sql_of('g4_rule_signals')})")
+def s7_streamed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' signals from a stream of bars, a third of every session's bars in each run."""
+    bars = t.bars(spark, sf_dir).select("symbol", F.col("session_date").cast("string").alias("session"), F.unix_timestamp("bar_start").alias("t"), "slot", "high", "low", "close", "volume")
+    third = F.floor(F.col("slot") / 8)
+    return _runs(spark, [bars.where(third == i) for i in range(3)], lambda stream: sessions.signals(stream, RULES))
+
+
+@query("""WITH m AS (SELECT DISTINCT event_type AS symbol, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS t FROM events)
+    SELECT symbol, 'MARKET_DATA_STALE' AS code FROM m GROUP BY 1 UNION ALL SELECT 'absent', 'REQUIRED_SYMBOL_STREAM_MISSING'
+    UNION ALL SELECT symbol, 'MARKET_DATA_GAP' FROM (SELECT symbol, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM m) GROUP BY 1 HAVING max(gap) > 7200""")
+def s5_feed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health of every symbol's feed and of one that never comes, once the feeds have been silent for a second."""
+    rows = t.ticks(spark, sf_dir).select("symbol", F.unix_timestamp(F.date_trunc("minute", "ts")).alias("t")).distinct()
+    required = rows.select("symbol").distinct().unionByName(spark.createDataFrame([("absent",)], "symbol string"))
+    return _runs(spark, [rows], lambda stream: sessions.feed_codes(stream, required, 7200, 1000), silence_s=1.5)
+
+
+@query("""SELECT symbol, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(*) FILTER (WHERE event_id % 7 = 0) AS conflicts FROM (SELECT event_type AS symbol, event_id FROM events) GROUP BY 1""")
+def s11_checked_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events, then all of them twice, then some with another price, by three streams: each event is in the sink once, as it first
+    came, and each other price among the conflicts."""
+    where, rows = folder(spark, "sink"), events(spark, sf_dir).select("event_id", "symbol", "price", F.col("session_date").cast("string").alias("day"))
+    for part in (rows.where("event_id % 2 = 0"), rows.unionByName(rows), rows.where("event_id % 7 = 0").withColumn("price", F.col("price") + 1)):
+        sessions.append_checked(part, where, folder(spark, "deliveries"), ["event_id"], "day", 1)
+    kept = sessions.read_sink(spark, where, rows.schema).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    odd = sessions.read_sink(spark, where, rows.schema, "conflicts").groupBy("symbol").agg(F.count("*").alias("conflicts"))
+    return kept.join(odd, "symbol", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,31 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def run_until_silent(stream: DataFrame, path: str, silence_s: float, most_s: float = 60) -> DataFrame:
+    """Run a stream of a processing-time clock over what is there now, then for silence_s more and until further batches are done, so
+    timers that end in the silence have fired; most_s bounds the run. Such a stream has no last batch of its own."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").start()
+    try:
+        ends = time.monotonic() + most_s
+
+        def passed(batch: int) -> int:
+            """Wait until the batch is done; the last one that is."""
+            done = -1
+            while query.isActive and done < batch and time.monotonic() < ends:
+                time.sleep(0.2)
+                done = query.lastProgress["batchId"] if query.lastProgress else -1
+            return done
+
+        last = passed(0)  # takes all that is there
+        time.sleep(silence_s)
+        passed(last + 3)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def append_new(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
     """Append the stream's rows to a Parquet folder, one of each key, but not those whose key is there already: a batch that is replayed, or
     events that another stream has delivered, add nothing."""
