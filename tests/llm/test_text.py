@@ -69,6 +69,70 @@ def test_wrappers_and_comments():
     assert html_text.main_text(page) == text
 
 
+ARTICLE = "Some article text, with commas, that is long enough to be found as the main text of the page, and some more."
+REMARK = "A reader's remark, with commas, that is about as long as the article is, or even a little longer, as remarks, at times, are."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><p>{ARTICLE}</p><p>{ARTICLE}</p><div class="comments"><article><p>{REMARK}</p><p>{REMARK}</p><p>{REMARK}</p></article></div></article>',
+        f'<div id="page"><article><p>{ARTICLE}</p><p>{ARTICLE}</p></article><div class="related"><article><p>{REMARK * 4}</p></article></div></div>',
+        f'<main><article><p>{ARTICLE}</p><p>{ARTICLE}</p></article><section class="comments"><article><p>{REMARK}</p></article><article><p>{REMARK * 3}</p></article><article><p>{REMARK}</p></article></section></main>',
+        f'<table><tr><td><ul><li><a href="a">Home</a></li><li><a href="b">News</a></li><li><a href="c">Sport</a></li></ul></td><td><p>{ARTICLE}</p><p>{ARTICLE}</p></td></tr></table>',
+        f'<article><div class="promo"><article><p>{REMARK * 5}</p></article></div><p>{ARTICLE}</p><p>{ARTICLE}</p></article>',
+    ],
+)
+def test_noise_never_replaces_the_article(page):
+    assert html_text.main_text(page) == f"{ARTICLE}\n{ARTICLE}"
+
+
+def test_nested_articles_belong_to_the_outermost_that_scores():
+    page = f"<body><article><h1>Head</h1><p>{ARTICLE}</p><article><p>{REMARK}</p></article></article></body>"
+    assert html_text.main_text(page) == f"Head\n{ARTICLE}\n{REMARK}"
+
+
+def plain_best(tree):
+    """The container with the most points, by recursion over tags alone: paragraphs give to parent and, halved, to grandparent."""
+    points = {}
+
+    def size(x):
+        return sum(len(" ".join(c.split())) if isinstance(c, str) else size(c) for c in x.children)
+
+    def commas(x):
+        return sum(c.count(",") if isinstance(c, str) else commas(c) for c in x.children)
+
+    def walk(x):
+        for c in x.children:
+            if not isinstance(c, str):
+                if c.name == "p" and size(c):
+                    own = 1 + commas(c) + min(size(c) / 100, 3)
+                    points[x] = points.get(x, 0) + own
+                    if x.parent is not None:
+                        points[x.parent] = points.get(x.parent, 0) + own / 2
+                walk(c)
+
+    walk(tree)
+    return max(((v + 2 * (k.name == "div"), k) for k, v in points.items()), key=lambda x: x[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 6), st.integers(10, 300)), min_size=1, max_size=12))
+def test_score_equals_plain_recursion(shape):
+    """On trees of bare divisions and paragraphs, without a name or a link, the score alone decides."""
+    page = "".join("<div>" * (d % 3) + "".join(f"<p>{'word, ' * c}{'x' * n}</p>" for _ in range(1 + d // 3)) + "</div>" * (d % 3) for d, c, n in shape)
+    tree = html_text.parse(f"<body>{page}</body>")
+    html_text.settle(tree, True)
+    best, stack = plain_best(tree), [tree]
+    html_text.score(tree)
+    while stack:
+        node = stack.pop()
+        stack += [c for c in node.children if not isinstance(c, str)]
+        if node.name in ("div", "body"):
+            assert node.score <= best[0] + 1e-9
+    assert best[1].score == pytest.approx(best[0])
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<p>a < b & c</p>", "a < b & c"), ("<script>x</script>", ""), ("<p>unclosed <i>it", "unclosed it"), ("</div></p><p>x</div>", "x"), ("<nav>only</nav>", "")])
 def test_odd_pages(page, want):
     assert html_text.main_text(page) == want

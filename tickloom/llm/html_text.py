@@ -1,7 +1,7 @@
 """Main text of web pages by scoring the page's tree.
 
 A tolerant reader builds the tree. Elements that never hold main text are dropped by their name or role; those that are only named like such
-(class, id) stay if they hold most of the page's paragraphs. Each paragraph gives points for its length and commas to its parent and,
+(class, id) stay if they hold most of the page's paragraphs, unless they are named as noise as a whole. Each paragraph gives points for its length and commas to its parent and,
 halved, to its grandparent; a container's points are scaled by the share of its text outside links. The best container, or the article element
 around it, is kept with its siblings of few links; of an article, with those that score near it.
 """
@@ -32,6 +32,8 @@ LAYOUT = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sid
 HOLDERS = frozenset("area bar block box container content form inner item items links list module panel posts section slot stories thread unit wrap wrapper".split())
 MODIFIERS = frozenset("has hide is no non not show with without".split())
 CONTENT = frozenset("article body content entry main page post story text".split())
+#: Where a run of short links is a menu.
+MENUS = frozenset("ul ol td dl table tr".split())
 #: What an element's name says: main text never, nor where named so as a whole; layout; or only in part.
 NEVER, NOISY, LAID_OUT, PERHAPS = 4, 3, 2, 1
 QUOTE = re.compile("[>\"']")
@@ -182,8 +184,9 @@ def parse(page: str) -> Node:
 
 def settle(root: Node, firm: bool) -> None:
     """Decide which named elements stay (noise 0), by the characters of their paragraphs. An element that is only perhaps noise stays if
-    it holds over half of the page's, or an article longer than all the rest; one that is named as noise or layout as a whole only for
-    such an article. Unless firm, layout is only perhaps noise. The header of an article keeps its headings."""
+    it holds over half of the page's, or an article longer than all the rest; one that is named as layout as a whole only for such an
+    article; one that is named as noise never, whatever it holds. Unless firm, layout is only perhaps noise. The header of an article keeps
+    its headings."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -202,13 +205,13 @@ def settle(root: Node, firm: bool) -> None:
         kids = [c for c in node.children if isinstance(c, Node) and c in text]
         own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if inside[node] else 0
         text[node] = own + sum(text[c] for c in kids if c.noise < LAID_OUT)
-        article[node] = max([text[node] if node.name in ("article", "main") else 0, *(article[c] for c in kids)])
+        article[node] = max([text[node] if node.name in ("article", "main") else 0, *(article[c] for c in kids if c.noise != NOISY)])
     total, longest = text[root], article[root]
     for node in order:
         if node.noise == PERHAPS:
             most = 2 * text[node] > total or article[node] > total - text[node]
             node.noise = 0 if most or node.name in ("article", "main") and 2 * text[node] >= longest else PERHAPS
-        elif node.noise and article[node] > total:
+        elif node.noise == LAID_OUT and article[node] > total:
             node.noise = 0
 
 
@@ -229,22 +232,33 @@ def score(root: Node) -> Node:
         node = stack.pop()
         order.append(node)
         stack += [c for c in node.children if isinstance(c, Node) and not c.noise]
-    text, linked, commas = {}, {}, {}
+    text, linked, commas, links, paragraphs = {}, {}, {}, {}, {}
     for node in reversed(order):
         own = [c for c in node.children if isinstance(c, str)]
         kids = [c for c in node.children if isinstance(c, Node) and not c.noise]
         text[node] = sum(len(" ".join(c.split())) for c in own) + sum(text[c] for c in kids)
         linked[node] = text[node] if node.name == "a" else sum(linked[c] for c in kids)
+        links[node] = (node.name == "a") + sum(links[c] for c in kids)
+        if node.name in MENUS and links[node] >= 3 and linked[node] >= 0.95 * text[node] and text[node] < 30 * links[node]:
+            node.noise = LAID_OUT  # a menu, whatever its name
+            text[node] = linked[node] = links[node] = 0
         commas[node] = sum(c.count(",") + c.count("，") + c.count("、") for c in own) + sum(commas[c] for c in kids)
         bare = node.name in ("div", "section", "article", "main", "body") and any(c.strip() for c in own)
         if (node.name in PARAGRAPHS or bare) and text[node]:
-            points = 1 + commas[node] + min(text[node] / 100, 3)
+            points = paragraphs[node] = 1 + commas[node] + min(text[node] / 100, 3)
             up, share = (node if bare else node.parent), 1.0
             for _ in range(2):
                 if up is None:
                     break
                 up.score += points * share
                 up, share = up.parent, share / 2
+    # the points of an article's own paragraphs, those of articles inside it apart
+    nearest: dict[Node, Node | None] = {}
+    points_of: dict[Node, float] = {}
+    for node in order:
+        nearest[node] = node if node.name == "article" else nearest.get(node.parent) if node.parent is not None else None
+        if node in paragraphs and nearest[node] is not None:
+            points_of[nearest[node]] = points_of.get(nearest[node], 0.0) + paragraphs[node]
     best, most = root, -1.0
     for node in order:
         if node.name in BLOCKS or node is root:
@@ -252,13 +266,15 @@ def score(root: Node) -> Node:
             node.score *= 1 - linked[node] / text[node] if text[node] else 0
             if node.score > most and text[node]:
                 best, most = node, node.score
-    # the article that holds the best container, if there is one, is the container
-    up = best
+    # of the articles that hold the best container, the outermost whose own paragraphs score is the container
+    around, up = [], best
     while up is not None:
         if up.name == "article":
-            best = up
-            break
+            around.append(up)
         up = up.parent
+    if around:
+        enough = 0.2 * max(points_of.get(a, 0.0) for a in around)
+        best = next((a for a in reversed(around) if points_of.get(a, 0.0) > 0 and points_of[a] >= enough), around[-1])
     kept = [best]
     if best.parent is not None:
         kept = []

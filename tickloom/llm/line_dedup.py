@@ -153,7 +153,7 @@ def line_rows(docs: DataFrame, classes, tenths: int, min_tokens: int) -> DataFra
     map of 64 bits, each the parity of the tokens that fall on it), wide (the same in 256 bits, for more than WIDE tokens; they fold to
     64) and prefix (codes, rarest first): as many tokens that any other set tenths/10 similar has one of them in its own prefix.
 
-    A token is 44 bits of its hash. Its code is its rarity class and 36 of those bits, so sorting line and code in one integer puts
+    Token sets are told apart by the whole 64-bit hashes of their tokens; the rest takes 44 bits of them. A token's code is its rarity class and 36 of those bits, so sorting line and code in one integer puts
     each line's tokens in order.
     """
     shift, low44, least = np.uint64(44), np.uint64(2**44 - 1), least_joined(tenths)
@@ -162,20 +162,22 @@ def line_rows(docs: DataFrame, classes, tenths: int, min_tokens: int) -> DataFra
         h, start, data = hashed_words(plain_bytes("\n".join(texts)))
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(breaks, start).astype(np.uint64)
-        token = (line << shift) | (h >> np.uint64(20))
-        token.sort()
-        token = token[np.concatenate([[True], token[1:] != token[:-1]])] if len(token) else token  # distinct tokens of each line
-        line, token = (token >> shift).astype(np.int64), token & low44
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+        new = np.ones(len(h), bool)  # the distinct tokens of each line
+        new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+        line, h = line[new].astype(np.int64), h[new]
         n = np.bincount(line, minlength=len(breaks) + 1)
         keep = n >= max(min_tokens, 1)
         if not keep.any():
             return None
         if not keep[line].all():
             inside = keep[line]
-            line, token = line[inside], token[inside]
+            line, h = line[inside], h[inside]
         n = n[keep]
         starts = np.cumsum(n) - n
-        c1, c2 = np.add.reduceat(mixed(token), starts), np.add.reduceat(mixed(token ^ low44), starts)
+        c1, c2 = np.add.reduceat(mixed(h), starts), np.add.reduceat(mixed(~h), starts)
+        token = h >> np.uint64(20)
         spot, word = np.uint64(1) << (token >> np.uint64(38)), token >> np.uint64(36) & np.uint64(3)
         fold = np.bitwise_xor.reduceat(spot, starts)
         big = n > WIDE

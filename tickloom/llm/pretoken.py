@@ -17,7 +17,7 @@ from operator import itemgetter, mul
 
 import numpy as np
 
-from tickloom.llm.shared import held, span_hashes
+from tickloom.llm.shared import held, same_spans, span_hashes
 
 #: Ranges of common characters. Inside them, letters and numbers are those below, white space is space, tab, line feed, vertical tab,
 #: form feed, carriage return and no-break space, and normalisation form C changes nothing.
@@ -240,7 +240,18 @@ class Cutter:
         first = np.zeros(len(h), bool)
         first[at] = True
         chunks, pieces = (self.chunk_counts, self.counts) if counts else (self.chunks, self.pieces)
-        values = [chunks.sum(map(pieces.__getitem__, self.pattern.findall(raw[a:b].decode("utf-8")))) if f else chunks[raw[a:b]] for a, b, f in zip(start[index].tolist(), end[index].tolist(), first[index].tolist(), strict=True)]
+
+        def value(a: int, b: int, f: bool) -> object:
+            return chunks.sum(map(pieces.__getitem__, self.pattern.findall(raw[a:b].decode("utf-8")))) if f else chunks[raw[a:b]]
+
+        values = [value(*x) for x in zip(start[index].tolist(), end[index].tolist(), first[index].tolist(), strict=True)]
+        # a hash only proposes: a chunk that differs from the one it is taken for gets a value of its own
+        like, size = index[inverse], end - start
+        same = (size == size[like]) & (first == first[like])
+        same[same] = same_spans(data, start[same], start[like[same]], size[same])
+        for i in np.flatnonzero(~same).tolist():
+            inverse[i] = len(values)
+            values.append(value(int(start[i]), int(end[i]), bool(first[i])))
         return values, inverse, at
 
     def _many(self, texts: list[str], counts: bool) -> list:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,7 @@ def plain_bytes(text: str) -> bytes:
 def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, byte at which it starts) of each word of plain_bytes, and the bytes as an array: words are what str.split() gives.
 
-    A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums over the whole text, mixed with its length.
+    A word's hash is no polynomial: each byte draws a random number for its place in the word, so no two words collide by construction.
     """
     data = np.frombuffer(text, np.uint8)
     space = np.ones(len(data) + 2, bool)
@@ -145,11 +146,54 @@ def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low[:] = SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[::2], edges[1::2]
-    return span_hashes(data, start, end), start, data
+    return drawn_hashes(data, start, end), start, data
+
+
+@lru_cache(maxsize=1)
+def _drawn() -> np.ndarray:
+    """A random number for each of 64 places in a word and each byte."""
+    return np.random.default_rng(0x5EED).integers(0, 2**64, 64 * 256, np.uint64)
+
+
+def drawn_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Hashes of spans of bytes, which rise and do not overlap: the sum of the numbers that the span's bytes draw (tabulation); spans of more
+    than 64 bytes take a cryptographic hash of their bytes."""
+    out, table, size = np.empty(len(start), np.uint64), _drawn(), end - start
+    for i in np.flatnonzero(size > 64).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= 64)
+    begin, size = start[short], size[short]
+    ends = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, step)), len(short)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        n, first = size[a:b], ends[a:b] - size[a:b] - (int(ends[a]) - int(size[a]))
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[place << 8 | data[np.repeat(begin[a:b], n) + place]])])
+        out[short[a:b]] = mixed(sums[first + n] - sums[first] + n.astype(np.uint64))
+    return out
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a equal those from b, for spans of `size` bytes each: eight bytes at a time, spans of more than 64 one by one."""
+    out = np.ones(len(a), bool)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    short = np.flatnonzero((a != b) & (size <= 64))
+    for at in range(0, 64, 8):
+        short = short[size[short] > at]
+        if not len(short):
+            break
+        left = np.minimum(size[short] - at, 8).astype(np.uint64)
+        differ = (eights[a[short] + at] ^ eights[b[short] + at]) << (np.uint64(64) - left * np.uint64(8))
+        out[short] &= differ == 0
+    for i in np.flatnonzero((a != b) & (size > 64)).tolist():
+        out[i] = data[a[i] : a[i] + size[i]].tobytes() == data[b[i] : b[i] + size[i]].tobytes()
+    return out
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
-    """Hashes of the spans of bytes, which rise; those that start in `step` bytes are worked on at a time."""
+    """Quick hashes of the spans of bytes, which rise: polynomials modulo 2**64, which can be made to collide. Only for uses that compare what
+    hashes alike or lose nothing by a collision. Spans that start in `step` bytes are worked on at a time."""
     out = np.empty(len(start), np.uint64)
     cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), step)), len(start)))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
