@@ -29,3 +29,9 @@ def test_edited_copies_of_large_groups(spark, sent, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
     tests = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, tests).collect()} == want and 1005 < len(want) < 3005
+
+
+def test_short_items_are_found(spark):
+    docs = spark.createDataFrame([(1, "x y alpha beta gamma delta z"), (2, "alpha beta one two"), (3, "of the and")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "alpha beta gamma delta"), (8, "of the"), (7, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(docs, items).collect()] == [(1, 9, 1.0)]

@@ -231,6 +231,20 @@ def test_pipeline_edges(spark):
     assert corpus_pipeline.language_stage(spark, docs, SMALL).where(F.col("text").isNull() | (F.col("text") == "")).count() == 0
 
 
+def test_pipeline_without_labels_keeps_documents(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", None, "s", 20), (2, "12 34", None, "s", 5), (3, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SMALL).collect()] == [1]
+    known = spark.createDataFrame([(4, "der die das und ist nicht " * 9, "de", "s", 0), (5, "the and is not of to " * 9, "en", "s", 0), (6, "the and is not of", None, "s", 0)], docs.schema)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, known, SMALL).collect()}
+    assert kept == {4: "de", 5: "en", 6: "en"}
+
+
+def test_pipeline_restores_the_session(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    assert corpus_pipeline.run(spark, SMALL).count() > 0 and spark.conf.get(key) == was
+
+
 def test_pipeline_keeps_unlike_documents_that_share_an_id_or_have_none(spark):
     words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
     rows = [(None, words[0], "en", "x"), (None, words[1], "en", "x"), (7, words[2], "en", "x"), (7, words[3], "en", "x"), (8, words[2], "en", "x"), (9, words[4], "en", "x"), (9, words[4], "en", "x")]

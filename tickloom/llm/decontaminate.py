@@ -164,14 +164,16 @@ def align(items: list[list[str]], texts: list[list[str]]) -> tuple[np.ndarray, n
     return best, ends
 
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds a copy of: id, item_id, score (0 to 1), start (the first word of the
     passage that was aligned) and end (the word after the alignment).
 
     A copy is a passage whose best local alignment with the item (match 2, mismatch -1, gap -1) scores `least` of the item's own score or
     more and that holds one of its n-grams, however frequent. Null and empty texts and items hold nothing; a null id stays null; rows with equal ids are one document; the best passage is
-    given, the first of equals; items of fewer than min_words words are no evidence and are not sought; empty tables give no rows; other columns are not read.
+    given, the first of equals; items of fewer than min_words words (by default n, as a shorter one
+    has no n-gram) are no evidence and are not sought; empty tables give no rows; other columns are not read.
     """
+    min_words = n if min_words is None else min_words
     texts = keyed_texts(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     seeds = stored(seeds_of(tests, n).where(F.col("size") >= min_words), "seeds")

@@ -22,13 +22,13 @@ from tickloom.llm.shared import hashed_words, held, keyed_texts, mixed, plain_by
 #: Counters of the rarity sketch, and those of one of its pieces; their number does not depend on the input.
 COUNTERS, PIECE = 1 << 22, 1 << 12
 #: Characters that are worked on at a time.
-STEP = 400_000
+STEP = 250_000
 #: Tokens above which a line's parity map has four words instead of one.
 WIDE = 64
 #: Postings that are sent off together, and mean postings of a bucket, where they are sorted and meet.
-FLUSH, BUCKET = 120_000, 200_000
+FLUSH, BUCKET = 80_000, 100_000
 #: Pairs that are looked at together.
-PAIRS = 250_000
+PAIRS = 120_000
 #: Class of rarity (8 for each doubling) from which a token may have too many postings for its bucket: such tokens are counted exactly and dealt.
 HOT = 8 * 14
 #: Postings of a hot token that are kept together; two such groups meet at a time.
@@ -97,14 +97,17 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
         def add() -> None:
             nonlocal own, size
-            np.add(sums, np.bincount(np.concatenate(own), minlength=COUNTERS), out=sums, casting="unsafe")
+            at = np.concatenate(own)
             own, size = [], 0
+            at.sort()
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            sums[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
 
         for _, texts in _steps(batches, []):
             h, _, _ = hashed_words(plain_bytes("\n".join(texts)))
             own.append(counter_of(h >> np.uint64(20)))
             size += len(h)
-            if size >= COUNTERS // 4:
+            if size >= COUNTERS // 8:
                 add()
         if own:
             add()
