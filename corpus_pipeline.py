@@ -15,11 +15,17 @@ from tickloom.llm import decontaminate, language, line_dedup, packing, simhash
 from tickloom.llm.shared import deleted, scratch, shared_folder, stored
 
 
-def bounded(spark: SparkSession) -> None:
-    """Texts go to Python 1000 at a time at most, whatever the session has: every stage's workers hold whole texts."""
+#: Whole texts that go to Python together in a stage.
+ROWS = 250
+
+
+def bounded(spark: SparkSession) -> int | str:
+    """Texts go to Python ROWS at a time at most: every stage's workers hold whole texts. The session's own setting, for `run` to put back: a
+    stage is lazy, so its rows are made when its caller writes them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(now, 1000) if now > 0 else 1000))
+    now = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(now), ROWS) if int(now) > 0 else ROWS))
+    return now
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -32,13 +38,19 @@ def together(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter, that is, all for which a language is predicted.
+    """Documents of a language: those whose text has a letter, as the operator rejects the others. A document without a language of its own takes
+    the predicted one.
 
-    The model learns from the labelled rows of docs; if there are none, every document goes. Empty in, empty out.
+    The model learns from the labelled rows of docs; if there are none, no language is known, and documents with a letter stay as they are. A
+    null text goes. Empty in, empty out.
     """
     bounded(spark)
-    found = language.predict(apart(docs), language.fit(docs), pred_col="predicted")
-    return together(found.where(F.col("predicted") != language.UND), docs.columns)
+    model = language.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(apart(docs), model, pred_col="predicted").where(F.col("predicted") != language.UND)
+    lang = F.coalesce(F.col("own.`lang`"), F.col("predicted"))
+    return found.select(*[(F.col("text") if c == "text" else lang if c == "lang" else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,13 +102,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each stage's rows written to the shared folder and read again. What a stage stores for itself goes when
     its rows are written, and its rows go when the next stage's are."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        with scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            deleted(spark, before)
-        before = path
+    docs, before, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, bounded(spark)
+    try:
+        for name, stage in STAGES:
+            path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                deleted(spark, before)
+            before = path
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     return docs
