@@ -100,7 +100,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             at = np.concatenate(own)
             own, size = [], 0
             at.sort()
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            first = np.flatnonzero(np.append(len(at) > 0, at[1:] != at[:-1]))
             sums[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
 
         for _, texts in _steps(batches, []):
