@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.metrics import nearest_rank
+from tickloom.operators.metrics import max_drawdown, nearest_rank
 
 # The codes of the eligibility gates, in order, with their thresholds.
 ELIGIBILITY = (
@@ -72,6 +72,49 @@ def first_neighbours(ids: DataFrame, n: int = 5, key: str = "variant_rank", grou
     return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(group, key).orderBy("neighbour"))).where(F.col("_r") <= n).drop("_r")
 
 
+def preselection(min_trades: int = 100, drawdown: float = 0.08, factor: float = 1.15) -> str:
+    """What a candidate's validation must show before the final phase is opened to it."""
+    return f"base_return > 0 AND costly_return > 0 AND trade_count >= {min_trades} AND max_drawdown <= {drawdown} AND profit_factor >= {factor}"
+
+
+def phase_results(trades: DataFrame, labels: DataFrame, cash: float) -> DataFrame:
+    """(strategy_id, phase, base_return, costly_return, trade_count, profit_factor, max_drawdown, symbol_share) of the trades of each phase.
+
+    trades: strategy_id, symbol, session_date, net_pnl, cost. Costs half as high again are taken off for costly_return; the drawdown is that of
+    the phase's own equity, session by session; symbol_share is null without a gain.
+    """
+    rows = trades.join(labels.select("session_date", "phase"), "session_date")
+    net, gain = F.sum("net_pnl"), F.sum(F.greatest("net_pnl", F.lit(0)))
+    own = rows.groupBy("strategy_id", "phase").agg((net / cash).alias("base_return"), ((net - 0.5 * F.sum("cost")) / cash).alias("costly_return"), F.count("*").alias("trade_count"), F.coalesce(F.try_divide(gain, F.nullif(gain - net, F.lit(0))), F.lit(0.0)).alias("profit_factor"))
+    key = F.concat_ws("|", "strategy_id", "phase").alias("key")
+    daily = rows.groupBy("strategy_id", "phase", "session_date").agg(net.alias("pnl")).select(key, "session_date", "pnl")
+    equity = daily.select("key", "session_date", F.col("session_date").alias("event_time"), (F.lit(cash) + F.sum("pnl").over(Window.partitionBy("key").orderBy("session_date"))).cast("double").alias("equity"))
+    falls = max_drawdown(equity, cash, "key")
+    part = rows.groupBy("strategy_id", "phase", "symbol").agg(F.greatest(net, F.lit(0)).alias("p")).groupBy("strategy_id", "phase").agg(F.try_divide(F.max("p"), F.nullif(F.sum("p"), F.lit(0))).alias("symbol_share"))
+    return own.join(part, ["strategy_id", "phase"]).select("*", key).join(falls, "key").drop("key")
+
+
+def preselected(results: DataFrame, **limits: float) -> DataFrame:
+    """(strategy_id) of the candidates whose validation opens the final phase to them. limits: those of preselection."""
+    return results.where((F.col("phase") == "validation") & F.expr(preselection(**limits))).select("strategy_id")
+
+
+def preferred_phase(results: DataFrame, survivors: DataFrame) -> DataFrame:
+    """One row for each candidate: its final phase if it was preselected and has one, else its validation."""
+    own = results.join(survivors.withColumn("_s", F.lit(True)), "strategy_id", "left").where((F.col("phase") == "validation") | ((F.col("phase") == "final") & F.col("_s")))
+    return own.groupBy("strategy_id").agg(F.min_by(F.struct(*results.drop("strategy_id").columns), "phase").alias("r")).select("strategy_id", "r.*")  # "final" sorts first
+
+
+def profitable_windows(trades: DataFrame, windows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(strategy_id, profitable_windows): the share of the evaluation windows in which each candidate earned; a window without a trade earned
+    nothing. windows: one row for each window and evaluation session, a few for each session."""
+    many = windows.select("window_id").distinct()
+    earned = trades.join(windows, "session_date").groupBy("strategy_id", "window_id").agg((F.sum("net_pnl") > 0).alias("ok")).where("ok").groupBy("strategy_id").agg(F.count("*").alias("n"))
+    total = many.agg(F.count("*").alias("total"))
+    rows = candidates.select("strategy_id").distinct().join(earned, "strategy_id", "left").join(F.broadcast(total))  # one row
+    return rows.select("strategy_id", F.try_divide(F.coalesce("n", F.lit(0)), F.col("total")).alias("profitable_windows"))
+
+
 def null_verdict(observed: DataFrame, scores: DataFrame, key: str = "strategy_id", p: float = 0.95) -> DataFrame:
     """Whether each candidate's profit is above the nearest-rank percentile of every null method's scores (key, method, score)."""
     limits = nearest_rank(scores, "score", p, key, "method")

@@ -44,6 +44,19 @@ def signals(frame: DataFrame, rules: dict[str, Rule], keep: tuple[str, ...]) ->
     return frame.select(*keep, F.explode(F.array_compact(fired)).alias("strategy_id"))
 
 
+def marks(frame: DataFrame, rules: dict[str, Rule], keep: tuple[str, ...]) -> DataFrame:
+    """(strategy_id, entered, *keep) for every rule and row, in one scan: an opportunity, and whether the rule takes it."""
+    every = F.array(*[F.struct(F.lit(s).alias("strategy_id"), condition(r).alias("entered")) for s, r in sorted(rules.items())])
+    return frame.select(*keep, F.explode(every).alias("_m")).select("_m.*", *keep)
+
+
+def nudged(rule: Rule, factor: float) -> Rule:
+    """The rule with every value times factor: a neighbour in its parameters."""
+    if "all" in rule or "any" in rule:
+        return {k: [nudged(r, factor) for r in parts] for k, parts in rule.items()}
+    return rule | {"value": round(rule["value"] * factor, 9)}
+
+
 def rule_table(spark: SparkSession, rules: dict[str, Rule]) -> DataFrame:
     """Rules as rows: strategy_id, branch, indicator, op, value."""
     rows = [(s, i, c["indicator"], c["op"], float(c["value"])) for s, r in sorted(rules.items()) for i, b in enumerate(branches(r)) for c in b]
@@ -74,16 +87,6 @@ def lint(table: DataFrame) -> DataFrame:
     )
 
 
-def forbidden_fields(documents: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """Fields of JSON documents, at any depth, that are on a list: one row for each document and field."""
-    keys = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)))
-    return documents.select("*", F.explode(keys).alias("field")).where(F.col("field").isin(names))
-
-
 def fingerprint(*columns: str) -> Column:
     """SHA-256 of the columns as JSON, in name order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-
-
-#: Allowed ranges of the test tables' parameters.
-RULE_LIMITS = {"p_size": (5, 45)}

@@ -118,6 +118,7 @@ def opportunities(bars: DataFrame, hold: int, budget: float, cost: float) -> Dat
     the session's last, less the cost share of both sides. Bars without a next one in their session give none."""
     w = Window.partitionBy("symbol", "session_date").orderBy("slot")
     last = F.last("close").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = bars.select("symbol", "session_date", "slot", F.lead("open").over(w).alias("entry_price"), F.coalesce(F.lead("close", hold).over(w), last).alias("exit_price"))
+    end = F.last("slot").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = bars.select("symbol", "session_date", "slot", F.lead("open").over(w).alias("entry_price"), F.coalesce(F.lead("close", hold).over(w), last).alias("exit_price"), F.lead("slot").over(w).alias("entry_slot"), F.coalesce(F.lead("slot", hold).over(w), end).alias("exit_slot"))
     rows = rows.where("entry_price IS NOT NULL").withColumn("quantity", F.floor(F.lit(budget) / F.col("entry_price")))
     return rows.withColumn("net_pnl", F.col("quantity") * (F.col("exit_price") * (1 - cost) - F.col("entry_price") * (1 + cost)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import evidence, gates, metrics, reports, robustness, trades
-from tickloom.operators.rules import RULE_LIMITS
+
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.trade_queries import _SESSIONS, CASH, daily_equity, _RETURNS
@@ -83,7 +83,7 @@ def l9_spread_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand AS hypothesis_id, p_partkey, CASE WHEN p_size < 5 THEN 'BELOW_MINIMUM' WHEN p_size > 45 THEN 'ABOVE_MAXIMUM' END AS code FROM part WHERE p_size < 5 OR p_size > 45""")
 def l11_range_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = RULE_LIMITS["p_size"]
+    low, high = 5, 45
     code = F.when(F.col("p_size") < low, "BELOW_MINIMUM").when(F.col("p_size") > high, "ABOVE_MAXIMUM")
     return t.read(spark, sf_dir, "part").select(F.col("p_brand").alias("hypothesis_id"), "p_partkey", code.alias("code")).where("code IS NOT NULL")
 

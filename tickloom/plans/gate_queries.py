@@ -5,47 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import evidence, gates, metrics, robustness
-from tickloom.plans import report_queries, trade_queries
+from tickloom.operators import evidence, gates, robustness
 from tickloom.plans import tables as t
-from tickloom.plans.registry import query, sql_of
-from tickloom.plans.trade_queries import _EQUITY, CASH, _metrics_sql, _trade_metrics, daily_equity
-
-_EVIDENCE = f"""SELECT strategy_id, net_pnl AS base_return, net_pnl - 0.5 * cost_paid AS costly_return, trade_count, profit_factor, max_drawdown, profitable_share AS profitable_windows, stable AS neighborhood_stable, symbol_share, start_date_stable, null_test_passed
-    FROM ({_metrics_sql('strategy_id')})
-    JOIN (SELECT strategy_id, greatest(0, max(1 - equity / greatest({CASH}, peak))) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY session_date) AS peak FROM ({_EQUITY})) GROUP BY strategy_id) USING (strategy_id)
-    JOIN ({sql_of("k6_neighborhood")}) USING (strategy_id)
-    JOIN (SELECT strategy_id, max(greatest(p, 0)) / nullif(sum(greatest(p, 0)), 0) AS symbol_share FROM (SELECT strategy_id, symbol, sum(net_pnl)::DOUBLE AS p FROM ({t.TRADES}) GROUP BY ALL) GROUP BY 1) USING (strategy_id)
-    JOIN (SELECT strategy_id, bool_and(net_return > 0) AS start_date_stable FROM ({sql_of("k7_start_offsets")}) GROUP BY 1) USING (strategy_id)
-    JOIN (SELECT strategy_id, bool_and(total > threshold) AS null_test_passed FROM (SELECT strategy_id, sum(net_pnl)::DOUBLE AS total FROM ({t.TRADES}) GROUP BY 1)
-        JOIN (SELECT strategy_id, symbol, quantile_disc(pnl, 0.95) AS threshold FROM (SELECT strategy_id, symbol, session_date, sum(net_pnl)::DOUBLE AS pnl FROM ({t.TRADES}) GROUP BY ALL) GROUP BY ALL) USING (strategy_id) GROUP BY 1) USING (strategy_id)"""
-_GATE_ROWS = f"WITH e AS MATERIALIZED ({_EVIDENCE}) " + " UNION ALL ".join(f"SELECT strategy_id, {i} AS ordinal, '{code}' AS code, coalesce({p}, false) AS passed FROM e" for i, (code, p) in enumerate(gates.HARD_GATES, 1))
-
-
-def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each strategy with what every hard gate reads: metrics, drawdown, windows, neighbours, symbols, start dates and null tests."""
-    trades = t.trades(spark, sf_dir)
-    own = _trade_metrics(trades, "strategy_id").join(metrics.max_drawdown(daily_equity(spark, sf_dir), CASH), "strategy_id")
-    near = report_queries.k6_neighborhood(spark, sf_dir).select("strategy_id", F.col("profitable_share").alias("profitable_windows"), F.col("stable").alias("neighborhood_stable"))
-    gain = F.greatest("p", F.lit(0.0))
-    symbols = trades.groupBy("strategy_id", "symbol").agg(F.sum("net_pnl").cast("double").alias("p")).groupBy("strategy_id").agg((F.max(gain) / F.nullif(F.sum(gain), F.lit(0.0))).alias("symbol_share"))
-    starts = report_queries.k7_start_offsets(spark, sf_dir).groupBy("strategy_id").agg(F.bool_and(F.col("net_return") > 0).alias("start_date_stable"))
-    scores = trades.groupBy("strategy_id", F.col("symbol").alias("method"), "session_date").agg(F.sum("net_pnl").cast("double").alias("score"))
-    null = robustness.null_verdict(own.select("strategy_id", F.col("net_pnl").alias("profit")), scores).select("strategy_id", "null_test_passed")
-    for part in (near, symbols, starts, null):
-        own = own.join(part, "strategy_id")
-    return own.select("*", F.col("net_pnl").alias("base_return"), (F.col("net_pnl") - 0.5 * F.col("cost_paid")).alias("costly_return"))
-
-
-@query(_GATE_ROWS)
-def l1_hard_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.evaluate_gates(candidate_evidence(spark, sf_dir))
-
-
-@query(f"SELECT strategy_id, CASE WHEN bool_and(passed) THEN 'PROMOTE' ELSE 'REJECT' END AS decision, coalesce(string_agg(code, ',' ORDER BY ordinal) FILTER (WHERE NOT passed), '') AS reasons FROM ({_GATE_ROWS}) GROUP BY strategy_id")
-def l2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.decide(gates.evaluate_gates(candidate_evidence(spark, sf_dir)))
-
+from tickloom.plans.registry import query
 
 _FORWARD = """SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY closed_trades DESC, strategy_id) <= 7 AS capacity_available FROM (
     SELECT event_type || '-' || (user_id % 10) AS strategy_id, event_type AS cohort, count(DISTINCT CAST(ts AS DATE)) AS completed_days, count(*) AS closed_trades, count(*) FILTER (WHERE event_id % 97 = 0 AND user_id % 3 = 0) AS unresolved_reconciliations,
@@ -75,7 +37,7 @@ def l4_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.decide(gates.evaluate_gates(forward_evidence(spark, sf_dir), robustness.ELIGIBILITY))
 
 
-_GATED = tuple(g for g in robustness.ELIGIBILITY if g[0] not in ("NO_UNRESOLVED_RECONCILIATION", "NO_UNRESOLVED_OVERNIGHT_RISK"))
+_GATED = robustness.ELIGIBILITY
 
 
 @query(f"""WITH e AS (SELECT * FROM ({_FORWARD}) WHERE {" AND ".join(f"coalesce({p}, false)" for _, p in _GATED)}),

@@ -251,13 +251,6 @@ def s12_open_at_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where(F.col("state").isin("click", "view")).select("user_id", "state", F.col("d").cast("string").alias("session"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'broker' ELSE 'url' END AS field FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
-def g8_forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = F.when(F.col("o_orderkey") % 7 == 0, "broker").when(F.col("o_orderkey") % 11 == 0, "url").otherwise("value")
-    text = F.concat(F.lit('{"rules": {"inner": [{"'), inner, F.lit('": 1}], "note": "a \\\\"url\\\\": in a text"}}'))
-    return rules.forbidden_fields(t.read(spark, sf_dir, "orders").select("o_orderkey", text.alias("document")), "document", ["broker", "url", "credentials"]).select("o_orderkey", "field")
-
-
 @query("SELECT o_orderkey, CAST(floor(100000 / o_totalprice) AS BIGINT) AS equal_notional, CAST(CASE WHEN o_orderkey % 9 > 0 THEN floor(500 / (o_totalprice - o_totalprice * (1 - (o_orderkey % 9) / 100.0::DOUBLE))) ELSE 0 END AS BIGINT) AS equal_risk FROM orders")
 def f7_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans import tables as t
 from tickloom.plans.bar_queries import RULES
 from tickloom.plans.registry import query, sql_of
+from tickloom.plans.tables import folder
 from tickloom.streaming import bars as streams
 from tickloom.streaming import sessions
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one of a session on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_events(spark, f"{sf_dir}/events.parquet")
 
