@@ -43,7 +43,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from tickloom.plans import bar_queries, document_queries, evidence_queries, extra_queries, gate_queries, null_queries, report_queries, research_queries, rule_queries, stream_queries, trade_queries  # noqa: F401
+    from tickloom.plans import bar_queries, document_queries, evidence_queries, extra_queries, gate_queries, null_queries, report_queries, research_queries, rule_queries, snapshot_queries, stream_queries, trade_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
