@@ -120,3 +120,119 @@ def gate_then_rank(evidence: DataFrame, hard: tuple[tuple[str, str], ...], weigh
     """rank_scores of those candidates alone that pass every gate."""
     passed = decide(evaluate_gates(evidence, hard, key), key).where("decision = 'PROMOTE'").select(key)
     return rank_scores(evidence.join(passed, key, "left_semi").select(cohort, key, *weights), weights, lower_is_better, cohort, key)
+
+
+def prime_from(n: int) -> int:
+    """The least prime that is n or more (n below 2**64)."""
+
+    def prime(x: int) -> bool:
+        if x < 2 or any(x % p == 0 and x != p for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)):
+            return False
+        d, s = x - 1, 0
+        while d % 2 == 0:
+            d, s = d // 2, s + 1
+        for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):  # enough below 2**64
+            if a % x == 0:
+                continue
+            y = pow(a, d, x)
+            if y in (1, x - 1):
+                continue
+            for _ in range(s - 1):
+                y = y * y % x
+                if y == x - 1:
+                    break
+            else:
+                return False
+        return True
+
+    while not prime(n):
+        n += 1
+    return n
+
+
+def pool_ranks(total: int, size: int, seed: int) -> list[int]:
+    """`size` distinct ranks below total in a fixed order, as a keyed permutation of range(total) has them: nothing of the grid but these is
+    ever made. The permutation is x -> (a x + b) ** e modulo the next prime, walked on while it leaves the range."""
+    if total <= size:
+        return list(range(total))
+    p = prime_from(total)
+    e = next(k for k in (5, 7, 11, 13, 17, 19, 23, 29, 31, 37) if (p - 1) % k)
+    a, b = seed * 2_654_435_761 % (p - 1) + 1, (seed + 1) * 40_503 % p
+
+    def moved(x: int) -> int:
+        while True:
+            x = pow((a * x + b) % p, e, p)
+            if x < total:
+                return x
+
+    return [moved(r) for r in range(size)]
+
+
+def spread_variants(hypotheses: DataFrame, key: str = "hypothesis_id", least_pool: int = 256) -> DataFrame:
+    """(key, ordinal, reason, parameters as JSON): up to `budget` variants of each hypothesis, spread over its grid of parameters.
+
+    hypotheses: key, ranges (map of a parameter to its values), baseline (map of a parameter to one), budget, seed. The baseline, the lowest and
+    the highest corner come first; then, of a pool of max(least_pool, 8 budget) cells drawn by a keyed permutation of the cells' ranks, each
+    time the cell farthest from the nearest chosen one (by places in the ranges, each from 0 to 1; ties go to the earlier in the pool). A grid of
+    no more cells than the budget comes whole, in order. Work and memory follow the pool, whatever the grid's size. A hypothesis without ranges,
+    or whose baseline lacks a parameter, gives no rows.
+    """
+    import json
+    from collections.abc import Iterator
+    from itertools import product
+
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(hypotheses.dtypes)[key]
+
+    def chosen(ranges: dict, baseline: dict, budget: int, seed: int) -> list[tuple[str, dict]]:
+        names = sorted(ranges)
+        values = [sorted(set(ranges[n])) for n in names]
+        if not names or any(not v for v in values) or any(n not in baseline for n in names):
+            return []
+        forced: dict[tuple, str] = {}
+        for cell, reason in ((tuple(baseline[n] for n in names), "baseline"), (tuple(v[0] for v in values), "lower_boundary"), (tuple(v[-1] for v in values), "upper_boundary")):
+            forced.setdefault(cell, reason)
+        total = 1
+        for v in values:
+            total *= len(v)
+        if total <= budget:
+            rest = [c for c in product(*values) if c not in forced]
+            return [(r, dict(zip(names, c, strict=True))) for c, r in (*forced.items(), *((c, "space_filling") for c in rest))][: max(budget, len(rest) + len(forced))]
+        taken = list(forced)[:budget]
+        pool = []
+        for rank in pool_ranks(total, max(least_pool, 8 * budget), seed):
+            cell = []
+            for v in reversed(values):
+                rank, i = divmod(rank, len(v))
+                cell.append(v[i])
+            pool.append(tuple(reversed(cell)))
+        pool = [c for c in dict.fromkeys(pool) if c not in forced]
+        place = [{x: i / max(1, len(v) - 1) for i, x in enumerate(v)} for v in values]
+        near_place = lambda x, p, v: p[x] if x in p else float(np.searchsorted(v, x)) / max(1, len(v) - 1)  # noqa: E731  a baseline off the grid
+        at = lambda c: np.array([near_place(x, p, v) for x, p, v in zip(c, place, values, strict=True)])
+        cells = np.array([at(c) for c in pool]).reshape(len(pool), len(names))
+        near = np.full(len(pool), np.inf)
+        out, used = [(forced[c], c) for c in taken], np.zeros(len(pool), bool)
+        for c in taken:
+            near = np.minimum(near, np.abs(cells - at(c)).sum(axis=1))
+        while len(out) < budget and not used.all():
+            best = int(np.where(used, -1.0, np.round(near, 9)).argmax())
+            used[best] = True
+            out.append(("space_filling", pool[best]))
+            near = np.minimum(near, np.abs(cells - cells[best]).sum(axis=1))
+        return [(r, dict(zip(names, c, strict=True))) for r, c in out]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, ranges, baseline, budget, seed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                found = chosen(dict(ranges or {}), dict(baseline or {}), budget or 0, seed or 0)
+                rows += [(own, i, reason, json.dumps(cell, sort_keys=True)) for i, (reason, cell) in enumerate(found)]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string()), strict=True)], ["id", "ordinal", "reason", "parameters"])
+
+    rows = hypotheses.select(F.col(key).alias("id"), F.col("ranges").cast("map<string,array<double>>").alias("ranges"), F.col("baseline").cast("map<string,double>").alias("baseline"), F.col("budget").cast("int").alias("budget"), F.col("seed").cast("long").alias("seed"))
+    return rows.mapInArrow(run, f"id {kind}, ordinal int, reason string, parameters string").withColumnRenamed("id", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import documents, rules
+from tickloom.operators import documents, gates, rules
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 
@@ -58,3 +58,18 @@ def _listed(values: tuple[str, ...]) -> str:
     UNION ALL SELECT p_partkey, 'DSL_CONDITION_DEPTH_EXCEEDED', path FROM i WHERE tree AND type = 'OBJECT' AND len(string_split(path, '[')) > {rules.MAX_DEPTH}""")
 def g7_rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.rule_issues(nodes(spark, sf_dir), "p_partkey", SYMBOLS)
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hypothesis for each supplier: nine parameters of ten values each, a thousand million cells."""
+    rows = t.read(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal")).cast("double").alias("b"))
+    step = lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("b") + k * (i + 1))
+    ranges = F.create_map(*[x for i in range(9) for x in (F.lit(f"p{i}"), step(i))])
+    middle = F.create_map(*[x for i in range(9) for x in (F.lit(f"p{i}"), F.col("b") + 5.0 * (i + 1))])
+    return rows.select("s_suppkey", ranges.alias("ranges"), middle.alias("baseline"), F.lit(12).alias("budget"), F.col("s_suppkey").alias("seed"))
+
+
+@query()
+def l9_variants_of_large_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve variants of every supplier's hypothesis; the tests hold them against brute force."""
+    return gates.spread_variants(hypotheses(spark, sf_dir), "s_suppkey")
