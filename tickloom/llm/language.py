@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
         own.rows = None  # a waiting worker keeps no table of unseen words
         tidy()
 
-    labelled = F.pandas_udf(label, "lang string, score double")
+    labelled = F.pandas_udf(label, "lang string, score double").asNondeterministic()  # else a filter on the result would label every text twice
     kept = docs.drop(pred_col, score_col)
     # the documents' own columns travel in one struct, so no name of theirs can clash
     found = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("own"), labelled(F.col(f"`{text_col}`").cast("string")).alias("label"))
