@@ -153,3 +153,12 @@ def reconciliation_status(accounts: DataFrame, discrepancies: DataFrame) -> Data
     codes = F.when(F.size("hard") > 0, F.col("hard")).otherwise(F.col("soft"))
     status = F.when(F.size("hard") > 0, "blocked").when(F.size("soft") > 0, "recoverable").otherwise("clean")
     return rows.select("account", status.alias("status"), F.coalesce(F.array_join(codes, ","), F.lit("")).alias("codes"))
+
+
+def id_faults(declared: DataFrame, used: DataFrame, key: str = "id") -> DataFrame:
+    """(key, issue, declared, used) of ids that are not declared once and used once: UNKNOWN (used only), UNUSED (declared only), NOT_UNIQUE
+    (declared twice), COUNT_DIFFERS (used another number of times)."""
+    many = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = many(declared, "declared").join(many(used, "used"), key, "full").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("declared", "used")])
+    issue = F.when(F.col("declared") == 0, "UNKNOWN").when(F.col("used") == 0, "UNUSED").when(F.col("declared") > 1, "NOT_UNIQUE").when(F.col("used") != 1, "COUNT_DIFFERS")
+    return both.withColumn("issue", issue).where("issue IS NOT NULL").select(key, "issue", "declared", "used")

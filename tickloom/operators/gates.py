@@ -50,7 +50,18 @@ def survivor_scores(evidence: DataFrame, key: str = "strategy_id") -> DataFrame:
     }
     score = reduce(lambda a, b: a + b, [parts[k] * w for k, w in SURVIVOR_WEIGHTS.items()])
     scored = evidence.select(key, *[p.alias(k) for k, p in parts.items()], score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    return ranked(scored, "score", key)
+
+
+def ranked(rows: DataFrame, score: str, key: str, parts: int = 100) -> DataFrame:
+    """rows with `rank` over all of them, by falling score, then key. Rows are ranked within parts between approximate percentiles, and each part
+    begins after the counts of those before it, so no task orders more than a part of them (ties of one score stay in one part). A null score is last."""
+    bounds = rows.agg(F.coalesce(F.percentile_approx(F.col(score), [i / parts for i in range(1, parts)]), F.array().cast("array<double>")).alias("_bounds"))
+    placed = rows.join(F.broadcast(bounds)).withColumn("_part", F.when(F.col(score).isNull(), parts).otherwise(F.size(F.filter("_bounds", lambda b: b > F.col(score))))).drop("_bounds")  # one row
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # as many rows as parts
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc_nulls_last(score), key))
+    return placed.join(F.broadcast(before), "_part").withColumn("rank", (F.col("_before") + own).cast("int")).drop("_part", "_before")
 
 
 def rank_scores(metrics: DataFrame, weights: dict[str, float], lower_is_better: frozenset[str], cohort: str, key: str = "strategy_id") -> DataFrame:

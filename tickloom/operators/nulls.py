@@ -113,6 +113,24 @@ def masks(opportunities: DataFrame, repetitions: int, seed: int = 0, blocks: int
     return rows.groupBy("strategy_id", "symbol", "session_date").applyInArrow(deal, schema)
 
 
+def profits(opportunities: DataFrame, repetitions: int, seed: int = 0) -> DataFrame:
+    """(strategy_id, method, rep, profit): the summed profit of every repetition's marks, without any rule of trading. All repetitions of a row are
+    added at once, from its bits."""
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for strategy, profit, mask in zip(*(batch.column(c).to_pylist() for c in ("strategy_id", "profit", "mask")), strict=True):
+                own = total.setdefault(strategy, np.zeros(2 * repetitions + 1, np.int64))
+                own[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(own)).view(bool)] += profit
+        method = pa.array([PERMUTED] * repetitions + [SHIFTED] * repetitions + [OBSERVED])
+        for strategy, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([strategy] * len(own)), method, pa.array([*range(repetitions), *range(repetitions), 0], pa.int32()), pa.array(own)], ["strategy_id", "method", "rep", "profit"])
+
+    rows = masks(opportunities, repetitions, seed, 1).select("strategy_id", "profit", "mask")
+    return rows.mapInArrow(add, "strategy_id string, method string, rep int, profit long").groupBy("strategy_id", "method", "rep").agg(F.sum("profit").alias("profit"))
+
+
 class Scores:
     """What many repetitions of one session have accepted so far; an entry is met by all of them at once."""
 

@@ -134,3 +134,18 @@ def sealed_view(frame: DataFrame, labels: DataFrame, phase: str, survivors: Data
 def selection_hash(survivors: DataFrame, key: str, content: str) -> DataFrame:
     """One hash over the sorted survivors with their content hashes (a survivor list is short)."""
     return survivors.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, content))), "|"), 256).alias("selection_sha256"), F.count("*").alias("survivors"))
+
+
+PHASES = ("train", "validation", "final")
+
+
+def label_faults(labels: DataFrame) -> DataFrame:
+    """(session_date, phase, code) of a given table of labels: UNKNOWN_PHASE; SESSION_REPEATED and PHASES_OVERLAP, where a session has a label
+    twice or several; OUT_OF_ORDER, where a later phase has begun before. A null session or phase is unknown."""
+    place = F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase"))
+    rows = labels.groupBy("session_date", "phase").agg(F.count("*").alias("n")).withColumn("place", F.when(F.col("session_date").isNull() | F.col("phase").isNull(), 0).otherwise(place))
+    begins = rows.where("place > 0").agg(*[F.min(F.when(F.col("place") > i, F.col("session_date"))).alias(f"_b{i}") for i in (1, 2)])
+    own = rows.join(F.broadcast(begins)).withColumn("_phases", F.count("*").over(Window.partitionBy("session_date")))  # one row
+    late = ((F.col("place") == 1) & (F.col("session_date") > F.col("_b1"))) | ((F.col("place") == 2) & (F.col("session_date") > F.col("_b2")))
+    codes = F.array_compact(F.array(F.when(F.col("place") == 0, "UNKNOWN_PHASE"), F.when(F.col("n") > 1, "SESSION_REPEATED"), F.when((F.col("place") > 0) & (F.col("_phases") > 1), "PHASES_OVERLAP"), F.when(late, "OUT_OF_ORDER")))
+    return own.select("session_date", "phase", F.explode(codes).alias("code"))

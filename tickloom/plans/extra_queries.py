@@ -54,14 +54,14 @@ def h11_cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT p_partkey AS strategy_id, p_size / 100.0::DOUBLE AS vr, (51 - p_size) / 100.0::DOUBLE AS fr, p_size / 1000.0::DOUBLE AS vd, 0.02::DOUBLE AS fd, 1 + p_size / 50.0::DOUBLE AS vp, 2.0::DOUBLE AS fp, 0.1::DOUBLE AS vs, p_size / 100.0::DOUBLE AS fs, 0.8::DOUBLE AS wf FROM part WHERE p_size BETWEEN 1 AND 50),
     q AS (SELECT *, vr / (0.1::DOUBLE + vr) AS a, fr / (0.1::DOUBLE + fr) AS b FROM e)
-    SELECT strategy_id, round(0.3::DOUBLE * (2 * a * b / (a + b)) + 0.2::DOUBLE * (1 - least(greatest(vd, fd) / 0.08::DOUBLE, 1)) + 0.2::DOUBLE * (((vp - 1) / vp + (fp - 1) / fp) / 2) + 0.2::DOUBLE * wf + 0.1::DOUBLE * (1 - greatest(vs, fs)), 6) AS score FROM q""")
+    SELECT strategy_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, strategy_id) AS INTEGER) AS rank FROM (SELECT strategy_id, 0.3::DOUBLE * (2 * a * b / (a + b)) + 0.2::DOUBLE * (1 - least(greatest(vd, fd) / 0.08::DOUBLE, 1)) + 0.2::DOUBLE * (((vp - 1) / vp + (fp - 1) / fp) / 2) + 0.2::DOUBLE * wf + 0.1::DOUBLE * (1 - greatest(vs, fs)) AS score FROM q)""")
 def l3_survivor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     rows = t.read(spark, sf_dir, "part").where("p_size BETWEEN 1 AND 50").select(
         F.col("p_partkey").alias("strategy_id"), (size / 100.0).alias("validation_return"), ((51 - size) / 100.0).alias("final_return"), (size / 1000.0).alias("validation_drawdown"), F.lit(0.02).alias("final_drawdown"),
         (1 + size / 50.0).alias("validation_profit_factor"), F.lit(2.0).alias("final_profit_factor"), F.lit(0.1).alias("validation_sensitivity"), (size / 100.0).alias("final_sensitivity"), F.lit(0.8).alias("wf_share"),
     )
-    return gates.survivor_scores(rows).select("strategy_id", F.round("score", 6).alias("score"))
+    return gates.survivor_scores(rows).select("strategy_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _spread_sql(budget: int) -> str:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import evidence, metrics, rules, trades
+from tickloom.operators import evidence, metrics, robustness, rules, trades
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
-from tickloom.plans.trade_queries import _SESSIONS, CASH
+from tickloom.plans.trade_queries import CASH
 
 
 def broken_sql(source: str, rules: dict[str, str], key: str) -> str:
@@ -110,13 +110,11 @@ def v12_unchanged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "events").withColumn("before", before).where("before = event_type").select("event_id", "user_id", F.col("event_type").alias("state"))
 
 
-@query("""SELECT p_partkey AS id, 'undeclared' AS issue FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount < 0.02) UNION ALL
-    SELECT DISTINCT l_partkey, 'unknown' FROM lineitem WHERE l_discount < 0.02 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)""")
+@query("""WITH d AS (SELECT ps AS id, count(*) AS n FROM (SELECT s_nationkey AS ps FROM supplier) GROUP BY 1), u AS (SELECT c_nationkey AS id, count(*) AS m FROM customer GROUP BY 1)
+    SELECT coalesce(d.id, u.id) AS id, CASE WHEN d.id IS NULL THEN 'UNKNOWN' WHEN u.id IS NULL THEN 'UNUSED' WHEN n > 1 THEN 'NOT_UNIQUE' ELSE 'COUNT_DIFFERS' END AS issue, coalesce(n, 0) AS declared, coalesce(m, 0) AS used FROM d FULL JOIN u ON d.id = u.id WHERE coalesce(n, 0) <> 1 OR coalesce(m, 0) <> 1""")
 def v13_declared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = t.read(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    used = t.read(spark, sf_dir, "lineitem").where("l_discount < 0.02D").select(F.col("l_partkey").alias("id")).distinct()
-    one_way = lambda a, b, issue: a.join(b, "id", "left_anti").select("id", F.lit(issue).alias("issue"))
-    return one_way(declared, used, "undeclared").unionByName(one_way(used, declared, "unknown"))
+    """Suppliers' nations as declared ids against those that customers use."""
+    return evidence.id_faults(t.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")), t.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id")))
 
 
 RANK_RULES = {"positive_return": "pnl > 0", "profit_factor_at_least_one": "gain >= loss", "unique": "n = days"}
@@ -228,13 +226,16 @@ def j29_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("failure_id", F.sha2(F.concat_ws("|", F.lit("failed"), F.col("o_orderkey").cast("string"), "failure_type"), 256))
 
 
-@query(f"WITH s AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM ({_SESSIONS})) SELECT count(*) AS sessions, count(*) FILTER (WHERE NOT coalesce(later > session_date, true)) AS unsorted, count(*) - count(DISTINCT session_date) AS repeated FROM (SELECT session_date, lead(session_date) OVER (ORDER BY i) AS later FROM s)")
+_LABELED = "CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'P' THEN 'validation' ELSE 'final' END"
+
+
+@query(f"""WITH l AS (SELECT CAST(o_orderdate AS DATE) AS d, {_LABELED} AS phase, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT min(d) FILTER (WHERE phase <> 'train') AS b1, min(d) FILTER (WHERE phase = 'final') AS b2 FROM l)
+    SELECT CAST(d AS VARCHAR) AS session, phase, 'SESSION_REPEATED' AS code FROM l WHERE n > 1 UNION ALL SELECT CAST(d AS VARCHAR), phase, 'PHASES_OVERLAP' FROM (SELECT *, count(*) OVER (PARTITION BY d) AS k FROM l) WHERE k > 1
+    UNION ALL SELECT CAST(d AS VARCHAR), phase, 'OUT_OF_ORDER' FROM l, b WHERE (phase = 'train' AND d > b1) OR (phase = 'validation' AND d > b2)""")
 def k19_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = metrics.chronological_split(t.ticks(spark, sf_dir))
-    phase = F.when(F.col("phase") == "train", 0).when(F.col("phase") == "validation", 1).otherwise(2)
-    later = F.lag(phase).over(Window.orderBy("session_date"))  # one row a session
-    rows = split.select("session_date", (later > phase).alias("bad"))
-    return rows.agg(F.count("*").alias("sessions"), F.count_if("bad").alias("unsorted"), (F.count("*") - F.countDistinct("session_date")).alias("repeated"))
+    """Order dates as a table of labels, by the orders' status: it repeats sessions, and its phases run into each other."""
+    labels = t.read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("session_date"), F.expr(_LABELED).alias("phase"))
+    return robustness.label_faults(labels).select(F.col("session_date").cast("string").alias("session"), "phase", "code")
 
 
 @query(f"""SELECT 'bars' AS artifact, count(*) AS rows, CAST(NULL AS VARCHAR) AS parent FROM ({t.bars_sql()}) UNION ALL SELECT 'sessions', count(DISTINCT (symbol, session_date)), 'bars' FROM ({t.bars_sql()}) UNION ALL SELECT 'ticks', count(*), NULL FROM events""")

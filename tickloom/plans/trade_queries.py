@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import gates, metrics, trades
+from tickloom.operators import gates, metrics, nulls, trades
 from tickloom.plans import tables as t
 from tickloom.plans.bar_queries import RULES, SIGNALS, rounded
 from tickloom.plans.registry import query
@@ -264,10 +264,13 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT *, count(*) FILTER (WHERE entered) OVER (PARTITION BY session_date) AS marks FROM ({_OPP})),
-    r AS (SELECT rep, profit, row_number() OVER (PARTITION BY session_date, rep ORDER BY md5(rep || '|' || opportunity_id), opportunity_id) <= marks AS shuffled FROM o, range({REPS}) t(rep))
+    r AS (SELECT rep, profit, row_number() OVER (PARTITION BY session_date, rep ORDER BY draw, opportunity_id) <= marks AS shuffled FROM (SELECT *, {nulls.draw_sql("opportunity_id", "rep", 0)} AS draw FROM o, range({REPS}) t(rep)))
     SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(profit) AS BIGINT) AS profit FROM r WHERE shuffled GROUP BY rep""")
 def k9_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.permuted(opportunities(spark, sf_dir), REPS).where("shuffled").groupBy("rep").agg(F.sum("profit").alias("profit"))
+    """The profit of each dealing of a session's marks among all its opportunities."""
+    at = F.lit(0)
+    rows = opportunities(spark, sf_dir).withColumns({"strategy_id": F.lit("all"), "symbol": F.lit("all"), "signal_s": at, "entry_s": at, "exit_s": at})
+    return nulls.profits(rows, REPS).where(F.col("method") == nulls.PERMUTED).select("rep", "profit")
 
 
 @query(f"""WITH p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY opportunity_id) - 1 AS pos, count(*) OVER (PARTITION BY session_date) AS n FROM ({_OPP})),
