@@ -328,10 +328,35 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tenths: int = 8, id_
     A passage has min_words words or more, and its five-word shingles have a Jaccard similarity of tenths/10 or more with those of the
     other passage. Words are lower-cased and split at white space. Exact repeats always share their signatures; of near repeats at the
     threshold a few are missed, as their min-hashes may differ. A document is linked to the first document of a group of repeats that it matches; one that does not match the first is compared with the other members. Null and shorter
-    texts and null ids hold no passage; rows with equal ids count as one document; an empty table gives no rows; other columns are not read.
+    texts hold no passage; rows with equal id and text count as one document, unlike texts that share an id, or have none, as several; of two
+    documents the one of the smaller id (null first) is the earlier; an empty table gives no rows; other columns are not read.
     """
-    least = min_words - SHINGLE + 1
-    texts = keyed_texts(docs, id_col, text_col).where(F.col("id").isNotNull())
+    texts, names = documents(docs, id_col, text_col)
+    out = _repeated(texts, min_words - SHINGLE + 1, tenths)
+    if names is not None:  # back from keys to ids; the later document comes first
+        for side in ("id", "other_id"):
+            own = names.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.lit(True).alias("_named"))
+            out = out.join(own, F.col(side) == F.col("_key"), "left").withColumn(side, F.when(F.col("_named"), F.col("_id")).otherwise(F.col(side))).drop("_key", "_id", "_named")
+        here, there = F.struct("id", "start", "end"), F.struct(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))
+        out = out.select(F.greatest(here, there).alias("a"), F.least(here, there).alias("b"), "similarity")
+        out = out.select("a.*", F.col("b.id").alias("other_id"), F.col("b.start").alias("other_start"), F.col("b.end").alias("other_end"), "similarity")
+    return out.distinct().withColumnsRenamed({"id": id_col, "other_id": f"other_{id_col}"})
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) under ids that name one text each, and (key, id) of those documents, if there are any, that took a key of their own: a hash
+    of id and text for null ids and for ids with unlike texts."""
+    rows = keyed_texts(docs, id_col, text_col)
+    h = F.xxhash64("text")
+    odd = stored(rows.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("id IS NULL OR a <> b").select(F.col("id").alias("odd"), F.lit(True).alias("is_odd")), "odd")
+    if odd.isEmpty():
+        return rows, None
+    rows = rows.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left").withColumn("key", F.when(F.col("is_odd"), F.xxhash64("id", "text", F.lit("passage"))).otherwise(F.col("id")))
+    return rows.select(F.col("key").alias("id"), "text"), stored(rows.where("is_odd").select("key", "id").distinct(), "names")
+
+
+def _repeated(texts: DataFrame, least: int, tenths: int) -> DataFrame:
+    """PASSAGES of (id, text)."""
     found = stored(windows(texts, least), "windows")
     shared = stored(found.groupBy("sig").agg(F.min(F.struct("id", "span")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("sig", F.col("f.id").alias("other"), F.col("f.span").alias("other_span")), "shared")
     met = stored(found.join(shared, "sig").where("id <> other").select("sig", "id", "span", "other", "other_span"), "met")
@@ -342,5 +367,5 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tenths: int = 8, id_
         if not rest.isEmpty():
             out = settled(found, rest, texts, out, least, tenths)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], PASSAGES)
-    return out.distinct().withColumnsRenamed({"id": id_col, "other_id": f"other_{id_col}"})
+        out = texts.sparkSession.createDataFrame([], PASSAGES)
+    return out
