@@ -133,3 +133,29 @@ def test_resumed_replay(spark, tmp_path):
     faults = lambda path: sorted((r.entity, r.field) for r in snapshots.state_faults(snapshots.resumed(spark, path, log, "day", **how), clean).collect())
     assert faults(good) == [] and faults(none) == [] and faults(forged) == [("1", "events")]
     assert evidence.difference(snapshots.resumed(spark, good, log, "day", **how), clean).count() == 0
+
+
+def test_contracts(spark):
+    from tickloom.operators import contracts
+
+    found = lambda rows, contract, key="k": sorted((r[key], r.check) for r in contracts.faults(rows, contract, key).collect())
+    orders = spark.createDataFrame([(1, 5, 5, 9.0, 1, 2), (2, 5, 6, None, 3, 2), (3, 5, 0, None, 1, 1), (4, None, 1, 1.0, 1, 1)], "k int, quantity int, filled int, average_price double, submitted_at int, updated_at int")
+    assert found(orders, "broker_order") == [(2, "filled_within_quantity"), (2, "price_when_filled"), (2, "updated_after_submitted"), (4, "filled_within_quantity")]
+    points = spark.createDataFrame([(1, 1.0, 0.0), (2, float("inf"), 1.0), (3, None, -1.0)], "k int, equity double, gross_exposure double")
+    assert found(points, "equity_point") == [(2, "finite_equity"), (3, "exposure_not_negative"), (3, "finite_equity")]
+    scores = [("a", m, r, float(r), 1, 0) for m in ("x", "y") for r in range(4)] + [("a", "OBSERVED", 0, 2.0, 1, -1), ("b", "x", 0, 1.0, 1, 0), ("b", "OBSERVED", 0, 9.0, 1, 0)]
+    own = contracts.null_evidence(spark.createDataFrame(scores, "strategy_id string, method string, rep int, profit double, accepted int, rejected int"))
+    assert {(r.strategy_id, r.methods, r.threshold, r.passed) for r in own.collect()} == {("a", 2, 3.0, False), ("b", 1, 1.0, True)}
+    assert found(own, "null_evidence", "strategy_id") == [("a", "counts_not_negative"), ("b", "two_methods")]
+    assert found(own.withColumn("passed", ~F.col("passed")).where("strategy_id = 'a'"), "null_evidence", "strategy_id") == [("a", "counts_not_negative"), ("a", "verdict_agrees")]
+    days = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "strategy_id string, session_date int")
+    trades = spark.createDataFrame([("a", "t", 1), ("a", "t", 2), ("a", "u", 3), ("z", "t", 1)], "strategy_id string, trade_id string, session_date int")
+    assert {(r.strategy_id, r.check, r.n) for r in contracts.forward_faults(days, trades).collect()} == {("a", "DUPLICATE_DAY", 1), ("a", "DUPLICATE_TRADE", 1), ("a", "OUTSIDE_COMPLETED_DAYS", 1), ("z", "OTHER_STRATEGY", 1)}
+
+
+def test_ranks_in_parts_equal_one_order(spark):
+    rows = [(i, None if i % 50 == 0 else float(i * 7919 % 97)) for i in range(2000)]
+    got = {r.k: r["rank"] for r in gates.ranked(spark.createDataFrame(rows, "k int, score double"), "score", "k", 20).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {k: i for i, (k, _) in enumerate(order, 1)}
+    assert gates.ranked(spark.createDataFrame([], "k int, score double"), "score", "k").count() == 0

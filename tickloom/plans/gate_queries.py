@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import evidence, gates, robustness
+from tickloom.operators import contracts, evidence, gates, robustness
 from tickloom.plans import tables as t
-from tickloom.plans.registry import query
+from tickloom.plans.registry import query, sql_of
 
 _FORWARD = """SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY closed_trades DESC, strategy_id) <= 7 AS capacity_available FROM (
     SELECT event_type || '-' || (user_id % 10) AS strategy_id, event_type AS cohort, count(DISTINCT CAST(ts AS DATE)) AS completed_days, count(*) AS closed_trades, count(*) FILTER (WHERE event_id % 97 = 0 AND user_id % 3 = 0) AS unresolved_reconciliations,
@@ -49,6 +49,20 @@ def l6_gate_then_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate_then_rank(forward_evidence(spark, sf_dir), _GATED, {"traded": 0.7, "unresolved_reconciliations": 0.3}, frozenset(("unresolved_reconciliations",)), "cohort", "strategy_id")
 
 
+_NUMBER = lambda c: f"printf('%.9f', {c}::DOUBLE)"
+
+
+@query(f"""SELECT sha256('promotion|' || r.cohort || '|' || r.strategy_id || '|' || rank) AS event_id, r.cohort, r.strategy_id, rank, 'paper_observing' AS from_state, 'paper_active' AS to_state, 'RANKED_WITHIN_CAPACITY' AS reason_code,
+    '{{"score":"' || {_NUMBER('score')} || '","traded":"' || {_NUMBER('traded')} || '","unresolved_reconciliations":"' || {_NUMBER('unresolved_reconciliations')} || '"}}' AS refs
+    FROM ({sql_of("l6_gate_then_rank")}) r JOIN ({_FORWARD}) f ON f.strategy_id = r.strategy_id WHERE rank <= 2 AND f.lifecycle_state = 'paper_observing'""")
+def j26_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion events of the first two of each cohort, with their scores as references."""
+    forward = forward_evidence(spark, sf_dir)
+    ranked = gates.gate_then_rank(forward, _GATED, {"traded": 0.7, "unresolved_reconciliations": 0.3}, frozenset(("unresolved_reconciliations",)), "cohort", "strategy_id")
+    rows = ranked.join(forward.select("strategy_id", "traded", "unresolved_reconciliations", F.col("lifecycle_state").alias("state")), "strategy_id")
+    return contracts.promotion_events(rows, 2, ["traded", "unresolved_reconciliations"])
+
+
 # What an entry's context is in an order: expressions that Spark and DuckDB read alike.
 _CONTEXT = """o_orderkey, o_orderkey % 53 <> 0 AS symbol_allowed, CAST(o_orderkey % 430 AS INT) AS minute, 5 AS open_minute, 420 AS close_minute, 15 AS closeout_minutes, CAST(o_orderkey % 71 AS INT) - 1 AS feed_age, 68 AS max_feed_age,
     CAST(o_custkey % 41 AS INT) - 1 AS clock_age, 38 AS max_clock_age, CASE WHEN o_orderkey % 31 = 0 THEN 'blocked' ELSE 'clean' END AS reconciliation_status, o_custkey % 37 = 0 AS storage_circuit_open, CAST(o_custkey % 29 AS INT) - 25 AS account_positions,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import gates, metrics, nulls, robustness, rules, trades
+from tickloom.operators import contracts, gates, metrics, nulls, robustness, rules, trades
 from tickloom.plans import tables as t
 from tickloom.plans.bar_queries import RULES
 from tickloom.plans.null_queries import scores_sql
@@ -164,3 +164,33 @@ def k14_null_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("method") == nulls.OBSERVED
     limits = metrics.nearest_rank(scores.where(~seen), "profit", 0.95, "strategy_id", "method")
     return scores.where(seen).select("strategy_id", "profit").join(limits, "strategy_id").withColumn("passed", F.col("profit") > F.col("threshold"))
+
+
+_INPUTS = """SELECT v.strategy_id, v.base_return AS validation_return, f.base_return AS final_return, v.profit_factor AS validation_profit_factor, f.profit_factor AS final_profit_factor, v.max_drawdown AS validation_drawdown, f.max_drawdown AS final_drawdown, 1 AS copies
+    FROM p v LEFT JOIN p f ON f.strategy_id = v.strategy_id AND f.phase = 'final' WHERE v.phase = 'validation'"""
+
+
+def _broken(source: str, contract: str) -> str:
+    return " UNION ALL ".join(f"SELECT strategy_id, '{name}' AS \"check\" FROM ({source}) WHERE NOT coalesce({rule}, false)" for name, rule in contracts.CONTRACTS[contract].items())
+
+
+@query(f"{_BASE} {_broken(_INPUTS, 'ranking_input')}")
+def v14_ranking_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps each variant from the ranking, by its validation and final results."""
+    results = _parts(spark, sf_dir)[3]
+    names = ("base_return", "profit_factor", "max_drawdown")
+    side = lambda phase: results.where(F.col("phase") == phase).select("strategy_id", *[F.col(c).alias(f"{phase}_{c.removeprefix('base_').removeprefix('max_')}") for c in names])
+    return contracts.faults(contracts.ranking_inputs(side("validation").join(side("final"), "strategy_id", "left"), "strategy_id"), "ranking_input", "strategy_id")
+
+
+_EVIDENCED = f"""WITH x AS MATERIALIZED ({_NULL}), m AS (SELECT strategy_id, method, count(*) AS n, quantile_disc(profit, 0.95) AS h FROM x WHERE method <> '{nulls.OBSERVED}' GROUP BY ALL)
+    SELECT o.strategy_id, o.profit, count(DISTINCT m.method) AS methods, min(n) AS shortest, max(n) AS longest, max(h) AS threshold, bool_and(o.profit > h) AS passed, (SELECT count(*) FILTER (WHERE accepted < 0 OR rejected < 0) FROM x WHERE x.strategy_id = o.strategy_id) AS negative
+    FROM (SELECT strategy_id, profit FROM x WHERE method = '{nulls.OBSERVED}') o JOIN m ON m.strategy_id = o.strategy_id GROUP BY ALL"""
+
+
+@query(_EVIDENCED)
+def v6_null_test_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null tests' evidence of each candidate, as its contract reads it; a test shows that the contract finds what is wrong."""
+    rows, _, labels, _ = _parts(spark, sf_dir)
+    own = rows.where("strategy_id NOT LIKE '%~%'").join(labels.where("phase <> 'final'").select("session_date"), "session_date", "left_semi")
+    return contracts.null_evidence(nulls.null_scores(own, REPS, COOLDOWN, MOST, OPEN))

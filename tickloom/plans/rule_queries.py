@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import evidence, metrics, robustness, rules, trades
+from tickloom.operators.contracts import CONTRACTS
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.trade_queries import CASH
@@ -22,7 +23,7 @@ def broken(rows: DataFrame, rules: dict[str, str], key: str) -> DataFrame:
 
 # Orders as intents: a price only where the priority asks for one; a line is a fill.
 _INTENTS = """o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'market' ELSE 'limit' END AS order_type, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS limit_price, o_orderkey % 9 + 1 AS requested, o_orderkey % 10 AS filled, o_orderstatus"""
-INTENT_RULES = {"limit_price_iff_limit": "(order_type = 'limit') = (limit_price IS NOT NULL)", "filled_within_requested": "filled <= requested"}
+INTENT_RULES = CONTRACTS["order_intent"]
 
 
 @query(broken_sql(f"SELECT {_INTENTS} FROM orders", INTENT_RULES, "o_orderkey"))
@@ -59,7 +60,7 @@ def v6_null_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNS = "o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'clean' WHEN 'P' THEN 'recoverable' ELSE 'blocked' END AS status, o_orderkey % 5 <> 0 AND o_orderstatus = 'F' OR o_orderkey % 41 = 0 AS entries_allowed, o_orderkey % 43 <> 0 AS exits_allowed"
-PERMISSION_RULES = {"entries_only_when_clean": "NOT entries_allowed OR status = 'clean'", "exits_always": "exits_allowed"}
+PERMISSION_RULES = CONTRACTS["permissions"]
 
 
 @query(broken_sql(f"SELECT {_RUNS} FROM orders", PERMISSION_RULES, "o_orderkey"))
@@ -76,26 +77,29 @@ def v8_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(keys.select(F.concat_ws("|", "symbol", F.col("session_date").cast("string")).alias("group_key"), "symbol", (~F.dayofweek("session_date").isin(1, 7)).alias("expected")), KEY_RULES, "group_key")
 
 
-RESULT_RULES = {"succeeded_has_three": "status <> 'F' OR files >= 3", "failed_has_none": "status <> 'P' OR files = 0"}
+RESULT_RULES = CONTRACTS["result_files"]
+_RESULT = "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'failed' ELSE 'running' END"
 
 
-@query(broken_sql("SELECT o_orderkey, o_orderstatus AS status, coalesce(n, 0) AS files FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", RESULT_RULES, "o_orderkey"))
+@query(broken_sql(f"SELECT o_orderkey, {_RESULT} AS status, coalesce(n, 0) AS files FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", RESULT_RULES, "o_orderkey"))
 def v9_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = t.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rows = t.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")).join(files, "o_orderkey", "left")
+    rows = t.read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RESULT).alias("status")).join(files, "o_orderkey", "left")
     return broken(rows.select("o_orderkey", "status", F.coalesce("n", F.lit(0)).alias("files")), RESULT_RULES, "o_orderkey")
 
 
-TRADE_RULES = {"positive_quantity": "l_quantity > 0", "positive_price": "l_extendedprice > 0", "exit_after_entry": "l_shipdate >= o_orderdate", "cost_not_negative": "l_tax >= 0", "price_moves": "l_discount > 0"}
+TRADE_RULES = CONTRACTS["trade"]
+_TRADE = "l_orderkey, l_quantity AS quantity, l_extendedprice / l_quantity AS entry_price, l_extendedprice * (1 - l_discount) / l_quantity AS exit_price, o_orderdate AS entry_time, l_shipdate AS exit_time, l_tax * l_extendedprice AS cost_paid, l_discount * l_extendedprice / CASE WHEN l_discount > 0 THEN 1 END AS net_pnl"
 
 
-@query("SELECT \"check\", count(*) AS trades FROM (" + broken_sql("SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey", TRADE_RULES, "l_orderkey") + ") GROUP BY 1")
+@query("SELECT \"check\", count(*) AS trades FROM (" + broken_sql(f"SELECT {_TRADE} FROM lineitem JOIN orders ON l_orderkey = o_orderkey", TRADE_RULES, "l_orderkey") + ") GROUP BY 1")
 def v10_trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as trades; one without a discount has no profit that could be told."""
     rows = t.read(spark, sf_dir, "lineitem").join(t.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return broken(rows, TRADE_RULES, "l_orderkey").groupBy("check").agg(F.count("*").alias("trades"))
+    return broken(rows.selectExpr(*_split(_TRADE)), TRADE_RULES, "l_orderkey").groupBy("check").agg(F.count("*").alias("trades"))
 
 
-RANGE_RULES = {"min_before_max": "first_ts <= last_ts", "whole_day": "last_ts >= first_ts + INTERVAL 1 HOUR"}
+RANGE_RULES = CONTRACTS["range"] | {"whole_day": "last_ts >= first_ts + INTERVAL 1 HOUR"}
 
 
 @query(broken_sql("SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id, CAST(ts AS DATE)", RANGE_RULES, "user_id"))
