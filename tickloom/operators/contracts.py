@@ -26,7 +26,7 @@ CONTRACTS = {
     "equity_point": {"finite_equity": FINITE.format("equity"), "exposure_not_negative": "gross_exposure >= 0"},
     # first_ts, last_ts
     "range": {"min_before_max": "first_ts <= last_ts"},
-    # from_state, to_state, refs (a map)
+    # from_state, to_state, refs (how many there are)
     "registry_event": {"state_changes": "from_state IS NULL OR from_state <> to_state", "has_refs": "refs > 0"},
     # net returns, profit factors and drawdowns of validation and final phase, copies (rows of the id)
     "ranking_input": {"positive_returns": "validation_return > 0 AND final_return > 0", "profit_factor_at_least_one": "validation_profit_factor >= 1 AND final_profit_factor >= 1", "bounded_drawdown": "validation_drawdown BETWEEN 0 AND 0.08 AND final_drawdown BETWEEN 0 AND 0.08", "unique": "copies = 1"},
