@@ -57,6 +57,17 @@ def test_states_do_not_depend_on_the_runs(spark):
     assert not one.where("symbol = 'late' AND event = 'session_end'").count()
 
 
+def test_states_do_not_depend_on_the_buckets(spark):
+    rows = [("s", f"u{u}", "1970-01-02", 86_400 + 10 * u + 700 * i, i, kind) for u in range(40) for i, kind in enumerate(["enter", "fill", "exit", "fill", "enter", "fill"])]
+    frame = spark.createDataFrame([*rows, ("s", "late", "1970-01-04", 4 * 86_400 - 1, 0, "enter")], "strategy_id string, symbol string, session string, t long, n int, event string").withColumn("ts", F.timestamp_seconds("t"))
+    run = lambda buckets: sorted(map(tuple, stream_queries._runs(spark, [frame.where("t < 88600"), frame.where("t >= 88600")], lambda s: sessions.strategy_states(s, 600, 2, buckets=buckets)).collect()))
+    one = run(1)
+    assert one == run(7)
+    ends = [r for r in one if r[4] == "session_end"]  # each symbol of a bucket has its own
+    assert len(ends) == 40 and {(r[3], r[6], r[8]) for r in ends} == {(2 * 86_400, "LONG", 2)}
+    assert len([r for r in one if r[4] == "cooldown_elapsed"]) == 40
+
+
 def test_checked_sink(spark, tmp_path):
     schema = "k long, day string, v string"
     where = str(tmp_path / "sink")

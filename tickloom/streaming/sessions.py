@@ -27,10 +27,13 @@ TRANSITIONS = "strategy_id string, symbol string, session string, t long, event
 
 
 class StrategyState(StatefulProcessor):
-    """A strategy's phase, entries and cooldown in one symbol and session; every event gives a transition that is accepted or refused.
+    """A strategy's phase, entries and cooldown in each symbol of a session; every event gives a transition that is accepted or refused.
 
     An exit's fill starts a cooldown, which ends when an event of the session comes at its end or later, or when the watermark passes it: both
     give the same row, at the cooldown's end. When the watermark passes the session's end, an open session closes, and its state goes.
+
+    A key is a bucket of a session's symbols: a call of the state costs far more than an event, so one call serves all symbols of a bucket. The
+    bucket has one timer, at the first time at which something of one of its symbols ends.
     """
 
     def __init__(self, cooldown_s: int, most_entries: int, session_s: int = 86_400):
@@ -38,22 +41,54 @@ class StrategyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "phase string, entries int, until long, ends long")
+        self.state = handle.getValueState("state", "timer long, symbol array<string>, phase array<string>, entries array<int>, until array<long>, ends array<long>")
+
+    def _read(self) -> tuple[int, dict]:
+        """The bucket's timer, and of each symbol its phase, entries, cooldown's end and session's end."""
+        if not self.state.exists():
+            return 0, {}
+        timer, symbols, *columns = self.state.get()
+        return timer, {symbol: list(own) for symbol, *own in zip(symbols, *columns, strict=True)}
+
+    def _write(self, timer: int, known: dict) -> None:
+        if not known:
+            self.state.clear()
+            return
+        due = min(self._due(*own) for own in known.values()) * 1000
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((due, list(known), *(list(c) for c in zip(*known.values(), strict=True))))
+
+    @staticmethod
+    def _due(phase: str, _: int, until: int, ends: int) -> int:
+        return min(until, ends) if phase == COOLDOWN else ends
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = sorted(x for part in rows for x in part[["t", "n", "event"]].itertuples(index=False, name=None))
-        phase, entries, until, ends = self.state.get() if self.state.exists() else (FLAT, 0, 0, 0)
+        events: dict = {}
+        for part in rows:
+            for symbol, *event in part[["symbol", "t", "n", "event"]].itertuples(index=False, name=None):
+                events.setdefault(symbol, []).append(tuple(event))
+        timer, known = self._read()
         out = []
+        for symbol, own in events.items():
+            known[symbol] = self._moved((key[0], symbol, key[1]), sorted(own), known.get(symbol), out)
+        self._write(timer, known)
+        yield self._frame(out)
+
+    def _moved(self, names: tuple, events: list[tuple], before: list | None, out: list) -> list:
+        """A symbol's state after its events; their transitions go to out."""
+        phase, entries, until, ends = before or (FLAT, 0, 0, 0)
 
         def moved(t: int, event: str, to: str | None) -> None:
             nonlocal phase
-            out.append((*key, t, event, "refused" if to is None else "accepted", phase, phase if to is None else to, entries))
+            out.append((*names, t, event, "refused" if to is None else "accepted", phase, phase if to is None else to, entries))
             phase = phase if to is None else to
 
         for t, _, event in events:
             if not ends:
                 ends = t - t % self.session_s + self.session_s
-                self.handle.registerTimer(ends * 1000)
             if phase == COOLDOWN and t >= until:
                 moved(until, "cooldown_elapsed", FLAT)
             to = MOVES.get(event, {}).get(phase)
@@ -63,34 +98,37 @@ class StrategyState(StatefulProcessor):
                 entries += 1
             if to == COOLDOWN:
                 until = t + self.cooldown_s
-                self.handle.registerTimer(until * 1000)
             moved(t, event, to)
-        self.state.update((phase, entries, until, ends))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
+        return [phase, entries, until, ends]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if self.state.exists():
-            phase, entries, until, ends = self.state.get()
-            if phase == COOLDOWN and until <= at:
-                out.append((*key, until, "cooldown_elapsed", "accepted", phase, FLAT, entries))
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        timer, known = self._read()
+        out, left = [], {}
+        for symbol, (phase, entries, until, ends) in known.items():
+            if phase == COOLDOWN and until <= ends and until * 1000 <= at:
+                out.append((key[0], symbol, key[1], until, "cooldown_elapsed", "accepted", phase, FLAT, entries))
                 phase = FLAT
-                self.state.update((phase, entries, until, ends))
-            if at >= ends:
-                if phase != CLOSED:
-                    out.append((*key, ends, "session_end", "accepted", phase, CLOSED, entries))
-                self.state.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
+            if ends * 1000 > at:
+                left[symbol] = [phase, entries, until, ends]
+            elif phase != CLOSED:
+                out.append((key[0], symbol, key[1], ends, "session_end", "accepted", phase, CLOSED, entries))
+        self._write(0 if timer == expiredTimerInfo.getExpiryTimeInMs() else timer, left)
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def strategy_states(events: DataFrame, cooldown_s: int, most_entries: int, late: str = "0 seconds") -> DataFrame:
+def strategy_states(events: DataFrame, cooldown_s: int, most_entries: int, late: str = "0 seconds", buckets: int = 256) -> DataFrame:
     """Transitions of a stream of events: strategy_id, symbol, session (text), ts, t (seconds), n (breaks ties of t), event (a key of MOVES;
-    any other is refused). Events of one key count in the order of (t, n) within a batch; a batch must not hold events before an earlier one's."""
-    keyed = events.withWatermark("ts", late).groupBy("strategy_id", "symbol", "session")
+    any other is refused). Events of one symbol and session count in the order of (t, n) within a batch; a batch must not hold events before an
+    earlier one's. The symbols of a session are dealt into buckets, each with one state; the result does not depend on their number."""
+    keyed = events.withWatermark("ts", late).withColumn("bucket", bucket(["symbol"], buckets)).groupBy("strategy_id", "session", "bucket")
     return keyed.transformWithStateInPandas(statefulProcessor=StrategyState(cooldown_s, most_entries), outputStructType=TRANSITIONS, outputMode="append", timeMode="eventTime")
 
 
