@@ -127,3 +127,10 @@ def test_touches_and_exits_equal_loops(spark):
                 want = (b[2], reason, b[5])
                 break
         assert found.get(k) == want
+
+
+def test_opportunities_read_no_rest_of_a_session_for_each_tick(spark):
+    from tickloom.plans import null_queries
+
+    plan = null_queries.opportunities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "specifiedwindowframe(rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan

@@ -21,9 +21,9 @@ _OPPORTUNITIES = f"""SELECT 'momentum' AS strategy_id, symbol, session_date, eve
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol", "session_date").orderBy("signal_s", "event_id")
-    rest = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one that begins at the current row is read anew for each row
     ticks = t.ticks(spark, sf_dir).select("symbol", "session_date", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("signal_s"), "price")
-    later = lambda c: F.coalesce(F.lead(c, HOLD).over(w), F.last(c).over(rest))
+    later = lambda c: F.coalesce(F.lead(c, HOLD).over(w), F.last(c).over(whole))
     rows = ticks.select(
         F.lit("momentum").alias("strategy_id"), "symbol", "session_date", F.col("event_id").alias("opportunity_id"), "signal_s", F.lead("signal_s").over(w).alias("entry_s"), later("signal_s").alias("exit_s"),
         F.coalesce(F.col("price") > F.lag("price").over(w), F.lit(False)).alias("entered"), F.round((later("price") - F.lead("price").over(w)) * 100).cast("long").alias("profit"),
