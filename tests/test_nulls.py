@@ -134,3 +134,20 @@ def test_opportunities_read_no_rest_of_a_session_for_each_tick(spark):
 
     plan = null_queries.opportunities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "specifiedwindowframe(rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_entries_met_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, many = 21, 1500
+    marks = rng.random((many, n)) < 0.3
+    entries = np.sort(rng.integers(0, 40_000, many)).tolist()
+    rows = [("ABC"[i % 3], e, e + int(rng.integers(0, 90)), int(rng.integers(-50, 50))) for i, e in enumerate(entries)]
+    one, all_ = nulls.Scores(n, 60, 9, 2), nulls.Scores(n, 60, 9, 2)
+    for row, marked in zip(rows, marks, strict=True):
+        one.meet(*row, marked)
+    met, meet = [], nulls.Scores.meet
+    monkeypatch.setattr(nulls.Scores, "meet", lambda self, *a: (met.append(1), meet(self, *a)))
+    all_.meet_all(*map(list, zip(*rows, strict=True)), [x.tobytes() for x in np.packbits(marks, axis=1)])
+    for name in ("profit", "accepted", "rejected"):
+        assert (getattr(one, name) == getattr(all_, name)).all()
+    assert len(met) <= nulls.STEP  # all repetitions are full after that

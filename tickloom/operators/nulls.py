@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ ROUNDS = (1_013_904_223, 1_664_525, 22_695_477, 1_103_515_245)
 #: Draws made together.
 CELLS = 2_000_000
 NEVER = -(2**62)
+#: Entries whose bits are unpacked together.
+STEP = 512
 
 
 def draws(ids: np.ndarray, repetitions: np.ndarray, seed: int) -> np.ndarray:
@@ -140,6 +143,18 @@ class Scores:
         self.last: dict[str, np.ndarray] = {}
         self.n, self.profit, self.accepted, self.rejected = n, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
 
+    def meet_all(self, symbols: list[str], entries: list[int], exits: list[int], profits: list[int], masks: list[bytes]) -> None:
+        """Meet entries in order. Repetitions that have all their entries reject what comes, counted for many entries at once."""
+        for begin in range(0, len(masks), STEP):
+            packed = np.frombuffer(b"".join(masks[begin : begin + STEP]), np.uint8).reshape(-1, len(masks[begin]))
+            marked = np.unpackbits(packed, axis=1, count=self.n).view(bool)
+            full = self.accepted >= self.most
+            if full.any():
+                self.rejected[full] += marked[:, full].sum(axis=0)
+                marked[:, full] = False
+            for i in np.flatnonzero(marked.any(axis=1)).tolist():
+                self.meet(symbols[begin + i], entries[begin + i], exits[begin + i], profits[begin + i], marked[i])
+
     def meet(self, symbol: str, entry: int, exit_: int, profit: int, marked: np.ndarray) -> None:
         last = self.last.get(symbol)
         if last is None:
@@ -177,14 +192,16 @@ def null_scores(opportunities: DataFrame, repetitions: int = 200, cooldown: int
             return pa.RecordBatch.from_arrays([pa.array([strategy] * state.n), pa.array(method), pa.array(number, pa.int32()), pa.array(state.profit), pa.array(state.accepted), pa.array(state.rejected)], ["strategy_id", "method", "rep", "profit", "accepted", "rejected"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("strategy_id", "session_date", "block", "symbol", "entry_s", "exit_s", "profit", "mask")]
-            for *key, symbol, entry, exit_, profit, mask in zip(*columns, strict=True):
+            begin = 0
+            for key, same in groupby(zip(*(batch.column(c).to_pylist() for c in ("strategy_id", "session_date", "block")), strict=True)):
                 if key != own:
                     if own is not None:
                         yield result()
                     n = 2 * (min((key[2] + 1) * size, repetitions) - key[2] * size) + (key[2] == 0)
                     own, state = key, Scores(n, cooldown, most_entries, most_open)
-                state.meet(symbol, entry, exit_, profit, np.unpackbits(np.frombuffer(mask, np.uint8), count=state.n))
+                part = batch.slice(begin, sum(1 for _ in same))
+                begin += part.num_rows
+                state.meet_all(*(part.column(c).to_pylist() for c in ("symbol", "entry_s", "exit_s", "profit", "mask")))
         if own is not None:
             yield result()
 
