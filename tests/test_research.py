@@ -159,3 +159,12 @@ def test_ranks_in_parts_equal_one_order(spark):
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {k: i for i, (k, _) in enumerate(order, 1)}
     assert gates.ranked(spark.createDataFrame([], "k int, score double"), "score", "k").count() == 0
+
+
+def test_documents_are_walked_by_many_tasks_and_no_oftener_than_needed(spark):
+    from tickloom.plans import document_queries
+
+    nodes = document_queries.nodes(spark, "/root/testdata/sf0.001")
+    assert nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = documents.rule_issues(nodes, "p_partkey", document_queries.SYMBOLS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2

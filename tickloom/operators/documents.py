@@ -105,13 +105,6 @@ def rule_issues(nodes: DataFrame, key: str, symbols: tuple[str, ...]) -> DataFra
     maximum; conditions that are too deep, unknown indicators and comparisons, values that are no numbers; too many comparisons in entry
     and exit together. nodes: what walked gives."""
     top = F.col("depth") == 1
-    has = nodes.where("name IS NOT NULL").groupBy(key).agg(F.collect_set(F.when(top, F.col("name"))).alias("own"), F.collect_set(F.when(F.col("path").startswith("risk.") & (F.col("depth") == 2), F.col("name"))).alias("risk"))
-    absent = lambda fields, column, prefix: F.transform(F.array_except(F.array(*map(F.lit, fields)), column), lambda f: F.concat(F.lit(prefix), f))
-    objects = nodes.where("depth = 0 AND kind = 'object'").select(key).join(has, key, "left")
-    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("own", "risk")]
-    missing = objects.select(key, F.explode(F.concat(absent(FIELDS, lists[0], ""), F.when(F.array_contains(lists[0], "risk"), absent(RISK_FIELDS, lists[1], "risk.")).otherwise(F.array().cast("array<string>")))).alias("path"))
-    missing = _issues(missing, key, F.lit("DSL_MISSING_FIELD"))
-
     path, kind, value = F.col("path"), F.col("kind"), F.col("value")
     in_tree = path.rlike(r"^(entry|exit)($|[.\[])")
     leaf_field = F.col("name").isin("indicator", "op", "value") & in_tree
@@ -119,27 +112,35 @@ def rule_issues(nodes: DataFrame, key: str, symbols: tuple[str, ...]) -> DataFra
     number = F.when(kind == "integer", value.cast("long"))
     name = F.col("name")
     risk_max = F.element_at(F.create_map(*[x for k, v in RISK_MAXIMA.items() for x in (F.lit(k), F.lit(v))]), name)
-    in_risk = path.startswith("risk.") & (F.col("depth") == 2) & name.isin(*RISK_MAXIMA)
+    within = path.startswith("risk.") & (F.col("depth") == 2)
+    in_risk = within & name.isin(*RISK_MAXIMA)
     enum = F.lit(None).cast("string")
     for field, allowed in ENUMS.items():
         enum = F.when((path == field) & ~((kind == "string") & value.isin(*allowed)), ENUM_CODES[field]).otherwise(enum)
     entries = name == "max_entries_per_session"
+    symbol = path.startswith("symbols[") & path.rlike(r"^symbols\[\d+\]$")
     found = F.array_compact(
         F.array(
             enum,
-            F.when(top & ~name.isin(*FIELDS), "DSL_UNEXPECTED_FIELD").when(path.startswith("risk.") & (F.col("depth") == 2) & ~name.isin(*RISK_FIELDS), "DSL_UNEXPECTED_FIELD"),
+            F.when(top & ~name.isin(*FIELDS), "DSL_UNEXPECTED_FIELD").when(within & ~name.isin(*RISK_FIELDS), "DSL_UNEXPECTED_FIELD"),
             F.when((path == "strategy_id") & ~((kind == "string") & (value != "")), "DSL_INVALID_STRATEGY_ID"),
             F.when((path == "symbols") & (kind != "array"), "DSL_INVALID_SYMBOLS_CONTAINER").when((path == "symbols") & (F.col("size") == 0), "DSL_EMPTY_SYMBOLS"),
-            F.when(path.rlike(r"^symbols\[\d+\]$") & (kind != "string"), "DSL_INVALID_SYMBOL_TYPE").when(path.rlike(r"^symbols\[\d+\]$") & ~value.isin(*symbols), "DSL_UNSUPPORTED_SYMBOL"),
+            F.when(symbol & (kind != "string"), "DSL_INVALID_SYMBOL_TYPE").when(symbol & ~value.isin(*symbols), "DSL_UNSUPPORTED_SYMBOL"),
             F.when((path == "risk") & (kind != "object"), "DSL_INVALID_RISK"),
             F.when(in_risk & number.isNull(), "DSL_INVALID_RISK_FIELD")
             .when(in_risk & entries & (number <= 0), "DSL_NON_POSITIVE_MAX_ENTRIES").when(in_risk & entries & (number > risk_max), "DSL_MAX_ENTRIES_EXCEEDED")
             .when(in_risk & (number <= 0), "DSL_NON_POSITIVE_RISK_CONTROL").when(in_risk & (number > risk_max), "DSL_RISK_CONTROL_EXCEEDED"),
             F.when(leaf_field & (name == "indicator") & ~((kind == "string") & value.isin(*INDICATORS)), "DSL_UNKNOWN_INDICATOR")
             .when(leaf_field & (name == "op") & ~((kind == "string") & value.isin(*COMPARISONS)), "DSL_UNKNOWN_COMPARISON").when(leaf_field & (name == "value") & ~kind.isin("integer", "number"), "DSL_INVALID_VALUE"),
-            F.when(in_tree & (kind == "object") & (level + 1 > MAX_DEPTH), "DSL_CONDITION_DEPTH_EXCEEDED"),
+            F.when((kind == "object") & in_tree & (level + 1 > MAX_DEPTH), "DSL_CONDITION_DEPTH_EXCEEDED"),
         )
     )
+    some = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    has = [*(some(top & (name == f)).alias(f"_{f}") for f in FIELDS), *(some(within & (name == f)).alias(f"_risk_{f}") for f in RISK_FIELDS)]
+    by = nodes.groupBy(key).agg(*has, F.count_if((F.col("depth") == 0) & (kind == "object")).alias("_objects"), F.count_if(leaf_field & (name == "indicator")).alias("_leaves"))
+    absent = F.array(*(F.when(~F.col(f"_{f}"), f) for f in FIELDS), *(F.when(F.col("_risk") & ~F.col(f"_risk_{f}"), f"risk.{f}") for f in RISK_FIELDS))
+    lost = F.transform(F.flatten(F.array_repeat(F.array_compact(absent), F.col("_objects").cast("int"))), lambda f: F.struct(F.lit("DSL_MISSING_FIELD").alias("code"), f.alias("path")))
+    leaves = F.when(F.col("_leaves") > MAX_LEAVES, F.array(F.struct(F.lit("DSL_CONDITION_LEAF_LIMIT_EXCEEDED").alias("code"), F.lit("entry").alias("path"))))
+    whole = by.select(key, F.explode(F.concat(lost, F.coalesce(leaves, F.array().cast("array<struct<code:string,path:string>>")))).alias("f")).select(key, "f.*")
     own = nodes.select(key, "path", F.explode(found).alias("code")).select(key, "code", "path")
-    leaves = nodes.where(leaf_field & (name == "indicator")).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MAX_LEAVES)
-    return missing.unionByName(own).unionByName(leaves.select(key, F.lit("DSL_CONDITION_LEAF_LIMIT_EXCEEDED").alias("code"), F.lit("entry").alias("path")))
+    return whole.unionByName(own)

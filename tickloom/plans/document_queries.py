@@ -23,7 +23,8 @@ _BAD = f"SELECT p_partkey FROM part WHERE NOT json_valid({_TEXT})"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.read(spark, sf_dir, "part").select("p_partkey", F.expr(_TEXT.replace("\\u", "\\\\u")).alias("doc"))
+    parts = t.spread(t.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_partkey")
+    docs = parts.select("p_partkey", F.expr(_TEXT.replace("\\u", "\\\\u")).alias("doc"))
     return documents.walked(docs, "p_partkey", "doc")
 
 
