@@ -168,3 +168,9 @@ def test_documents_are_walked_by_many_tasks_and_no_oftener_than_needed(spark):
     assert nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = documents.rule_issues(nodes, "p_partkey", document_queries.SYMBOLS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_names_are_made_canonical_once(spark):
+    nodes = spark.createDataFrame([(1, "a", "targetPosition", 1, "string", "x", 0)], "id int, path string, name string, depth int, kind string, value string, size int")
+    plan = documents.forbidden_fields(nodes.repartition(1), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 5

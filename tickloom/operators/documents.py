@@ -79,24 +79,21 @@ def canonical(name: Column) -> Column:
     return F.coalesce(F.element_at(known, F.regexp_replace(F.lower(name), r"[^a-z0-9]", "")), plain)
 
 
-def _issues(rows: DataFrame, key: str, code: Column, path: Column | str = "path") -> DataFrame:
-    return rows.select(key, code.alias("code"), (F.col(path) if isinstance(path, str) else path).alias("path")).where("code IS NOT NULL")
-
-
 def forbidden_fields(nodes: DataFrame, key: str) -> DataFrame:
     """(key, code, path): fields that set limit prices, fields under exit that can raise the exposure, fields named for code or places; too many
     values, too much depth, and texts that are no JSON. Names count in any spelling: targetPosition as target_position."""
-    name = canonical(F.col("name"))
-    words = F.split(name, "_")
+    # canonical names and their words are columns, so they are made once for a field and not in each condition
+    nodes = nodes.select(key, "path", "name", "depth", "kind", canonical(F.col("name")).alias("_name")).select("*", F.split("_name", "_").alias("_words"))
+    name, words = F.col("_name"), F.col("_words")
     both = lambda a, b: F.array_contains(words, a) & F.array_contains(words, b)
     limit = both("limit", "offset") | both("price", "offset") | both("limit", "price")
     inside = F.lower(F.split("path", r"[.\[]")[0]) == "exit"
     code = (
         F.when(F.col("kind") == "invalid", "DSL_INVALID_JSON").when(F.col("kind") == "too_many", "DSL_RAW_PAYLOAD_NODE_BUDGET_EXCEEDED").when(F.col("kind") == "too_deep", "DSL_RAW_PAYLOAD_DEPTH_EXCEEDED")
-        .when(F.col("name").isNull(), None).when(limit, "DSL_UNSUPPORTED_LIMIT_OFFSET").when(inside & (F.col("depth") > 1) & name.isin(*EXPOSURE), "DSL_EXIT_CAN_INCREASE_EXPOSURE")
+        .when(F.col("name").isNull(), None).when(limit, "DSL_UNSUPPORTED_LIMIT_OFFSET").when(name.isin(*EXPOSURE) & (F.col("depth") > 1) & inside, "DSL_EXIT_CAN_INCREASE_EXPOSURE")
         .when(F.arrays_overlap(words, F.array(*map(F.lit, FORBIDDEN))), "DSL_FORBIDDEN_FIELD")
     )
-    return _issues(nodes, key, code)
+    return nodes.select(key, F.explode(F.array_compact(F.array(code))).alias("code"), "path")
 
 
 def rule_issues(nodes: DataFrame, key: str, symbols: tuple[str, ...]) -> DataFrame:
