@@ -174,3 +174,9 @@ def test_names_are_made_canonical_once(spark):
     nodes = spark.createDataFrame([(1, "a", "targetPosition", 1, "string", "x", 0)], "id int, path string, name string, depth int, kind string, value string, size int")
     plan = documents.forbidden_fields(nodes.repartition(1), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 5
+
+
+def test_hypotheses_are_dealt_over_the_tasks(spark):
+    from tickloom.plans import document_queries
+
+    assert document_queries.hypotheses(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -63,7 +63,7 @@ def g7_rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hypothesis for each supplier: nine parameters of ten values each, a thousand million cells."""
-    rows = t.read(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal")).cast("double").alias("b"))
+    rows = t.spread(t.read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey").select("s_suppkey", F.floor(F.abs("s_acctbal")).cast("double").alias("b"))
     step = lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("b") + k * (i + 1))
     ranges = F.create_map(*[x for i in range(9) for x in (F.lit(f"p{i}"), step(i))])
     middle = F.create_map(*[x for i in range(9) for x in (F.lit(f"p{i}"), F.col("b") + 5.0 * (i + 1))])
