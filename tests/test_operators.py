@@ -248,3 +248,14 @@ def test_reconciliation_codes(spark):
     got = {r.account: (r.status, r.codes) for r in evidence.reconciliation_status(local.unionByName(spark.createDataFrame([(9, 9, "Z", "buy", 1, 1, "filled")], orders)), found).collect()}
     assert got == {1: ("recoverable", "LOCAL_ORDER_STATUS_STALE"), 2: ("recoverable", "PENDING_ENTRY_FILLED_AT_BROKER"), 3: ("blocked", "ORDER_IDENTITY_MISMATCH,UNKNOWN_BROKER_ORDER"),
                    4: ("blocked", "BROKER_POSITION_MISSING_LOCALLY,ORDER_STATUS_MISMATCH"), 5: ("blocked", "LOCAL_OPEN_ORDER_MISSING_AT_BROKER,POSITION_QUANTITY_MISMATCH"), 9: ("clean", "")}
+
+
+def test_shifted_profits_in_blocks(spark):
+    from tickloom.operators import metrics
+
+    rows = [(f"d{g}", i * 7919 % 1009, (i * i + g) % 5 == 0, i * 31 % 97 - 40) for g, many in enumerate((1, 2, 14, 15, 50)) for i in range(many)]
+    rows += [("none", i, False, 5) for i in range(9)]
+    opp = spark.createDataFrame(rows, "session_date string, opportunity_id long, entered boolean, profit long")
+    want = sorted(map(tuple, metrics.shifted(opp, 12).groupBy("rep").agg({"profit": "sum"}).collect()))
+    for block in (1, 7, 64):
+        assert sorted(map(tuple, metrics.shifted_profits(opp, 12, block=block).collect())) == want

@@ -277,7 +277,7 @@ def k9_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT session_date, rep, (pos + CAST('0x' || substr(md5('shift|' || rep || '|' || session_date), 1, 8) AS BIGINT) % (n - 1) + 1) % n AS pos FROM p, range({REPS}) t(rep) WHERE n > 1 AND entered)
     SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(profit) AS BIGINT) AS profit FROM p JOIN m USING (session_date, pos) GROUP BY rep""")
 def k10_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.shifted(opportunities(spark, sf_dir), REPS).groupBy("rep").agg(F.sum("profit").alias("profit"))
+    return metrics.shifted_profits(opportunities(spark, sf_dir), REPS)
 
 
 @query("SELECT event_type AS symbol, quantile_disc(value, 0.95) AS threshold FROM events GROUP BY 1")
