@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import hashed_words, keyed_texts, mixed, plain_bytes, stored
+from tickloom.llm.shared import hashed_words, keyed_texts, mixed, plain_bytes, shuffles_freed, stored, tidy
 
 SHINGLE = 5
 #: The hash functions of each band; a passage of the least length at similarity 0.8 agrees on a band with probability 0.64.
@@ -26,6 +26,11 @@ BANDS = ((1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 12))
 BUCKETS = 1 << 18
 #: Characters that are worked on at a time; a longer text is worked on alone.
 STEP = 1_000_000
+#: Bits of a signature by which windows are dealt, and bits that are kept besides.
+DEALT, LOW = 11, 40
+#: Bytes of packed windows that are opened at a time.
+PART = 12_000_000
+GROUPS = "sig long, id long, other long, first int, last int, other_first int, other_last int"
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,28 +106,142 @@ def joint_windows(h: np.ndarray, sizes: np.ndarray, least: int, bands: tuple = B
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def packed(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The buckets that occur, rising, and for each a binary of its rows: a row holds each column's low bytes, as many as the largest entry needs.
+    The other arrays repeat those widths."""
+    order = np.lexsort((columns[0], bucket))
+    widths = [max(1, (int(c.max()).bit_length() + 7) // 8) for c in columns]
+    rows = np.concatenate([np.ascontiguousarray(c[order], "<u8").view(np.uint8).reshape(-1, 8)[:, :w] for c, w in zip(columns, widths, strict=True)], axis=1)
+    used, begin = np.unique(bucket[order], return_index=True)
+    offsets = pa.array(np.append(begin, len(rows)) * rows.shape[1], pa.int32())
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, offsets.buffers()[1], pa.py_buffer(rows.tobytes())])
+    return used, [data, *(pa.array(np.full(len(used), w, np.int32)) for w in widths)]
+
+
+def unpacked(data: pa.Array, widths: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all rows in the binaries of data, which were packed with these widths, and the number of rows in each binary."""
+    sizes = np.array([len(x) for x in data.to_pylist()], np.int64) // sum(widths)
+    rows, out, at = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, sum(widths)), [], 0
+    for w in widths:
+        wide = np.zeros((len(rows), 8), np.uint8)
+        wide[:, :w] = rows[:, at : at + w]
+        out.append(wide.view("<u8").ravel())
+        at += w
+    return out, sizes
+
+
 def windows(docs: DataFrame, least: int, bands: tuple = BANDS) -> DataFrame:
-    """(id, sig, span): every document's joint windows; span holds first and last shingle (first * 2**32 + last)."""
+    """Every document's joint windows, packed by the leading bits of their signature: bucket, base (an id) and rows of signature (LOW bits more), id
+    less base, first shingle, length. Signatures keep LOW and the bucket's bits; those that become equal cost a comparison, no result."""
 
-    def read(batches) -> Iterator[pa.RecordBatch]:
-        def emit(keys, texts):
-            d, sig, first, last = joint_windows(*shingle_hashes(texts), least, bands)
-            ids = pa.array(keys, pa.int64()).take(pa.array(d))
-            return pa.RecordBatch.from_arrays([ids, pa.array(sig.view(np.int64)), pa.array(first << 32 | last)], ["id", "sig", "span"])
+    def send(held: list) -> pa.RecordBatch:
+        ids, sig, first, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        base = ids.min()
+        used, columns = packed(sig >> np.uint64(64 - DEALT), [sig << np.uint64(DEALT) >> np.uint64(64 - LOW), ids.view(np.uint64) - base.view(np.uint64), first.view(np.uint64), size.view(np.uint64)])
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), base)), *columns], ["bucket", "base", "data", "w0", "w1", "w2", "w3"])
 
+    def chunks(batches) -> Iterator[tuple[list, list]]:
         for batch in batches:
-            keys, texts, held = [], [], 0
+            keys, texts, size = [], [], 0
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 keys.append(key.as_py())
                 texts.append(text.as_py())
-                held += len(texts[-1])
-                if held >= STEP:
-                    yield emit(keys, texts)
-                    keys, texts, held = [], [], 0
+                size += len(texts[-1])
+                if size >= STEP:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
             if keys:
-                yield emit(keys, texts)
+                yield keys, texts
 
-    return docs.mapInArrow(read, "id long, sig long, span long")
+    def read(batches) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for keys, texts in chunks(batches):
+            d, sig, first, last = joint_windows(*shingle_hashes(texts), least, bands)
+            if len(d):
+                held.append((np.array(keys, np.int64)[d], sig, first, last - first))
+                n += len(d)
+            if n >= STEP // 2:
+                yield send(held)
+                held, n = [], 0
+        if held:
+            yield send(held)
+
+    return docs.mapInArrow(read, "bucket int, base long, data binary, w0 int, w1 int, w2 int, w3 int")
+
+
+def opened(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(signature, id, span) of the windows in packed rows; span holds first and last shingle (first * 2**32 + last)."""
+    out = []
+    for batch in batches:
+        widths = np.stack([batch.column(i).to_numpy() for i in range(3, 7)], axis=1)
+        for w in np.unique(widths, axis=0):
+            some = batch.filter(pa.array((widths == w).all(axis=1)))
+            (low, ids, first, size), n = unpacked(some.column(2), w.tolist())
+            bucket, base = (np.repeat(some.column(i).to_numpy().astype(np.int64), n) for i in (0, 1))
+            out.append((bucket << LOW | low.view(np.int64), (ids + base.view(np.uint64)).view(np.int64), (first << np.uint64(32) | first + size).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def firsts(sig: np.ndarray, id_: np.ndarray, span: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, first id, its first span, last id) of each signature."""
+    order = np.lexsort((span, id_, sig))
+    sig, id_, span, last = sig[order], id_[order], span[order], last[order]
+    begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    return sig[begin], id_[begin], span[begin], np.maximum.reduceat(last, begin)
+
+
+def group_rows(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """GROUPS of the windows in packed rows of whole buckets, read twice in parts: for the first document of each signature, and for the members."""
+    parts, n = [[]], 0
+    for batch in batches:
+        size = batch.column(2).nbytes
+        if parts[-1] and n + size > PART:
+            parts.append([])
+            n = 0
+        parts[-1].append(batch)
+        n += size
+    table = None
+    for part in parts:
+        sig, id_, span = now = opened(part)
+        new = firsts(*now, id_)
+        table = new if table is None else firsts(*(np.concatenate(x) for x in zip(table, new, strict=True)))
+    lead, other, other_span, last = (x[table[1] < table[3]] for x in table)
+    for part in parts if len(lead) else []:
+        if len(parts) > 1:
+            sig, id_, span = opened(part)
+        at = np.minimum(np.searchsorted(lead, sig), len(lead) - 1)
+        hit = np.flatnonzero(lead[at] == sig)
+        hit = hit[np.lexsort((span[hit], id_[hit], sig[hit]))]
+        for i in range(0, len(hit), 1 << 17):
+            own = hit[i : i + (1 << 17)]
+            to = at[own]
+            ends = [x for s in (span[own], other_span[to]) for x in (s >> 32, s & 0xFFFFFFFF)]
+            columns = [sig[own], id_[own], other[to], *(x.astype(np.int32) for x in ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "id", "other", "first", "last", "other_first", "other_last"])
+
+
+def groups(sent: DataFrame) -> DataFrame:
+    """GROUPS: every window (sig, id, first, last) whose signature two documents or more share, beside the first of these (other, other_first, other_last)."""
+
+    def read(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(2).nbytes
+            if size < PART:
+                continue
+            table = pa.Table.from_batches(held).to_batches()
+            newest = int(batch.column(0)[-1].as_py())  # this bucket may go on
+            whole = [b for b in (x.filter(pa.array(x.column(0).to_numpy() != newest)) for x in table) if b.num_rows]
+            if whole:
+                yield from group_rows(whole)
+                held = [b for b in (x.filter(pa.array(x.column(0).to_numpy() == newest)) for x in table) if b.num_rows]
+                size = sum(b.column(2).nbytes for b in held)
+        if held := [b for b in held if b.num_rows]:
+            yield from group_rows(held)
+        tidy()
+
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(read, GROUPS)
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -224,7 +343,14 @@ def verified(pairs: DataFrame, docs: DataFrame, least: int, tenths: int) -> Data
 
 def checked(met: DataFrame, texts: DataFrame, least: int, tenths: int) -> DataFrame:
     """Stored PASSAGES of the rows (id, span, other, other_span) of met, taken together for each pair."""
-    pairs = stored(met.groupBy("id", "other").agg(F.collect_set("span").alias("spans"), F.collect_set("other_span").alias("other_spans")), "pairs")
+
+    def join(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [pa.array([[a << 32 | b for a, b in merged(x)] for x in batch.column(i).to_pylist()], pa.list_(pa.int64())) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], ["id", "other", "spans", "other_spans"])
+
+    sets = met.groupBy("id", "other").agg(F.collect_set("span").alias("spans"), F.collect_set("other_span").alias("other_spans"))
+    pairs = stored(sets.mapInArrow(join, "id long, other long, spans array<long>, other_spans array<long>"), "pairs")
     return stored(verified(pairs, texts, least, tenths), "passages")
 
 
@@ -331,8 +457,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tenths: int = 8, id_
     texts hold no passage; rows with equal id and text count as one document, unlike texts that share an id, or have none, as several; of two
     documents the one of the smaller id (null first) is the earlier; an empty table gives no rows; other columns are not read.
     """
-    texts, names = documents(docs, id_col, text_col)
-    out = _repeated(texts, min_words - SHINGLE + 1, tenths)
+    with shuffles_freed(docs.sparkSession):
+        texts, names = documents(docs, id_col, text_col)
+        out = _repeated(texts, min_words - SHINGLE + 1, tenths)
     if names is not None:  # back from keys to ids; the later document comes first
         for side in ("id", "other_id"):
             own = names.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.lit(True).alias("_named"))
@@ -357,15 +484,15 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def _repeated(texts: DataFrame, least: int, tenths: int) -> DataFrame:
     """PASSAGES of (id, text)."""
-    found = stored(windows(texts, least), "windows")
-    shared = stored(found.groupBy("sig").agg(F.min(F.struct("id", "span")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("sig", F.col("f.id").alias("other"), F.col("f.span").alias("other_span")), "shared")
-    met = stored(found.join(shared, "sig").where("id <> other").select("sig", "id", "span", "other", "other_span"), "met")
+    span = lambda first, last: F.shiftleft(F.col(first).cast("long"), 32).bitwiseOR(F.col(last).cast("long"))
+    found = stored(groups(windows(texts, least)), "groups").select("sig", "id", span("first", "last").alias("span"), "other", span("other_first", "other_last").alias("other_span"))
+    met = found.where("id <> other")
     out = None
     if not met.isEmpty():
         out = checked(met, texts, least, tenths)
         rest = stored(unmatched(met, out, F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)).select("sig", "id", "span").distinct(), "open")
         if not rest.isEmpty():
-            out = settled(found, rest, texts, out, least, tenths)
+            out = settled(found.select("sig", "id", "span"), rest, texts, out, least, tenths)
     if out is None:
         out = texts.sparkSession.createDataFrame([], PASSAGES)
     return out
