@@ -25,7 +25,9 @@ BANDS = ((1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 12))
 #: Counters of the rarity of shingles; their number does not depend on the input.
 BUCKETS = 1 << 18
 #: Characters that are worked on at a time; a longer text is worked on alone.
-STEP = 1_000_000
+STEP = 400_000
+#: Windows that are packed at a time.
+HELD = 500_000
 #: Bits of a signature by which windows are dealt, and bits that are kept besides.
 DEALT, LOW = 11, 40
 #: Bytes of packed windows that are opened at a time.
@@ -49,6 +51,18 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[inside], np.bincount(text[:n][inside], minlength=len(texts))
 
 
+def shingled(texts: pa.Array) -> Iterator[np.ndarray]:
+    """shingle_hashes of each text, many hashed at a time."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= STEP or i == len(texts) - 1:
+            h, sizes = shingle_hashes(held)
+            yield from np.split(h, np.cumsum(sizes)[:-1])
+            held, size = [], 0
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every window of `width` entries, by doubling."""
     n, have = len(x) - width + 1, 1
@@ -58,21 +72,25 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
-def tree_spans(values: list[int], at: list[int], doc: list[int], begin: list[int], end: list[int]) -> tuple[list[int], list[int]]:
+def nearest_smaller(values: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each entry the last one before it that is smaller and no earlier than entry low of it, else low - 1. What lies between an entry and
+    where it points is larger, so an entry may jump to where a larger one points."""
+    to = np.arange(len(values)) - 1
+    todo = np.flatnonzero(to >= low)
+    while len(todo := todo[values[to[todo]] > values[todo]]):
+        to[todo] = np.maximum(to[to[todo]], low[todo] - 1)
+        todo = todo[to[todo] >= low[todo]]
+    return to
+
+
+def tree_spans(values: np.ndarray, at: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each candidate, the span between the nearest smaller candidates of its document: its subtree in the Cartesian tree."""
-    left, right, stack = [0] * len(values), [0] * len(values), []
-    for i, v in enumerate(values):
-        if stack and doc[stack[-1]] != doc[i]:
-            for j in stack:
-                right[j] = end[j]
-            stack = []
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i] - 1
-        left[i] = at[stack[-1]] + 1 if stack else begin[i]
-        stack.append(i)
-    for j in stack:
-        right[j] = end[j]
-    return left, right
+    n, edge = len(values), np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    sizes = np.diff(np.append(edge, n))
+    low, high = np.repeat(edge, sizes), np.repeat(edge + sizes - 1, sizes)
+    both = nearest_smaller(np.concatenate([values, values[::-1]]), np.concatenate([low, 2 * n - 1 - high[::-1]]))
+    left, right = both[:n], 2 * n - 1 - both[n:][::-1]
+    return np.where(left < low, begin, at[left] + 1), np.where(right > high, end, at[np.minimum(right, n - 1)] - 1)
 
 
 def joint_windows(h: np.ndarray, sizes: np.ndarray, least: int, bands: tuple = BANDS) -> tuple[np.ndarray, ...]:
@@ -84,24 +102,28 @@ def joint_windows(h: np.ndarray, sizes: np.ndarray, least: int, bands: tuple = B
     valid = np.flatnonzero(doc[: len(h) - least + 1] == doc[least - 1 :])
     mask = np.uint64((1 << max(len(h) - 1, 1).bit_length()) - 1)
     out = []
+    if not len(valid):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    minima = []
+    for f in (f for functions in bands for f in functions):
+        packed = (mixed(h ^ mixed(np.full(1, f, np.uint64))) & ~mask) | np.arange(len(h), dtype=np.uint64)
+        least_at = (sliding_minimum(packed, least)[valid] & mask).astype(np.int64)
+        new = np.append(True, least_at[1:] != least_at[:-1])  # the place of the minimum never goes back
+        minima.append((new, least_at[new], packed[least_at[new]]))
+    own = np.concatenate([x for _, x, _ in minima])
+    d, at = doc[own], np.cumsum([len(x) for _, x, _ in minima])
+    trees = tree_spans(np.concatenate([x for _, _, x in minima]), own, d + len(sizes) * np.repeat(np.arange(len(minima)), np.diff(at, prepend=0)), starts[d], ends[d] - 1)
+    trees = list(zip(*(np.split(x, at[:-1]) for x in trees), strict=True))
     for band, functions in enumerate(bands):
-        winners, spans = [], []
-        for f in functions:
-            packed = (mixed(h ^ mixed(np.full(1, f, np.uint64))) & ~mask) | np.arange(len(h), dtype=np.uint64)
-            least_at = (sliding_minimum(packed, least)[valid] & mask).astype(np.int64)
-            own = np.unique(least_at)
-            d = doc[own]
-            left, right = tree_spans(packed[own].tolist(), own.tolist(), d.tolist(), starts[d].tolist(), (ends[d] - 1).tolist())
-            place = np.searchsorted(own, least_at)
-            winners.append(least_at)
-            spans.append((np.array(left)[place], np.array(right)[place]))
-        new = np.ones(len(valid), bool)
-        new[1:] = np.any([w[1:] != w[:-1] for w in winners], axis=0)
-        first, last = np.max([left[new] for left, _ in spans], axis=0), np.min([right[new] for _, right in spans], axis=0)
-        key = np.full(int(new.sum()), band, np.uint64)
-        for w in winners:
-            key = mixed(key * np.uint64(3) + h[w[new]])
-        d = doc[winners[0][new]]
+        at = sum(map(len, bands[:band]))
+        (moved, winners, _), spans = zip(*minima[at : at + len(functions)], strict=True), trees[at : at + len(functions)]
+        new = np.logical_or.reduce(moved)
+        place = [np.cumsum(m[new]) - 1 for m in moved]
+        first, last = np.max([left[p] for (left, _), p in zip(spans, place, strict=True)], axis=0), np.min([right[p] for (_, right), p in zip(spans, place, strict=True)], axis=0)
+        key = np.full(len(first), band, np.uint64)
+        for w, p in zip(winners, place, strict=True):
+            key = mixed(key * np.uint64(3) + h[w][p])
+        d = doc[winners[0][place[0]]]
         out.append((d, key, first - starts[d], last - starts[d]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -160,7 +182,7 @@ def windows(docs: DataFrame, least: int, bands: tuple = BANDS) -> DataFrame:
             if len(d):
                 held.append((np.array(keys, np.int64)[d], sig, first, last - first))
                 n += len(d)
-            if n >= STEP // 2:
+            if n >= HELD:
                 yield send(held)
                 held, n = [], 0
         if held:
@@ -182,11 +204,22 @@ def opened(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def repeated(sig: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows whose signature occurs twice or more, ordered by it."""
+    order = np.argsort(sig)
+    sig = sig[order]
+    same = np.append(False, np.append(sig[1:] == sig[:-1], False))
+    keep = np.flatnonzero(same[1:] | same[:-1]) if len(sig) else order
+    return sig[keep], *(c[order[keep]] for c in columns)
+
+
 def firsts(sig: np.ndarray, id_: np.ndarray, span: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
     """(signature, first id, its first span, last id) of each signature."""
     order = np.lexsort((span, id_, sig))
     sig, id_, span, last = sig[order], id_[order], span[order], last[order]
-    begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+    if not len(begin):
+        return sig, id_, span, last
     return sig[begin], id_[begin], span[begin], np.maximum.reduceat(last, begin)
 
 
@@ -202,7 +235,7 @@ def group_rows(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += size
     table = None
     for part in parts:
-        sig, id_, span = now = opened(part)
+        sig, id_, span = now = opened(part) if len(parts) > 1 else repeated(*opened(part))
         new = firsts(*now, id_)
         table = new if table is None else firsts(*(np.concatenate(x) for x in zip(table, new, strict=True)))
     lead, other, other_span, last = (x[table[1] < table[3]] for x in table)
@@ -255,90 +288,226 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def merged_rows(spans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merged for many rows, whose spans are in a row, `sizes` of each: the intervals as spans, and their number in each row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((spans, row))
+    row, first, last = row[order], spans[order] >> 32, spans[order] & 0xFFFFFFFF
+    far = np.maximum.accumulate(row << 32 | last)  # the farthest so far: a later row is beyond all of one before
+    new = np.append(True, (row[1:] << 32 | first[1:]) > far[:-1] + 1) | np.append(True, row[1:] != row[:-1])
+    begin = np.flatnonzero(new[: len(row)])
+    end = np.append(begin[1:], len(row))[: len(begin)] - 1
+    return first[begin] << 32 | far[end] & 0xFFFFFFFF, np.bincount(row[begin], minlength=len(sizes))
+
+
 def positions(spans: list[tuple[int, int]]) -> np.ndarray:
     """All shingles of merged spans, in order."""
     return np.concatenate([np.arange(a, b + 1) for a, b in spans])
 
 
-def compare(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray, least: int, tenths: int) -> list[tuple[int, int, int, int, float]]:
+def places(spans: np.ndarray) -> np.ndarray:
+    """positions of intervals that are spans."""
+    if len(spans) == 1:
+        return np.arange(int(spans[0]) >> 32, (int(spans[0]) & 0xFFFFFFFF) + 1)
+    first, last = spans >> 32, spans & 0xFFFFFFFF
+    size = last - first + 1
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def codes(h: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number from 0 for each hash (32 bits), the same for equal ones, and how many there are."""
+    key = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    high, out = key >> np.uint64(32), np.empty(len(h), np.int32)
+    number = np.cumsum(np.append(False, high[1:] != high[:-1])[: len(h)], dtype=np.int32)
+    out[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)] = number
+    return out, int(number[-1]) + 1 if len(h) else 0
+
+
+class Marks:
+    """Sets of codes below n: a set is the entries that hold its mark, so that a new one needs no clearing."""
+
+    def __init__(self, n: int) -> None:
+        self.of, self.place, self.now = np.zeros(n, np.int32), np.zeros(n, np.int32), 0
+
+    def put(self, x: np.ndarray) -> int:
+        self.now += 1
+        if self.now == 2**31 - 1:
+            self.now = 1
+            self.of[:] = 0
+        self.of[x] = self.now
+        return self.now
+
+    def distinct(self, x: np.ndarray) -> int:
+        """The number of distinct codes in x: those entries that are a code's last."""
+        order = np.arange(len(x), dtype=np.int32)
+        self.place[x] = order
+        return int(np.count_nonzero(self.place[x] == order))
+
+
+def compare(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray, least: int, tenths: int, marks: Marks) -> list[tuple[int, int, int, int, float]]:
     """Passages (first and last shingle in x, in y, similarity) of `least` shingles or more in both whose shingle sets have Jaccard
-    similarity tenths/10 or more.
+    similarity tenths/10 or more. x and y are codes of shingles.
 
     Sets of that similarity share 2t/(1+t) of their mean size, so a passage of x holds a stretch of `least` shingles of which that share is in y.
     Such stretches are joined where they overlap and trimmed to shared shingles; one that fails as a whole is cut at its widest gap.
     """
     if len(x) < least or len(y) < least:
         return []
-    shared, gap, out = np.isin(x, y), 2 * SHINGLE, []
-    sums = np.concatenate([[0], np.cumsum(shared)])
-    dense = (sums[least:] - sums[:-least] >= -(-2 * tenths * least // (10 + tenths))) & (at_x[least - 1 :] - at_x[: len(x) - least + 1] == least - 1)
+    mark, gap, out = marks.put(y), 2 * SHINGLE, []
+    shared = marks.of[x] == mark
+    sums = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(shared, out=sums[1:])
+    dense = np.flatnonzero((sums[least:] - sums[:-least] >= -(-2 * tenths * least // (10 + tenths))) & (at_x[least - 1 :] - at_x[: len(x) - least + 1] == least - 1))
+    if not len(dense):
+        return []
     cover = np.zeros(len(x) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(dense), 1)
-    np.add.at(cover, np.flatnonzero(dense) + least, -1)
+    cover[dense] += 1
+    cover[dense + least] -= 1
     hit = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & shared)
-    todo = [r for r in np.split(hit, np.flatnonzero(np.diff(at_x[hit]) > least) + 1) if len(r)]
+    where = at_x[hit]
+    cuts = [0, *(np.flatnonzero(where[1:] - where[:-1] > least) + 1).tolist(), len(hit)]
+    todo = [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]  # runs of hit
     while todo:
-        run = todo.pop()
-        a, b = int(at_x[run[0]]), int(at_x[run[-1]])
+        i, j = todo.pop()
+        a, b = int(where[i]), int(where[j - 1])
         if b - a + 1 < least:
             continue
-        sx, found = np.unique(x[run[0] : run[-1] + 1]), []
-        there = np.flatnonzero(np.isin(y, sx))
-        for part in np.split(there, np.flatnonzero(np.diff(at_y[there]) > gap) + 1):
-            c, d = int(at_y[part[0]]), int(at_y[part[-1]])
-            if d - c + 1 < least:
-                continue
-            sy = np.unique(y[part[0] : part[-1] + 1])
-            both = len(np.intersect1d(sx, sy, assume_unique=True))
-            if 10 * both >= tenths * (len(sx) + len(sy) - both):
-                found.append((a, b, c, d, both / (len(sx) + len(sy) - both)))
+        own, found = x[hit[i] : hit[j - 1] + 1], []
+        mark, n_x = marks.put(own), marks.distinct(own)
+        inside = marks.of[y] == mark
+        there = np.flatnonzero(inside)
+        place = at_y[there]
+        edges = np.flatnonzero(place[1:] - place[:-1] > gap) + 1
+        begin, end = np.append(0, edges), np.append(edges, len(there)) - 1
+        for p in np.flatnonzero(place[end] - place[begin] + 1 >= least).tolist() if len(there) else []:
+            u, v = int(there[begin[p]]), int(there[end[p]])
+            other = y[u : v + 1]
+            n_y, both = marks.distinct(other), marks.distinct(other[inside[u : v + 1]])
+            if 10 * both >= tenths * (n_x + n_y - both):
+                found.append((a, b, int(at_y[u]), int(at_y[v]), both / (n_x + n_y - both)))
         out += found
-        apart = np.diff(at_x[run])
+        apart = where[i + 1 : j] - where[i : j - 1]
         if not found and len(apart) and apart.max() > 1:
-            cut = int(apart.argmax()) + 1
-            todo += [run[:cut], run[cut:]]
+            cut = i + int(apart.argmax()) + 1
+            todo += [(i, cut), (cut, j)]
     return out
 
 
+#: Slots of keys by which rows that a join has no use for are left out before they are dealt; their number does not depend on the input.
+SLOTS = 1 << 20
+
+
+def among(rows: DataFrame, keys: DataFrame, name: str, key: str) -> DataFrame:
+    """Those of rows whose column `name` shares a slot with `key` of one of keys: all that a join needs, and few more as long as there are many slots."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    return rows.join(F.broadcast(keys.select(slot(key).alias("slot")).distinct()), slot(name) == F.col("slot"), "left_semi")
+
+
 PASSAGES = "id long, start long, end long, other_id long, other_start long, other_end long, similarity double"
+#: Pairs that are compared in one piece, about; documents' bytes that are sent at a time.
+PIECE, SENT = 1000, 4_000_000
+
+
+def laid(h: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, int]:
+    """An array that holds h at the shingles of the intervals, and how many of its entries end with those that h has."""
+    place = places(spans)
+    out = np.zeros(int(place[-1]) + 1 if len(place) else 0, h.dtype)
+    out[place[: len(h)]] = h
+    return out, int(place[len(h) - 1]) + 1 if len(h) else 0
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Stored pairs with a piece each, about PIECE of them in one: pairs that name the same documents come into the same pieces, as far as these hold them.
+
+    A document's first partner is its star. The pairs of a star are one piece, or, if they are many, so many squares that each holds PIECE.
+    """
+    tasks, n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count()
+    star = pairs.groupBy("id").agg(F.min("other").alias("star"), F.count("*").alias("n"))
+    sizes = star.groupBy("star").agg(F.sum("n").alias("n"))
+    parts = star.drop("n").join(sizes, "star").select("id", "star", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / PIECE))).alias("parts"))
+    part = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.col("parts"))
+    piece = F.pmod(F.xxhash64("star", part("id", 1), part("other", 2)), F.lit(max(tasks, n // PIECE))).cast("int")
+    return stored(pairs.join(parts, "id").select(piece.alias("piece"), "id", "other", "spans", "other_spans"), "dealt")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: int, tenths: int) -> DataFrame:
-    """PASSAGES of the documents' pairs (id, other, spans, other_spans), which must be stored. Only the hashes (32 bits) of the spans' shingles go to a pair's task."""
-    pairs = pairs.withColumn("pair", F.struct("id", "other"))
-    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("id").alias("key"), "spans").unionByName(pairs.select("pair", F.lit(1).alias("side"), F.col("other").alias("key"), F.col("other_spans").alias("spans")))
-    both = docs.join(sides, docs["id"] == sides["key"]).select("pair", "side", "spans", "text")
+    """PASSAGES of the documents' pairs (id, other, spans, other_spans: arrays of intervals), which must be stored. A document's hashes (32 bits)
+    go to a piece of the pairs once. docs: id and text, or id, h and spans (the hashes of the shingles in these intervals)."""
+    whole, pairs = "text" in docs.columns, dealt(pairs)
+    sides = pairs.select(F.col("id").alias("key"), "piece", "spans").unionByName(pairs.select(F.col("other").alias("key"), "piece", F.col("other_spans").alias("spans")))
+    uses = sides.groupBy("key").agg(F.collect_list(F.struct("piece", "spans")).alias("uses"))
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            piece, ids, h, spans, sizes = zip(*held, strict=True)
+            n = np.array(sizes)
+            spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(spans)))
+            return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(h, pa.binary()), spans, pa.nulls(len(n), pa.list_(pa.int64()))], list(MEETING))
+
+        held, size = [], 0
         for batch in batches:
-            held, text, h = [], None, None
-            for side, spans, now in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                now = now.as_py()
-                if now != text:
-                    text, h = now, shingle_hashes([now])[0]
-                own = merged(spans.as_py())
-                at = positions(own)
-                held.append((side.as_py(), (h[at[at < len(h)]] >> np.uint64(32)).astype(np.uint32).tobytes(), [x for span in own for x in span]))
-            side, h32, own = zip(*held, strict=True) if held else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(side, pa.int32()), pa.array(h32, pa.binary()), pa.array(own, pa.list_(pa.int32()))], ["pair", "side", "h", "at"])
-
-    cuts = both.mapInArrow(cut, "pair struct<id:long,other:long>, side int, h binary, at array<int>")
-    met = cuts.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.struct("h", "at"))).alias(n) for s, n in ((0, "x"), (1, "y"))])
+            hashes = shingled(batch.column(2)) if whole else (laid(np.frombuffer(h.as_py(), np.uint64), x.values.to_numpy())[0] for h, x in zip(batch.column(2), batch.column(3), strict=True))
+            for key, uses, h in zip(batch.column(0).to_pylist(), batch.column(1), hashes, strict=True):
+                piece, lists = uses.values.field("piece").to_numpy(), uses.values.field("spans")
+                order = np.argsort(piece, kind="stable")
+                lists = lists.take(pa.array(order))
+                named, begin = np.unique(piece[order], return_index=True)
+                offsets = lists.offsets.to_numpy()
+                spans, n = merged_rows(lists.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(np.append(offsets[begin], offsets[-1])))
+                at = 0
+                for p, k in zip(named.tolist(), n.tolist(), strict=True):
+                    own = spans[at : at + k]
+                    at += k
+                    place = places(own)
+                    held.append((p, key, (h[place[place < len(h)]] >> np.uint64(32)).astype(np.uint32).tobytes(), own, k))
+                    size += len(held[-1][2]) + 8 * k
+                    if size >= SENT:
+                        yield send()
+                        held, size = [], 0
+        if held:
+            yield send()
+
+    docs = among(docs, sides, "id", "key")
+    cuts = docs.join(uses, docs["id"] == uses["key"]).select("id", "uses", *(["text"] if whole else ["h", "spans"])).mapInArrow(cut, ", ".join(f"{k} {v}" for k, v in MEETING.items()))
+    met = cuts.unionByName(pairs.withColumn("h", F.lit(None).cast("binary")).select(*MEETING))
 
     def check(batches) -> Iterator[pa.RecordBatch]:
+        now, held, full, marks, rows = None, {}, {}, None, []
         for batch in batches:
-            rows = []
-            for pair, x, y in zip(*(batch.column(i) for i in range(3)), strict=True):
-                pair, x, y = pair.as_py(), x.as_py(), y.as_py()
-                if not x or not y:
+            piece, ids, other = (batch.column(i).to_pylist() for i in range(3))
+            lists = [batch.column(i) for i in (4, 5)]
+            (a, ends_a), (b, ends_b) = ((x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in lists)
+            for i, (p, x, y) in enumerate(zip(piece, ids, other, strict=True)):
+                if p != now:
+                    now, held, full = p, {}, {}
+                own = a[ends_a[i] : ends_a[i + 1]]
+                if y is None:
+                    held[x] = np.frombuffer(batch.column(3)[i].as_py(), np.uint32), own
+                    continue
+                if not full:
+                    code, n = codes(np.concatenate([h for h, _ in held.values()]) if held else np.zeros(0, np.uint32))
+                    marks, at = Marks(n), 0
+                    for k, (h, spans) in held.items():
+                        full[k] = laid(code[at : at + len(h)], spans)
+                        at += len(h)
+                    held = {}
+                if x not in full or y not in full:
                     continue
-                (hx, ax), (hy, ay) = ((np.frombuffer(z["h"], np.uint32), positions(list(zip(z["at"][::2], z["at"][1::2], strict=True)))) for z in (x, y))
-                found = compare(hx, ax[: len(hx)], hy, ay[: len(hy)], least, tenths)
-                rows += [(pair["id"], a, b + SHINGLE, pair["other"], c, d + SHINGLE, s) for a, b, c, d, s in found]
+                (code_x, end_x), (code_y, end_y) = full[x], full[y]
+                at_x, at_y = places(own), places(b[ends_b[i] : ends_b[i + 1]])
+                at_x, at_y = at_x[: np.searchsorted(at_x, end_x)], at_y[: np.searchsorted(at_y, end_y)]
+                rows += [(x, c, d + SHINGLE, y, e, f + SHINGLE, s) for c, d, e, f, s in compare(code_x[at_x], at_x, code_y[at_y], at_y, least, tenths, marks)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if i == 6 else pa.int64()) for i, v in enumerate(zip(*rows, strict=True))], ["id", "start", "end", "other_id", "other_start", "other_end", "similarity"])
+                rows = []
+        tidy()
+
+    return met.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece").sortWithinPartitions("piece", F.col("other").isNotNull()).mapInArrow(check, PASSAGES)
+
 
-    return met.select("pair", "x", "y").mapInArrow(check, PASSAGES)
+#: A row is a document that comes to a piece (h, intervals in spans), or, with `other`, a pair that is compared there.
+MEETING = {"piece": "int", "id": "long", "other": "long", "h": "binary", "spans": "array<long>", "other_spans": "array<long>"}
 
 
 def checked(met: DataFrame, texts: DataFrame, least: int, tenths: int) -> DataFrame:
@@ -346,7 +515,12 @@ def checked(met: DataFrame, texts: DataFrame, least: int, tenths: int) -> DataFr
 
     def join(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [pa.array([[a << 32 | b for a, b in merged(x)] for x in batch.column(i).to_pylist()], pa.list_(pa.int64())) for i in (2, 3)]
+            both = []
+            for i in (2, 3):
+                column = batch.column(i)
+                offsets = column.offsets.to_numpy()
+                spans, n = merged_rows(column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets))
+                both.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(spans)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], ["id", "other", "spans", "other_spans"])
 
     sets = met.groupBy("id", "other").agg(F.collect_set("span").alias("spans"), F.collect_set("other_span").alias("other_spans"))
@@ -378,18 +552,17 @@ def rare_places(h: np.ndarray, of: np.ndarray, first: int, last: int, least: int
 
 
 def rare_windows(parts: DataFrame, least: int, tenths: int) -> DataFrame:
-    """(id, sig, at, span, open) of the rare shingles of each document's spans. parts, stored: id, text, spans, opens (those not yet matched)."""
+    """(id, sig, at, span, open) of the rare shingles of each document's spans. parts, stored: id, h (hashes in the spans), spans, opens (those not yet matched)."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                h, at = shingle_hashes([text.as_py()])[0], positions(merged(spans.as_py()))
-                sums += np.bincount((h[at[at < len(h)]] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            for h in batch.column(0):
+                sums += np.bincount((np.frombuffer(h.as_py(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["bucket", "n"])
 
-    rows = parts.select("text", "spans").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = parts.select("h").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros(BUCKETS, np.int64)
     sums[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     sent = parts.sparkSession.sparkContext.broadcast(np.minimum(np.log2(sums + 1) * 8, 511).astype(np.uint64))  # BUCKETS counters
@@ -397,18 +570,20 @@ def rare_windows(parts: DataFrame, least: int, tenths: int) -> DataFrame:
     def read(batches) -> Iterator[pa.RecordBatch]:
         of = sent.value
         for batch in batches:
-            for key, text, spans, opens in zip(*(batch.column(c) for c in ("id", "text", "spans", "opens")), strict=True):
-                h, undone = shingle_hashes([text.as_py()])[0], merged(opens.as_py())
-                for first, last in merged(spans.as_py()):
+            rows = []
+            for key, h, spans, opens in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in ("h", "spans", "opens")), strict=True):
+                h, undone = laid(np.frombuffer(h.as_py(), np.uint64), spans.values.to_numpy())[0], merged(opens.as_py())
+                for first, last in ((x >> 32, x & 0xFFFFFFFF) for x in spans.as_py()):
                     at = rare_places(h, of, first, min(last, len(h) - 1), least, tenths)
                     if len(at):
                         near = np.zeros(len(at), bool)
                         for a, b in undone:
                             near |= (at >= a) & (at <= b)
-                        ids, span = np.full(len(at), key.as_py()), np.full(len(at), first << 32 | last)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[at].view(np.int64)), pa.array(at), pa.array(span), pa.array(near)], ["id", "sig", "at", "span", "open"])
+                        rows.append((np.full(len(at), key), h[at].view(np.int64), at, np.full(len(at), first << 32 | last), near))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["id", "sig", "at", "span", "open"])
 
-    return parts.select("id", "text", "spans", "opens").mapInArrow(read, "id long, sig long, at long, span long, open boolean")
+    return parts.select("id", "h", "spans", "opens").mapInArrow(read, "id long, sig long, at long, span long, open boolean")
 
 
 def settled(found: DataFrame, rest: DataFrame, texts: DataFrame, good: DataFrame, least: int, tenths: int) -> DataFrame:
@@ -418,9 +593,24 @@ def settled(found: DataFrame, rest: DataFrame, texts: DataFrame, good: DataFrame
     with the first document of such a group, those left with the first of themselves as long as that settles many, the others with every member.
     """
     open_ = rest.withColumn("open", F.lit(True))
-    members = found.join(rest.select("sig").distinct(), "sig", "left_semi").join(open_, ["sig", "id", "span"], "left")
-    spans = members.groupBy("id").agg(F.collect_set("span").alias("spans"), F.collect_set(F.when(F.col("open"), F.col("span"))).alias("opens")).withColumnRenamed("id", "key")
-    parts = stored(texts.dropDuplicates(["id"]).join(spans, F.col("id") == F.col("key")).drop("key"), "parts")
+    members = among(found, rest, "sig", "sig").join(rest.select("sig").distinct(), "sig", "left_semi").join(open_, ["sig", "id", "span"], "left")
+    spans = members.groupBy("id").agg(F.collect_set("span").alias("spans"), F.collect_set(F.when(F.col("open"), F.col("span"))).alias("opens"))
+    spans = stored(spans.withColumnRenamed("id", "key"), "spans")
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            offsets, held = column.offsets.to_numpy(), []
+            own, n = merged_rows(column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets))
+            ends = np.append(0, np.cumsum(n))
+            for i, h in enumerate(shingled(batch.column(1))):
+                place = places(own[ends[i] : ends[i + 1]])
+                held.append(h[place[place < len(h)]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), batch.column(3)], ["id", "h", "spans", "opens"])
+
+    whole = among(texts, spans, "id", "key").dropDuplicates(["id"]).join(spans, F.col("id") == F.col("key")).select("id", "text", "spans", "opens")
+    parts = stored(whole.mapInArrow(cut, "id long, h binary, spans array<long>, opens array<long>"), "parts")
+    texts = parts.select("id", "h", "spans")
     all_rare = rare_windows(parts, least, tenths)
     rare = stored(all_rare.groupBy("id", "sig").agg(F.min("at").alias("at"), F.max(F.struct("open", "span")).alias("w")).select("id", "sig", "at", "w.span", "w.open"), "rare")
     every = rare.groupBy("sig").agg(F.bool_or("open").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("sig")
