@@ -67,3 +67,18 @@ def test_a_document_goes_to_a_piece_once(spark):
     sent = {(r.piece, x) for r in dealt for x in (r.id, r.other)}
     assert len(sent) < len(pairs) / 3  # twice as many as pairs before
     assert max(np.unique([r.piece for r in dealt], return_counts=True)[1]) < 4 * passages.PIECE
+
+
+def test_copies_are_not_compared_with_each_other(spark):
+    """Copies under many first documents that match none of them: each is linked with the first copy, which alone meets the other texts."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    common = words(49)  # one shingle less than a passage
+    own = words(40) + common + words(40)
+    near = [*own[:10], "changed", *own[11:]]
+    rows = [(i, " ".join(words(30) + common + words(30))) for i in range(12)]
+    rows += [(100 + i, " ".join(own)) for i in range(30)] + [(200, " ".join(near))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {(r.doc_id, r.other_doc_id) for r in found}
+    assert links == {(i, 100) for i in [*range(101, 130), 200]}
+    assert all(r.start == r.other_start == 0 and r.end == r.other_end == 129 and r.similarity == 1 for r in found if r.doc_id < 200)

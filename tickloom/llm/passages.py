@@ -591,6 +591,7 @@ def settled(found: DataFrame, rest: DataFrame, texts: DataFrame, good: DataFrame
 
     The members, matched ones too, are grouped again by their rarest shingles, where a common line counts last. Windows are compared
     with the first document of such a group, those left with the first of themselves as long as that settles many, the others with every member.
+    There the first of equal texts stands for its copies, and each copy is linked with it.
     """
     open_ = rest.withColumn("open", F.lit(True))
     members = among(found, rest, "sig", "sig").join(rest.select("sig").distinct(), "sig", "left_semi").join(open_, ["sig", "id", "span"], "left")
@@ -606,10 +607,10 @@ def settled(found: DataFrame, rest: DataFrame, texts: DataFrame, good: DataFrame
             for i, h in enumerate(shingled(batch.column(1))):
                 place = places(own[ends[i] : ends[i + 1]])
                 held.append(h[place[place < len(h)]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), batch.column(3)], ["id", "h", "spans", "opens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), *batch.columns[3:]], ["id", "h", "spans", "opens", "digest"])
 
-    whole = among(texts, spans, "id", "key").dropDuplicates(["id"]).join(spans, F.col("id") == F.col("key")).select("id", "text", "spans", "opens")
-    parts = stored(whole.mapInArrow(cut, "id long, h binary, spans array<long>, opens array<long>"), "parts")
+    whole = among(texts, spans, "id", "key").dropDuplicates(["id"]).join(spans, F.col("id") == F.col("key")).select("id", "text", "spans", "opens", F.unhex(F.sha2("text", 256)).alias("digest"))
+    parts = stored(whole.mapInArrow(cut, "id long, h binary, spans array<long>, opens array<long>, digest binary"), "parts")
     texts = parts.select("id", "h", "spans")
     all_rare = rare_windows(parts, least, tenths)
     rare = stored(all_rare.groupBy("id", "sig").agg(F.min("at").alias("at"), F.max(F.struct("open", "span")).alias("w")).select("id", "sig", "at", "w.span", "w.open"), "rare")
@@ -630,11 +631,18 @@ def settled(found: DataFrame, rest: DataFrame, texts: DataFrame, good: DataFrame
         if was is not None and left > 0.7 * was:
             break
         was = left
-    both = now.select("sig", "id", "span").join(rare.select("sig", F.col("id").alias("to"), F.col("span").alias("to_span")), "sig").where("id <> to")
+    same = parts.groupBy("digest").agg(F.min("id").alias("same"))
+    copies = stored(parts.select("id", "digest").join(same, "digest").select("id", "same"), "copies")
+    class_of = lambda rows: rows.join(copies, "id").select("sig", "same", "span").distinct()
+    both = class_of(now).withColumnRenamed("same", "id").join(class_of(rare).select("sig", F.col("same").alias("to"), F.col("span").alias("to_span")), "sig").where("id <> to")
     here, there = F.struct("id", "span"), F.struct(F.col("to").alias("id"), F.col("to_span").alias("span"))
     pairs = both.select(F.greatest(here, there).alias("x"), F.least(here, there).alias("y"))
-    pairs = pairs.select(F.col("x.id").alias("id"), "x.span", F.col("y.id").alias("other"), F.col("y.span").alias("other_span")).distinct()
-    return good.unionByName(checked(pairs, texts, least, tenths))
+    pairs = stored(pairs.select(F.col("x.id").alias("id"), "x.span", F.col("y.id").alias("other"), F.col("y.span").alias("other_span")).distinct(), "classes")
+    named = pairs.select(F.col("id").alias("same")).union(pairs.select("other")).union(now.join(copies, "id").select("same")).distinct()
+    linked = good.select("id", F.col("other_id").alias("same")).distinct()
+    lone = copies.where("id <> same").join(named, "same", "left_semi").join(linked, ["id", "same"], "left_anti")
+    lone = parts.select("id", F.explode("spans").alias("span")).join(lone, "id").select("id", "span", F.col("same").alias("other"), F.col("span").alias("other_span"))
+    return good.unionByName(checked(pairs.unionByName(lone), texts, least, tenths))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
